@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import mixing, quality, sharding
+from citegrid.llm import chat, langid, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,20 @@ def op3_hilbert_shards(spark, sf_dir):
     return sharding.op3(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_windows(spark, sf_dir):
+    return chat.op4(_table(spark, sf_dir, "conversations"))
+
+
+def op6_language_id(spark, sf_dir):
+    return langid.op6(_table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op3_hilbert_shards, op7_source_mix)}
+    return {f.__name__: f for f in (op1_line_frequency, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
