@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, langid, mixing, quality, sharding
+from citegrid.llm import chat, html, langid, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_line_frequency(spark, sf_dir):
     return quality.op1(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_main_text(spark, sf_dir):
+    return html.op2(_table(spark, sf_dir, "pages"))
+
+
 def op3_hilbert_shards(spark, sf_dir):
     return sharding.op3(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op7_source_mix(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
