@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, html, langid, mixing, quality, sharding
+from citegrid.llm import chat, html, langid, mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op7_source_mix(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_simhash_components(spark, sf_dir):
+    return simhash.op8(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
