@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, html, langid, mixing, quality, sharding, simhash
+from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op8_simhash_components(spark, sf_dir):
     return simhash.op8(_table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_leaks(spark, sf_dir):
+    return decontam.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
