@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash
+from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_benchmark_leaks(spark, sf_dir):
     return decontam.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_repeated_passages(spark, sf_dir):
+    return substring.op10(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
