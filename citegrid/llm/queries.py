@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash, substring
+from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash, substring, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_chat_windows(spark, sf_dir):
     return chat.op4(_table(spark, sf_dir, "conversations"))
 
 
+def op5_training_order(spark, sf_dir):
+    return training_order.op5(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.op6(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_repeated_passages(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op5_training_order, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
