@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from citegrid.llm.common import checkpoint, n_words
 
 STEP, LEVELS = 12, 3
+#: Rows of the table of sources up to which it is broadcast; beyond, it is joined by a shuffle.
+SMALL = 20_000
 
 
 def place(key: str) -> Column:
@@ -69,6 +71,22 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumnRenamed("_prefix", "_below").drop("_acc", "_budget")
 
 
+def _planned(docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, source, size, _place) of each document, and per source its target and thresholds."""
+    slim = docs.select(F.col(key), F.col(source).alias("source"), n_words(text).alias("size"), place(key).alias("_place"))
+    slim = checkpoint(slim)  # the texts are read once; what follows passes over a few bytes for each document
+    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    limits = checkpoint(thresholds(slim, source_targets(totals))).withColumnRenamed("source", "_s")
+    return slim, F.broadcast(limits) if limits.limit(SMALL + 1).count() <= SMALL else limits
+
+
+
+
+def _copies() -> Column:
+    """How many copies of a document the mix holds."""
+    return F.col("_full") + (F.col("_place") < F.col("_below")).cast("long")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per document: key, size (words), source_size, target (of its source) and taken (words the mix takes).
 
@@ -76,13 +94,16 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     are one source, an empty table gives no rows, and documents with equal keys are taken or left together. Other columns
     of docs are not read.
     """
-    slim = docs.select(F.col(key), F.col(source).alias("source"), n_words(text).alias("size"), place(key).alias("_place"))
-    slim = checkpoint(slim)  # the texts are read once; what follows passes over a few bytes for each document
-    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = checkpoint(thresholds(slim, source_targets(totals)))
-    limits = limits.withColumnRenamed("source", "_s")
-    copies = F.col("_full") + (F.col("_place") < F.col("_below")).cast("long")
-    return slim.join(limits, F.col("source").eqNullSafe(F.col("_s"))).select(key, "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    slim, limits = _planned(docs, key, source, text)
+    return slim.join(limits, F.col("source").eqNullSafe(F.col("_s"))).select(key, "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with each row as often as the mix holds it (0 to 3 times); the columns of docs."""
+    _, limits = _planned(docs, key, source, text)
+    places = docs.withColumn("_place", place(key)).join(limits, F.col(source).eqNullSafe(F.col("_s")))
+    copies = places.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), _copies().cast("int"))))
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """
