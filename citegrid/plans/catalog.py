@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from citegrid.plans import similarity
+
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir) for every registered query."""
-    return {}
+    out: dict = {}
+    for module in (similarity,):
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
-    return {}
+    out: dict[str, str] = {}
+    for module in (similarity,):
+        out |= module.ORACLES
+    return out
