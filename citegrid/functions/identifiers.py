@@ -38,9 +38,10 @@ def percent_decode(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """An http or https URL without fragment, scheme and host in lower case; null for others and with credentials."""
+    c = F.regexp_replace(c, r"(?s)#.*$", "")
     scheme, host = F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))), F.try_parse_url(c, F.lit("HOST"))
     good = scheme.isin("http", "https") & host.isNotNull() & F.try_parse_url(c, F.lit("USERINFO")).isNull()
-    rest = F.regexp_replace(F.regexp_replace(c, r"(?s)#.*$", ""), r"(?i)^[a-z][a-z0-9+.-]*://[^/?]*", "")
+    rest = F.regexp_replace(c, r"(?i)^[a-z][a-z0-9+.-]*://[^/?]*", "")
     authority = F.lower(F.regexp_extract(c, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1))
     return F.when(good, F.concat(scheme, F.lit("://"), authority, F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))))
 
@@ -59,7 +60,7 @@ def safe_url(url: Column, doi: Column) -> Column:
 
 def is_public_host(host: Column) -> Column:
     """Whether a host is a public address or a name that isn't local. Names aren't resolved."""
-    a = lambda k: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).cast("int")
+    a = lambda k: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", k).try_cast("int")
     private = (
         a(1).isin(0, 10, 127) | (a(1) >= 224) | ((a(1) == 172) & a(2).between(16, 31)) | ((a(1) == 192) & (a(2) == 168)) | ((a(1) == 169) & (a(2) == 254))
         | ((a(1) == 100) & a(2).between(64, 127)) | ((a(1) == 192) & (a(2) == 0) & a(3).isin(0, 2)) | ((a(1) == 198) & a(2).isin(18, 19)) | ((a(1) == 198) & (a(2) == 51) & (a(3) == 100)) | ((a(1) == 203) & (a(2) == 0) & (a(3) == 113))
