@@ -7,7 +7,9 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Shield:
+    """A frame's columns under names that no operator uses, so that none of them clashes; see restored().
+
+    Calling it with a column's name gives the name that stands for it in ``df``.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"in{i}__" for i in range(len(self.names))])
+
+    def __call__(self, name: str) -> str:
+        return f"in{self.names.index(name)}__"
+
+    def restored(self, out: DataFrame, **added: Column | str) -> DataFrame:
+        """The input's columns by their names, then the added ones, which take the place of any of the same name."""
+        old = [F.col(f"in{i}__").alias(n) for i, n in enumerate(self.names) if n not in added]
+        return out.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in added.items()])
+
+
 @contextlib.contextmanager
 def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of each query that is run go as soon as it has ended."""
@@ -71,3 +92,75 @@ def text_or_empty(c: Column | str) -> Column:
 def n_words(c: Column | str) -> Column:
     """Number of words as a long; a null text has none."""
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
+
+
+_POWER, _ODD = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once.
+HASH_BYTES = 4_000_000
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 .. n - 1 of an odd number modulo 2**64, and their inverses."""
+    both = np.ones((2, n), np.uint64)
+    both[0, 1:], both[1, 1:] = _POWER, pow(_POWER, -1, 1 << 64)
+    both = np.cumprod(both, axis=1, dtype=np.uint64)
+    return both[0], both[1]
+
+
+@lru_cache(maxsize=4)
+def _parting(separators: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer((" \t\n\v\f\r" + separators).encode(), np.uint8)] = True
+    return table
+
+
+def _hashed(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some bytes, and where each begins: polynomial sums, all words at once."""
+    edge = np.diff(np.concatenate([[0], (~table[x]).view(np.int8), [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, back = _powers(1 << max(16, int(len(x)).bit_length()))
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * back[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD)
+    return h ^ (h >> np.uint64(29)), starts
+
+
+def hash_words(texts: list[str | None], separators: str = "") -> list[np.ndarray]:
+    """Per whole text the hashes of its lower-cased words, which white space and the given ASCII characters part.
+
+    Texts are hashed many at once, and longer ones in pieces cut at white space, so the memory needed is bounded.
+    """
+    table, out = _parting(separators), []
+    group: list[bytes] = []
+
+    def flush() -> None:
+        if group:
+            h, starts = _hashed(np.frombuffer(b" ".join(group) + b" ", np.uint8), table)
+            bounds = np.cumsum([len(b) + 1 for b in group])
+            out.extend(np.split(h, np.searchsorted(starts, bounds[:-1])))
+            group.clear()
+
+    size = 0
+    for text in texts:
+        data = (text or "").lower().encode("utf-8", "surrogatepass")
+        if group and size + len(data) > HASH_BYTES:
+            flush()
+            size = 0
+        if len(data) <= HASH_BYTES:
+            group.append(data)
+            size += len(data)
+            continue
+        parts, at = [], 0
+        while at < len(data):
+            cut = len(data) if len(data) - at <= HASH_BYTES else max(data.rfind(c, at, at + HASH_BYTES) for c in (b" ", b"\n", b"\t"))
+            cut = len(data) if cut <= at else cut
+            parts.append(_hashed(np.frombuffer(data[at:cut], np.uint8), table)[0])
+            at = cut
+        flush()
+        size = 0
+        out.append(np.concatenate(parts))
+    flush()
+    return out

@@ -23,31 +23,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrid.llm.common import checkpoint, written
+from citegrid.llm.common import Shield, checkpoint, hash_words, written
 
-RANK, OVERSAMPLE, RANDOM_SEED = 64, 8, 7
+RANK, OVERSAMPLE, RANDOM_SEED = 48, 8, 7
 #: Words of a passage of the matrix; words of a block, of which windows are made.
 PASSAGE, BLOCK = 64, 8
 #: Terms in more than this share of passages are stop words: they have weight 0 in vectors, but count in verification.
-MAX_DF = 0.1
-MIN_COSINE = 0.45
+MAX_DF = 0.02
+MIN_COSINE = 0.55
 #: Verbatim: this share of the item's words in order. Paraphrase: the lower share, and that share of the answer's.
 LCS_VERBATIM, LCS_PARAPHRASE, ANSWER = 0.8, 0.55, 0.75
 #: Items longer than this many words are searched in equal pieces; items shorter than MIN_WORDS are not searched.
 PIECE, MIN_WORDS = 64, 5
 #: (item words up to, blocks of a window, blocks from a window to the next): a window holds any such item whole.
-SIZES = ((24, 4, 1), (40, 6, 1), (PIECE, 10, 2))
+SIZES = ((16, 3, 1), (24, 4, 1), (40, 6, 1), (PIECE, 10, 2))
 #: A benchmark is a fixed query set; one with more pieces than this is refused rather than broadcast.
 MAX_PIECES = 100_000
 #: Words handled at once in a task.
-CHUNK = 400_000
-_EDGE = ".,;:!?\"'()[]{}|*#$%&<>-_/\\"
+CHUNK = 100_000
+#: ASCII characters that part words beside white space.
+_MARKS = ".,;:!?\"'()[]{}|*#$%&<>-_/\\"
+_PARTING = re.compile(r"[\x20\x09-\x0D" + re.escape(_MARKS) + "]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def terms_of(text: str | None) -> list[str]:
-    """Lower-case words without punctuation at their edges; words of punctuation alone are left out."""
-    return [w for w in (x.strip(_EDGE) for x in (text or "").lower().split()) if w]
+    """Lower-case words, parted by white space and punctuation."""
+    return [w for w in _PARTING.split((text or "").lower()) if w]
 
 
 @dataclass
@@ -87,29 +89,38 @@ def queries_of(rows: list[tuple[object, str | None]]) -> Queries:
     return q
 
 
+class _Numbers:
+    """Word hashes -> term numbers, 0 for other words: a table addressed by leading bits, and hashes to compare with."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.hashes = np.zeros(len(vocabulary) + 1, np.uint64)
+        self.hashes[1:] = np.concatenate(hash_words([" ".join(vocabulary)], _MARKS))
+        self.bits = max(16, 4 + len(vocabulary).bit_length())
+        self.order = np.argsort(self.hashes[1:]).astype(np.int32) + 1
+        self.first = np.searchsorted(self.hashes[self.order], np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.depth = int(np.bincount((self.hashes[1:] >> np.uint64(64 - self.bits)).astype(np.intp)).max()) if vocabulary else 0
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.int32)
+        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.intp)]
+        for k in range(self.depth):
+            n = self.order[np.minimum(at + k, len(self.order) - 1)]
+            np.copyto(out, n, where=self.hashes[n] == h)
+        return out
+
+
 def numbered(docs: DataFrame, q: Queries, key: str, text: str) -> DataFrame:
     """(_key, terms binary): the term numbers of each whole text, packed."""
     schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("terms", T.BinaryType())])
     shared, dtype = docs.sparkSession.sparkContext.broadcast(q.vocabulary), q.dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        known: dict[str, int] = {}  # words as they stand -> number, -1 for none; forgotten when it is large
+        numbers = _Numbers(shared.value)
         for batch in batches:
-            blobs = []
-            for text in batch.column(1).to_pylist():
-                ids = []
-                for w in (text or "").split():
-                    n = known.get(w)
-                    if n is None:
-                        bare = w.lower().strip(_EDGE)
-                        n = vocabulary.get(bare, 0) if bare else -1
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = n
-                    ids.append(n)
-                a = np.array(ids, np.int64)
-                blobs.append(a[a >= 0].astype(dtype).tobytes())
+            hashes = hash_words(batch.column(1).to_pylist(), _MARKS)
+            terms = numbers.of(np.concatenate(hashes)).astype(dtype) if hashes else np.zeros(0, dtype)
+            ends = np.cumsum([len(h) for h in hashes])
+            blobs = [t.tobytes() for t in np.split(terms, ends[:-1])] if hashes else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["_key", "terms"])
 
     return docs.select(key, text).mapInArrow(run, schema)
@@ -172,6 +183,7 @@ def _gram(numbers: DataFrame, weights: np.ndarray, basis: np.ndarray, dtype: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis = shared.value
+        weighted = weights[:, None] * basis
         total, used = np.zeros((size, rank)), False
         for _, terms, bounds in _chunks(batches, dtype):
             passage = _passages(terms, bounds, PASSAGE)
@@ -182,12 +194,12 @@ def _gram(numbers: DataFrame, weights: np.ndarray, basis: np.ndarray, dtype: np.
             used = True
             starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
             dense = np.cumsum(np.concatenate([[0], (passage[1:] != passage[:-1]).astype(np.intp)]))
-            w = weights[term][:, None]
-            projected = np.add.reduceat(basis[term] * w, starts)
-            order = np.argsort(term, kind="stable")
+            projected = np.add.reduceat(weighted[term], starts)
+            order = np.argsort(term.astype(dtype), kind="stable")
             term = term[order]
             firsts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-            total[term[firsts]] += np.add.reduceat(projected[dense[order]] * w[order], firsts)
+            total[term[firsts]] += np.add.reduceat(projected[dense[order]], firsts)
+        total *= weights[:, None]
         if used:
             blocks = list(range(0, size, rows))
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([total[b : b + rows].tobytes() for b in blocks], pa.binary())], ["block", "sums"])
@@ -271,13 +283,13 @@ def _search(numbers: DataFrame, q: Queries, vectors: np.ndarray, key_type: T.Dat
             starts = np.repeat(bounds[:-1], n_blocks) + BLOCK * (np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks))
             text = np.repeat(np.arange(len(keys)), n_blocks)
             ends = np.append(starts[1:], len(terms))
-            sums = np.zeros((len(starts) + 1, vectors.shape[1]))
+            sums = np.zeros((len(starts) + 1, vectors.shape[1]), np.float32)
             hit = np.flatnonzero(has_vector[terms])
             if len(hit):
                 block = np.searchsorted(starts, hit, side="right") - 1
                 first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
                 sums[block[first] + 1] = np.add.reduceat(vectors[terms[hit]], first)
-            sums = np.cumsum(sums, axis=0)
+            np.cumsum(sums, axis=0, out=sums)
             block_end = np.cumsum(n_blocks)[text]  # one past the text's last block
             rows: dict[tuple, tuple] = {}
             for blocks, step, own, wanted, holds in groups:
@@ -286,7 +298,7 @@ def _search(numbers: DataFrame, q: Queries, vectors: np.ndarray, key_type: T.Dat
                 use = np.flatnonzero((inside % step == 0) & ((inside == 0) | (last - np.arange(len(starts)) > blocks - step)))
                 for at in range(0, len(use), 16384):
                     w = use[at : at + 16384]
-                    v = (sums[last[w]] - sums[w]).astype(np.float32)
+                    v = sums[last[w]] - sums[w]
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                     cosine = v @ wanted.T
                     for a, b in _bounded(cosine, min_cosine, w, last, starts, ends, terms, holds, pieces, own):
@@ -350,7 +362,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those in which a benchmark item was found. Documents with a null key cannot be told apart and stay."""
     bad = checkpoint(leaks(docs, benchmark, key, text).select(F.col(key).alias("_leak")).distinct())
-    return docs.join(bad, F.col(key) == F.col("_leak"), "left_anti")
+    shield = Shield(docs)
+    return shield.restored(shield.df.join(bad, F.col(shield(key)) == F.col("_leak"), "left_anti"))
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
