@@ -182,9 +182,9 @@ def read_back(windows: DataFrame, conv: str = "conv_id", in_order: bool = False)
     """
     schema = T.StructType([_field(conv, windows.schema[conv].dataType), *(_field(n, T.StringType() if "sha" in n else T.LongType()) for n in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in schema.fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, s, rows = None, None, []
 
         def end() -> dict:
@@ -206,12 +206,12 @@ def read_back(windows: DataFrame, conv: str = "conv_id", in_order: bool = False)
                 s["f"] += len(text)
                 s["w"] += 1
             if len(rows) > 5000:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows), preserve_index=False)
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 rows = []
         if s:
             rows.append(end())
         if rows:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows), preserve_index=False)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     if not in_order:
         windows = windows.repartition(F.col(conv)).sortWithinPartitions(conv, "window")

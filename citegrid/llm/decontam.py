@@ -25,12 +25,13 @@ from pyspark.sql import types as T
 
 from citegrid.llm.common import Shield, checkpoint, hash_words, written
 
-RANK, OVERSAMPLE, RANDOM_SEED = 48, 8, 7
+RANK, OVERSAMPLE, RANDOM_SEED = 96, 8, 7
 #: Words of a passage of the matrix; words of a block, of which windows are made.
 PASSAGE, BLOCK = 64, 8
-#: Terms in more than this share of passages are stop words: they have weight 0 in vectors, but count in verification.
+#: Terms in more than this share of passages have weight 0 in vectors, unless they are of the rarer half of an item's
+#: terms; all terms count in verification.
 MAX_DF = 0.02
-MIN_COSINE = 0.55
+MIN_COSINE = 0.45
 #: Verbatim: this share of the item's words in order. Paraphrase: the lower share, and that share of the answer's.
 LCS_VERBATIM, LCS_PARAPHRASE, ANSWER = 0.8, 0.55, 0.75
 #: Items longer than this many words are searched in equal pieces; items shorter than MIN_WORDS are not searched.
@@ -227,7 +228,11 @@ def _gram(numbers: DataFrame, weights: np.ndarray, basis: np.ndarray, dtype: np.
 def latent_vectors(numbers: DataFrame, q: Queries, rank: int = RANK) -> np.ndarray:
     """(terms + 1) x rank float32: each term's weight times its row of the right singular vectors; row 0 is zero."""
     df, total = document_frequencies(numbers, q)
-    weights = np.where((df > 0) & (df <= max(MAX_DF * total, 1)), np.log((1 + total) / (1 + df)), 0.0)
+    kept = df <= MAX_DF * total
+    for p in q.pieces:  # each piece keeps the rarer half of its terms, whatever their frequency
+        own = np.unique(p.terms)
+        kept[own[np.argsort(df[own], kind="stable")][: math.ceil(len(own) / 2)]] = True
+    weights = np.where(kept & (df > 0), np.log1p(total / np.maximum(df, 1)), 0.0)
     wide = min(rank + OVERSAMPLE, max(1, int((weights > 0).sum())))
     start = np.random.default_rng(RANDOM_SEED).standard_normal((len(weights), wide))
     basis = np.linalg.qr(_gram(numbers, weights, start, q.dtype))[0]

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.llm.common import Shield
+
 ORDERS, BITS = (1, 2, 3), 15
 #: A bounded sample of labelled rows is enough for counts: rows whose hash falls into a share of SAMPLE_ROWS / rows.
 SAMPLE_ROWS = 20_000
@@ -136,7 +138,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             at = upto
         return pd.DataFrame({"lang_pred": names, "score": best})
 
-    return docs.drop("lang_pred", "score").withColumn("_p", score(F.col(text))).select("*", "_p.*").drop("_p")
+    shield = Shield(docs)
+    return shield.restored(shield.df.withColumn("_p", score(F.col(shield(text)))), lang_pred="_p.lang_pred", score="_p.score")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The filter of the pipeline: documents whose language is known with at least ``min_score``; columns of docs."""
-    columns = docs.columns
     model = fit(docs.select("doc_id", "lang", "text").filter(learns("doc_id")))
-    out = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    shield = Shield(docs)
+    out = predict(shield.df, model, shield("text")).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return shield.restored(out)

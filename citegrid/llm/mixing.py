@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrid.llm.common import checkpoint, n_words
+from citegrid.llm.common import Shield, checkpoint, n_words
 
 STEP, LEVELS = 12, 3
 #: Rows of the table of sources up to which it is broadcast; beyond, it is joined by a shuffle.
@@ -101,9 +101,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each row as often as the mix holds it (0 to 3 times); the columns of docs."""
     _, limits = _planned(docs, key, source, text)
-    places = docs.withColumn("_place", place(key)).join(limits, F.col(source).eqNullSafe(F.col("_s")))
-    copies = places.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), _copies().cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    shield = Shield(docs)
+    places = shield.df.withColumn("_place", place(shield(key))).join(limits, F.col(shield(source)).eqNullSafe(F.col("_s")))
+    return shield.restored(places.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), _copies().cast("int")))))
 
 
 ORACLE = """

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrid.llm.common import text_or_empty
+from citegrid.llm.common import Shield, text_or_empty
 
 #: A line is boilerplate on its host if more than LINE_DOCS documents and more than LINE_SHARE of the host's documents have it.
 LINE_DOCS, LINE_SHARE = 10, 0.01
@@ -98,8 +98,8 @@ def filter_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     keys are each judged with the lines of all of them, an empty table gives no rows. Of columns named like an added one
     the added one stays. ``clean_text`` costs nothing where it isn't selected.
     """
-    added = [*STATS, "base_failed", "removed_words", "clean_text", "kept"]
-    docs = docs.drop(*added)
+    shield = Shield(docs)
+    docs, key, host, text = shield.df, shield(key), shield(host), shield(text)
     lines = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.explode(F.transform(_lines(text), lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))).alias("_l"))
     often = frequent_lines(docs, host, text, min_docs, share).withColumnsRenamed({"_host": "_h", "_line": "_o"})
     hit = lines.join(often, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_l.line") == F.col("_o")), "left_semi")
@@ -111,7 +111,8 @@ def filter_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
     left = F.col("n_words") - F.coalesce(F.col("_words"), F.lit(0))
     depleted = (left < left_words) | (left < left_share * F.col("n_words"))
     clean = F.when(F.col("_lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col("_lines"), line_key(x))), "\n"))
-    return out.withColumns({"base_failed": failed, "removed_words": F.coalesce(F.col("_words"), F.lit(0)).cast("long"), "clean_text": clean, "kept": ~failed & ~depleted}).drop("_words", "_lines")
+    removed = F.coalesce(F.col("_words"), F.lit(0)).cast("long")
+    return shield.restored(out, **{c: c for c in STATS}, base_failed=failed, removed_words=removed, clean_text=clean, kept=~failed & ~depleted)
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrid.llm.common import text_or_empty
+from citegrid.llm.common import Shield, text_or_empty
 
 #: Rows a sub-bucket of a cell holds on average, at most.
 BUCKET_ROWS = 4096
@@ -52,20 +52,24 @@ def hilbert_index(coords: list[str], bits: int) -> Column:
         at_first = first.bitwiseXOR(F.when(is_set, low).otherwise(swap))
         return F.transform(x, lambda v, j: F.when(j == 0, at_first).when((j == step["i"]) & ~is_set, v.bitwiseXOR(swap)).otherwise(v))
 
-    x = F.array(*[F.col(c).cast("long") for c in coords])
-    if bits > 1:
-        x = F.aggregate(steps, x, undo)
-    gray = [F.get(x, F.lit(0))]
-    for j in range(1, n):
-        gray.append(gray[-1].bitwiseXOR(F.get(x, F.lit(j))))
-    flip = F.lit(0).cast("long")
-    for q in range(bits - 1, 0, -1):
-        flip = flip.bitwiseXOR(F.when(gray[-1].bitwiseAND(F.lit(1 << q)) != 0, F.lit((1 << q) - 1)).otherwise(F.lit(0)).cast("long"))
-    index = F.lit(0).cast("long")
-    for q in range(bits):
-        for i, g in enumerate(gray):
-            index = index.bitwiseOR(F.shiftleft(F.shiftright(g.bitwiseXOR(flip), q).bitwiseAND(F.lit(1).cast("long")), q * n + n - 1 - i))
-    return index
+    def index(x: Column) -> Column:
+        gray = [F.get(x, F.lit(0))]
+        for j in range(1, n):
+            gray.append(gray[-1].bitwiseXOR(F.get(x, F.lit(j))))
+        flip = F.lit(0).cast("long")
+        for q in range(bits - 1, 0, -1):
+            flip = flip.bitwiseXOR(F.when(gray[-1].bitwiseAND(F.lit(1 << q)) != 0, F.lit((1 << q) - 1)).otherwise(F.lit(0)).cast("long"))
+        # the bits of all coordinates, highest first, each coordinate flipped: a fold again, so that flip is written once
+        places = F.array(*[F.lit(q * n + i) for q in range(bits) for i in range(n)])
+        flipped = F.transform(F.array(*gray), lambda g: g.bitwiseXOR(flip))
+        return F.aggregate(places, F.struct(F.lit(0).cast("long").alias("index"), flipped.alias("g")), interleaved, lambda s: s["index"])
+
+    def interleaved(state: Column, place: Column) -> Column:
+        g = F.get(state["g"], n - 1 - place % n)
+        bit = F.call_function("shiftright", g, F.floor(place / n).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+        return F.struct(state["index"].bitwiseOR(F.call_function("shiftleft", bit, place)).alias("index"), state["g"].alias("g"))
+
+    return F.aggregate(steps, F.array(*[F.col(c).cast("long") for c in coords]), undo, index)
 
 
 def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 16, bits: int = 4, key: str = "doc_id") -> DataFrame:
@@ -76,10 +80,15 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 16, bits: i
     order, an empty table stays empty; other columns, whatever their names (but for the three added ones, which are
     replaced), pass through.
     """
-    docs = docs.drop("shard", "slot", "curve_index")
+    shield = Shield(docs)
+    docs, dims, key = shield.df, [shield(d) for d in dims], shield(key)
     bounds = step_bounds(docs, dims, bits)
     q = [f"_q{i}" for i in range(len(dims))]
-    step = lambda d, b: F.size(F.filter(F.array(*map(F.lit, b)), lambda x, v=ordinal(docs, d): x < v)) if b else F.lit(0)
+
+    def step(d: str, b: list[float]) -> Column:
+        value = ordinal(docs, d)
+        return F.size(F.filter(F.array(*map(F.lit, b)), lambda x: x < value)) if b else F.lit(0)
+
     rows = docs.withColumns({c: step(d, b) for c, d, b in zip(q, dims, bounds)} | {"_u": F.shiftrightunsigned(F.xxhash64(F.col(key)), 33)})
 
     # Cells along the curve: at most 2**(bits * len(dims)) rows, whatever the input, so they may be windowed and broadcast.
@@ -97,12 +106,8 @@ def hilbert_shards(docs: DataFrame, dims: list[str], n_shards: int = 16, bits: i
     rows = rows.join(parts, ["curve_index", "_part"])
     last = Window.partitionBy("curve_index", "_part").orderBy("_u", key)
     rank = F.col("_before") + F.col("_skip") + F.row_number().over(last) - 1
-    return (
-        rows.withColumn("_rank", rank)
-        .withColumn("shard", F.expr(f"cast((_rank * {n_shards}) div _total as int)"))
-        .withColumn("slot", F.expr(f"_rank - (shard * _total + {n_shards - 1}) div {n_shards}"))
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot", "curve_index")
-    )
+    cut = rows.withColumn("_rank", rank).withColumn("_shard", F.expr(f"cast((_rank * {n_shards}) div _total as int)"))
+    return shield.restored(cut, shard="_shard", slot=F.expr(f"_rank - (_shard * _total + {n_shards - 1}) div {n_shards}"), curve_index="curve_index")
 
 
 def write_shards(sharded: DataFrame, path: str, n_shards: int = 16) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrid.llm.common import checkpoint, dropping_shuffles, shared_path
+from citegrid.llm.common import Shield, checkpoint, dropping_shuffles, shared_path
 from citegrid.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -198,10 +198,11 @@ def hex16(fp: Column) -> Column:
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest key. Of rows with equal keys one stays."""
-    found = checkpoint(near_duplicates(docs, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")))
-    kept = docs.join(found.distinct(), F.col(key) == F.col("_kept"), "left_semi")
+    found = checkpoint(near_duplicates(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")))
+    shield = Shield(docs)
+    kept = shield.df.join(found.distinct(), F.col(shield(key)).eqNullSafe(F.col("_kept")), "left_semi")
     repeated = found.groupBy("_kept").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([key]) if repeated else kept
+    return shield.restored(kept.dropDuplicates([shield(key)]) if repeated else kept)
 
 
 def op8(docs: DataFrame) -> DataFrame:
