@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def bibliographies(spark: SparkSession, folder: str) -> DataFrame:
-    """The .bib files (in any case) of a folder, not of those below it: file and size. None at all is an error."""
+    """The .bib files (in any case) of a folder, not of those below it: file and size. Spark skips files without content;
+    none at all is an error."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[bB][iI][bB]").option("recursiveFileLookup", "false").load(folder).select(F.col("path").alias("file"), F.col("length").alias("size"))
     if not found.limit(1).count():
         raise FileNotFoundError(f"no .bib files found in {folder}")

@@ -22,7 +22,7 @@ def test_key_lists_and_selection(spark, tmp_path):
 
 def test_folder(spark, tmp_path):
     (tmp_path / "b.BIB").write_text("@misc{x, a = {1}}\n")
-    (tmp_path / "a.bib").write_text("")
+    (tmp_path / "a.bib").write_text("% none\n")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "c.bib").write_text("")
     (tmp_path / "d.txt").write_text("")
