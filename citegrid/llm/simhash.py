@@ -31,7 +31,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 _MASK_BITS = 12
-PASSES = 8
+#: Passes over the key space: as many as keep one under PASS_BYTES of packed variants, 1 to PASSES.
+PASSES, PASS_BYTES = 8, 1 << 29
 #: Fingerprints whose variants are gathered before they are sent, and those expanded at once.
 SEND, EXPAND = 4096, 1024
 #: Variants that one shuffle key holds on average, at most.
@@ -161,11 +162,13 @@ def _links(key_bits: int):
     return run
 
 
-def ball_links(points: DataFrame, passes: int = PASSES) -> DataFrame:
+def ball_links(points: DataFrame, passes: int | None = None) -> DataFrame:
     """(fp long, distinct) -> (a, b): links whose connected components are those of all pairs within RADIUS bits."""
     spark = points.sparkSession
     count = points.count()
     key_bits = max(_MASK_BITS, math.ceil(math.log2(max(1, count) * len(masks()) / PER_KEY)))
+    if passes is None:  # a power of two; any number gives the same links
+        passes = min(PASSES, 1 << max(0, math.ceil(math.log2(max(1, count * len(masks()) * 8 / PASS_BYTES)))))
     path, schema = shared_path(spark, "links"), "a long, b long"
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     for at in range(passes):
