@@ -286,6 +286,44 @@ def test_pairs_do_not_depend_on_batches():
     assert read(1) == read(4) == read(1000) and read(1)
 
 
+def test_unsure_places():
+    rng = np.random.default_rng(4)
+    m, h = substring.MIN_SHINGLES, substring.HASHES
+    windows = [(f, *w) for f in range(h) for w in zip(*(x.tolist() for x in substring.compact_windows(rng.permutation(300).astype(np.uint64) + np.uint64(1))))]
+    some = np.array([w for w in windows if rng.random() < 0.8])
+    depth = [sum(l <= p and p <= c < p + m and p + m - 1 <= r for _, l, c, r in some.tolist()) for p in range(300 - m + 1)]
+    assert {p for s, e in substring.unsure(some) for p in range(s, e + 1)} == {p for p, n in enumerate(depth) if n > h - substring.NEED}
+    x = rng.integers(1, 1 << 63, 100).astype(np.uint64)
+    twice = substring.run_hashes(np.concatenate([x, x]))
+    assert (twice[: 100 - m + 1] == twice[100:]).all() and len(set(twice[:100].tolist())) == 100 and not len(substring.run_hashes(x[: m - 1]))
+
+
+def test_passages_around_a_frequent_line(spark):
+    """Every run of 50 words that two texts share, found by brute force, is within a passage, though 40 are in all texts."""
+    rnd = random.Random(13)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrstx"]
+    p = lambda n: prose(rnd, n, words)
+    line, texts = p(40), []
+    for _ in range(40):
+        before, after = p(10), p(10)
+        texts += [f"{p(30)} {before} {line} {after} {p(30)}" for _ in range(2)]
+    texts += [f"{p(30)} {line} {p(30)}" for _ in range(100)]
+    rnd.shuffle(texts)
+    out = substring.repeated_passages(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    spans = {}
+    for r in out:
+        spans.setdefault((r.doc_id, r.other_doc_id), []).append((r.start_word, r.end_word))
+    places = {}
+    for i, t in enumerate(texts):
+        own = t.split()
+        for at in range(len(own) - 49):
+            places.setdefault(" ".join(own[at : at + 50]), []).append((i, at))
+    both = {(i, j, at, to) for found in places.values() for i, at in found for j, to in found if i < j}
+    assert len({x[:2] for x in both}) == 40
+    held = lambda i, j, at: any(s <= at and at + 50 <= e for s, e in spans.get((i, j), []))
+    assert all(held(i, j, at) or held(j, i, to) for i, j, at, to in both)
+
+
 # --- the pipeline
 
 
