@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from citegrid.llm.common import Shield
 
 ORDERS, BITS = (1, 2, 3), 15
-#: A bounded sample of labelled rows is enough for counts: rows whose hash falls into a share of SAMPLE_ROWS / rows.
+#: A bounded sample of labelled rows is enough for counts. Each language has an equal quota of SAMPLE_ROWS; what small
+#: ones leave goes to the larger ones.
 SAMPLE_ROWS = 20_000
 #: The matrix has at most MAX_LANGS x 2**BITS float32 values: 64 MB.
 MAX_LANGS = 512
@@ -72,19 +73,26 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the log-probability matrix, buckets x languages, of rows with key, lang and text.
 
-    Rows with a null lang or text are not used. If there are more than ``sample_rows`` rows, those are used whose key's
-    hash falls into the share sample_rows / rows; each with its whole text.
+    Rows with a null lang or text are not used. If there are more than ``sample_rows`` rows, those of a language are used
+    whose key's hash falls into the share quota / its rows, each with its whole text. The quota is such that about
+    ``sample_rows`` rows are used; languages with fewer rows than that are used whole, so all are learnt at any size.
     """
-    rows = labelled.filter(F.col("lang").isNotNull())
-    total = rows.select("lang").count()
-    rows = rows.filter(F.col("text").isNotNull())
-    if total > sample_rows:
-        u = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), 34)  # 0 .. 2**30 - 1
-        rows = rows.filter(u < int(sample_rows / total * 2**30))
-    counts = rows.select("lang", "text").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).limit(MAX_LANGS + 1).collect()}
+    langs = sorted(sizes)
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
+    if sum(sizes.values()) > sample_rows:
+        quota, left = 0.0, float(sample_rows)
+        for k, n in enumerate(sorted(sizes.values())):
+            quota = left / (len(sizes) - k)
+            if n > quota:
+                break
+            left -= n
+        u = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), 34)  # 0 .. 2**30 - 1
+        shares = F.create_map(*[F.lit(v) for x, n in sizes.items() for v in (x, int(min(1.0, quota / n) * 2**30))])
+        rows = rows.filter(u < shares[F.col("lang")])
+    counts = rows.select("lang", "text").mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     matrix = np.zeros((1 << BITS, len(langs)))
     got = counts.toPandas()  # at most MAX_LANGS x 2**BITS rows
     matrix[got["bucket"].to_numpy(), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=int, na_value=0)] = got["n"].to_numpy()

@@ -160,6 +160,13 @@ def test_langid(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_langid_learns_rare_languages_from_a_sample(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 7 THEN 'rare' WHEN id % 3 = 0 THEN 'aa' ELSE 'bb' END AS lang", "CASE WHEN id % 1000 = 7 THEN 'qq' WHEN id % 3 = 0 THEN 'ab' ELSE 'cd' END AS text")
+    langs, matrix = langid.fit(df, sample_rows=60)
+    assert langs == ["aa", "bb", "rare"] and matrix.shape == (1 << langid.BITS, 3)
+    assert langid.fit(df.filter("lang = 'rare'"))[1][:, 0].tolist() == matrix[:, 2].tolist()  # learnt whole
+
+
 def test_langid_batches_are_independent():
     rng = np.random.default_rng(0)
     matrix = rng.random((1 << langid.BITS, 3)).astype(np.float32)
