@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset is one made (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local master, which has no other machines, gets one made where neither is set; a cluster gets an error.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found:
         return found
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-checkpoint-"))
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -37,9 +42,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Paths of intermediate tables, by application; see discard_intermediates().
+_MADE: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; unless it is to be kept, discard_intermediates() deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Delete the tables that operators wrote between their steps.
+
+    Results are lazy and read such tables, so this is for the caller, once the results have been written. (Checkpoints
+    go by themselves where spark.cleaner.referenceTracking.cleanCheckpoints is set.)
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for made in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(conf).delete(path, True)
 
 
 class Shield:
@@ -95,11 +119,26 @@ def n_words(c: Column | str) -> Column:
 
 
 _POWER, _ODD = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
-#: Bytes that are hashed at once.
-HASH_BYTES = 4_000_000
-
-
-@lru_cache(maxsize=4)
+#: Bytes that are hashed at once. Workers live on from stage to stage, and what they have once touched they keep.
+HASH_BYTES = 500_000
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """data in pieces that begin at white space, of ``size`` bytes at most unless a word is longer."""
+    at = 0
+    while at < len(data):
+        cut = len(data)
+        if cut - at > size:
+            cut = max(data.rfind(c, at, at + size) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
+            if cut <= at:
+                found = _WHITE.search(data, at + size)
+                cut = found.start() if found else len(data)
+        yield data[at:cut]
+        at = cut
+
+
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 .. n - 1 of an odd number modulo 2**64, and their inverses."""
     both = np.ones((2, n), np.uint64)
@@ -108,6 +147,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers and inverses. Tables of usual sizes are kept, larger ones, for one long word, are not."""
+    size = 1 << max(16, n.bit_length())
+    return _powers(size) if size <= 1 << HASH_BYTES.bit_length() else _powers.__wrapped__(size)
+
+
 @lru_cache(maxsize=4)
 def _parting(separators: str) -> np.ndarray:
     table = np.zeros(256, bool)
@@ -119,7 +164,7 @@ def _hashed(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some bytes, and where each begins: polynomial sums, all words at once."""
     edge = np.diff(np.concatenate([[0], (~table[x]).view(np.int8), [0]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, back = _powers(1 << max(16, int(len(x)).bit_length()))
+    up, back = powers(len(x))
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * back[starts]
@@ -153,14 +198,8 @@ def hash_words(texts: list[str | None], separators: str = "") -> list[np.ndarray
             group.append(data)
             size += len(data)
             continue
-        parts, at = [], 0
-        while at < len(data):
-            cut = len(data) if len(data) - at <= HASH_BYTES else max(data.rfind(c, at, at + HASH_BYTES) for c in (b" ", b"\n", b"\t"))
-            cut = len(data) if cut <= at else cut
-            parts.append(_hashed(np.frombuffer(data[at:cut], np.uint8), table)[0])
-            at = cut
         flush()
         size = 0
-        out.append(np.concatenate(parts))
+        out.append(np.concatenate([_hashed(np.frombuffer(piece, np.uint8), table)[0] for piece in pieces(data, HASH_BYTES)]))
     flush()
     return out

@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrid.llm.common import Shield, checkpoint, dropping_shuffles, shared_path
+from citegrid.llm.common import Shield, checkpoint, dropping_shuffles, pieces, shared_path
 from citegrid.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Bytes of a text that are hashed at once.
+PIECE = 1 << 18
 #: A bijection of 64-bit numbers that spreads fingerprints over the keys: multiplication by an odd constant.
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -34,23 +36,22 @@ _MASK_BITS = 12
 #: Passes over the key space: as many as keep one under PASS_BYTES of packed variants, 1 to PASSES.
 PASSES, PASS_BYTES = 8, 1 << 29
 #: Fingerprints whose variants are gathered before they are sent, and those expanded at once.
-SEND, EXPAND = 4096, 1024
+SEND, EXPAND = 1024, 128
 #: Variants that one shuffle key holds on average, at most.
-PER_KEY = 1 << 22
+PER_KEY = 1 << 20
 
 
 def fingerprint_of(text: str | None) -> int:
-    """The unsigned fingerprint of one whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
+    """The unsigned fingerprint of one whole text, which is worked off in pieces of PIECE bytes."""
+    ones, n, words = np.zeros(64, np.int64), 0, []
+    for piece in pieces((text or "").encode("utf-8", "surrogatepass").lower(), PIECE):
+        words = words[1 - SHINGLE :] + piece.split()
         hashes = [xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+        n += len(hashes)
+        ones += np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 @F.pandas_udf(T.LongType())
@@ -94,13 +95,12 @@ def _variants(key_bits: int, passes: int, at: int):
             held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             if sum(map(len, held)) >= SEND:
                 points = np.concatenate(held)
-                for k in range(0, len(points), SEND):
+                whole = len(points) - len(points) % SEND
+                for k in range(0, whole, SEND):
                     yield send(points[k : k + SEND])
-                held = []
-        if held:
-            points = np.concatenate(held)
-            for k in range(0, len(points), SEND):
-                yield send(points[k : k + SEND])
+                held = [points[whole:]]
+        if held and len(points := np.concatenate(held)):
+            yield send(points)
 
     return run
 
@@ -179,20 +179,25 @@ def ball_links(points: DataFrame, passes: int | None = None) -> DataFrame:
     return spark.read.schema(f"{schema}, pass int").parquet(path).select("a", "b").distinct()
 
 
+def _linked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per row: _key, _tid (a hash of the text), fp, _root (which names the component) and _component (its smallest key)."""
+    base = checkpoint(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_tid"), fingerprint(F.col(text)).alias("fp")))  # the one pass over texts
+    points = checkpoint(base.groupBy("fp").agg(F.min("_key").alias("_least")))
+    roots = connected_components(ball_links(points)).withColumnsRenamed({"node": "_node", "root": "_root"})
+    named = points.join(roots, F.col("fp") == F.col("_node"), "left").select("fp", F.coalesce("_root", "fp").alias("_root"), "_least")
+    least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
+    return base.join(checkpoint(named.join(least, "_root").select("fp", "_root", "_component")), "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, fingerprint (16 hex digits) and component_id, the smallest key it is linked to, itself included.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with equal texts are linked
-    through their common fingerprint, however many they are. A null key is never a component's id unless all its keys
-    are null. An empty table gives no rows; columns other than the two named are not read.
+    through their common fingerprint, however many they are; rows with equal keys are rows of their own. A null key is
+    never a component's id unless all its keys are null. Very long texts are hashed in pieces, so beside the text itself
+    a task holds a few MB. An empty table gives no rows; columns other than the two named are not read.
     """
-    base = checkpoint(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text)).alias("fp")))  # the one pass over texts
-    points = checkpoint(base.groupBy("fp").agg(F.min("_key").alias("_least")))
-    roots = connected_components(ball_links(points))
-    least = points.join(roots, points.fp == roots.node).groupBy("root").agg(F.min("_least").alias("_component"))
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "_component")
-    of_point = checkpoint(points.join(named, "fp", "left").select("fp", F.coalesce("_component", "_least").alias("_component")))
-    return base.join(of_point, "fp").select(F.col("_key").alias(key), hex16(F.col("fp")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    return _linked(docs, key, text).select(F.col("_key").alias(key), hex16(F.col("fp")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def hex16(fp: Column) -> Column:
@@ -200,12 +205,17 @@ def hex16(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest key. Of rows with equal keys one stays."""
-    found = checkpoint(near_duplicates(docs, key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")))
+    """docs with one row of each component: that with the smallest key (null keys last, then the smallest text hash).
+
+    Rows are judged one by one, so of rows with equal keys each stays or goes with its own component. Rows that have
+    their key and their text in common are one row.
+    """
+    first = F.min(F.struct(F.col("_key").isNull().alias("no_key"), "_key", "_tid")).alias("_first")
+    found = checkpoint(_linked(docs, key, text).groupBy("_root").agg(first).select("_first._key", "_first._tid"))
     shield = Shield(docs)
-    kept = shield.df.join(found.distinct(), F.col(shield(key)).eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = found.groupBy("_kept").count().filter("count > 1").limit(1).count()
-    return shield.restored(kept.dropDuplicates([shield(key)]) if repeated else kept)
+    own = shield.df.withColumn("_own", F.xxhash64(shield(text)))
+    kept = own.join(found, F.col(shield(key)).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_tid")), "left_semi")
+    return shield.restored(kept.dropDuplicates([shield(key), "_own"]))
 
 
 def op8(docs: DataFrame) -> DataFrame:
