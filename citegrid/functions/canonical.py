@@ -50,8 +50,13 @@ def bibliographic_fields(fields: Column) -> Column:
 
 
 def canonical_json(entry_type: Column, fields: Column, hidden: tuple[str, ...] = WORKFLOW_FIELDS) -> Column:
-    """{"ENTRYTYPE": type, field: value, ...} without workflow fields and without the citation key."""
-    entries = F.concat(F.array(F.struct(F.lit("ENTRYTYPE").alias("key"), entry_type.alias("value"))), F.map_entries(F.transform_keys(without(fields, hidden), lambda k, v: F.lower(k))))
+    """{"ENTRYTYPE": type, field: value, ...} without workflow fields and without the citation key.
+
+    Names are written in lower case. Of names that differ in case only, the one last in byte order counts.
+    """
+    named = F.array_sort(F.map_entries(without(fields, hidden)))
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: F.lower(x["key"]) == F.lower(e["key"])))
+    entries = F.concat(F.array(F.struct(F.lit("ENTRYTYPE").alias("key"), entry_type.alias("value"))), F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     return _lower_escapes(F.to_json(F.map_from_entries(F.array_sort(entries))))
 
 

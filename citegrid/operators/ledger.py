@@ -6,13 +6,13 @@ previous, operation, actor, timestamp, snapshot, state), sources (entry_key, fie
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import canonical as cn
 from citegrid.functions import text as tx
+from citegrid.operators import proposals as pr
+from citegrid.storage import checkpoint
 
 
 def consistency(bibliography: DataFrame, lock: DataFrame) -> DataFrame:
@@ -33,28 +33,52 @@ def dangling(refs: DataFrame, ref: str, targets: DataFrame, target: str) -> Data
     return refs.filter(F.col(ref).isNotNull()).join(targets.select(F.col(target).alias("_t")).distinct(), F.col(ref) == F.col("_t"), "left_anti")
 
 
-def chain(revisions: DataFrame, heads: DataFrame, max_length: int = 1 << 20) -> DataFrame:
+def _jumps(revisions: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (at, to) of the ancestors 1, 2, 4, ... steps back, and the revisions (at) from which a cycle is reached.
+
+    A path of more steps than there are links comes by a revision twice, so whatever has an ancestor that far back leads
+    into a cycle, and nothing else does.
+    """
+    level = checkpoint(revisions.filter(F.col("previous").isNotNull()).select(F.col("id").alias("at"), F.col("previous").alias("to")))
+    links, levels = level.count(), []
+    while not level.isEmpty():
+        if 1 << len(levels) > links:
+            return levels, level.select("at").distinct()
+        levels.append(level)
+        level = checkpoint(level.alias("a").join(level.alias("b"), F.col("a.to") == F.col("b.at")).select(F.col("a.at").alias("at"), F.col("b.to").alias("to")))
+    return levels, None
+
+
+def cyclic(revisions: DataFrame) -> DataFrame:
+    """(id) of the revisions from which a cycle is reached."""
+    _, found = _jumps(revisions)
+    return revisions.select("id").limit(0) if found is None else found.select(F.col("at").alias("id"))
+
+
+def chain(revisions: DataFrame, heads: DataFrame) -> DataFrame:
     """(entry_key, head) -> entry_key, position (0 at the head), id, and ``error`` for a missing link or another's revision.
 
-    Chains are followed by doubling: after k rounds each revision knows its ancestor 2**k steps back, and the reached set
-    has 2**k positions. So the number of joins grows with the logarithm of the longest chain. A chain longer than there
-    are revisions, or than max_length, is a cycle: its rows have the error ``cycle``.
+    Chains are followed by doubling: with the ancestors 2**k steps back, the positions reached are twice as many after
+    each round, so rounds grow with the logarithm of the longest chain, of any length. Each round is checkpointed, which
+    keeps the plan flat. A head from which a cycle is reached is not followed: it has one row, with the error ``cycle``.
+    Revision IDs are unique; a null head has no rows.
     """
-    step = revisions.select(F.col("id").alias("at"), F.col("previous").alias("to"))
-    reached = heads.filter(F.col("head").isNotNull()).select("entry_key", F.lit(0).cast("long").alias("position"), F.col("head").alias("id"))
-    total = revisions.count()
-    rounds = max(1, math.ceil(math.log2(max(2, min(total + 1, max_length)))))
-    for k in range(rounds):
-        live = step.filter(F.col("to").isNotNull())
-        more = reached.join(live, F.col("id") == F.col("at")).select("entry_key", (F.col("position") + (1 << k)).alias("position"), F.col("to").alias("id"))
-        reached = reached.unionByName(more)
-        if not live.limit(1).count():
+    levels, loops = _jumps(revisions)
+    start = heads.filter(F.col("head").isNotNull()).select("entry_key", F.lit(0).cast("long").alias("position"), F.col("head").alias("id"))
+    looped = None
+    if loops is not None:
+        looped = start.join(loops, F.col("id") == F.col("at"), "left_semi")
+        start = start.join(loops, F.col("id") == F.col("at"), "left_anti")
+    reached = start = checkpoint(start)
+    for k, level in enumerate(levels):
+        more = checkpoint(reached.join(level, F.col("id") == F.col("at")).select("entry_key", (F.col("position") + (1 << k)).alias("position"), F.col("to").alias("id")))
+        if more.isEmpty():
             break
-        step = live.alias("a").join(step.alias("b"), F.col("a.to") == F.col("b.at"), "left").select(F.col("a.at").alias("at"), F.col("b.to").alias("to"))
+        reached = reached.unionByName(more)
     r = revisions.select(F.col("id").alias("rid"), "target")
-    out = reached.join(r, F.col("id") == F.col("rid"), "left")
-    error = F.when(F.col("rid").isNull(), "missing revision").when(F.col("target") != F.col("entry_key"), "revision of another target").when(F.col("position") >= total, "cycle")
-    return out.select("entry_key", "position", "id", error.alias("error"))
+    error = F.when(F.col("rid").isNull(), "missing revision").when(F.col("target") != F.col("entry_key"), "revision of another target")
+    out = reached.join(r, F.col("id") == F.col("rid"), "left").select("entry_key", "position", "id", error.alias("error"))
+    return out if looped is None else out.unionByName(looped.select("entry_key", "position", "id", F.lit("cycle").alias("error")))
 
 
 def counts(revisions: DataFrame, chains: DataFrame) -> DataFrame:
@@ -107,6 +131,24 @@ def shortest_ids(hashes: DataFrame, least: int = 8) -> DataFrame:
     return h.withColumn("_n", F.greatest(F.lit(least), F.coalesce(other, F.lit(0)) + 1)).select("sha256", F.concat(F.lit("rev:"), F.left("sha256", F.col("_n").cast("int"))).alias("id"))
 
 
+def snapshot_hash(snapshot: Column, state: Column) -> Column:
+    """SHA-256 of a revision's [snapshot, state], both JSON."""
+    return F.sha2(F.concat(F.lit("["), snapshot, F.lit(","), state, F.lit("]")), 256)
+
+
+def revision_hash(target: Column, previous: Column, operation: Column, actor: Column, timestamp: Column, snapshot: Column, state: Column, snapshot_sha256: Column) -> Column:
+    """SHA-256 of the eight values of a revision as a JSON array; its link to the one before is one of them."""
+    parts = [cn.json_text(target), cn.json_text(previous), cn.json_text(operation), cn.json_text(actor), timestamp.cast("string"), snapshot, state, cn.json_text(snapshot_sha256)]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256)
+
+
+def hashed(revisions: DataFrame) -> DataFrame:
+    """revisions (target, previous, operation, actor, timestamp, snapshot, state) with snapshot_sha256 and revision_sha256."""
+    c = F.col
+    out = revisions.withColumn("snapshot_sha256", snapshot_hash(c("snapshot"), c("state")))
+    return out.withColumn("revision_sha256", revision_hash(c("target"), c("previous"), c("operation"), c("actor"), c("timestamp"), c("snapshot"), c("state"), c("snapshot_sha256")))
+
+
 def commit_edit(old: DataFrame, new: DataFrame, operation: str, actor: str, timestamp: int) -> DataFrame:
     """Revisions that an edit makes. ``old`` and ``new``: entry_key, content_hash, snapshot (JSON), state (JSON), head.
 
@@ -116,10 +158,8 @@ def commit_edit(old: DataFrame, new: DataFrame, operation: str, actor: str, time
     o = old.select("entry_key", F.col("content_hash").alias("oh"), F.col("state").alias("os"), "snapshot", F.col("head").alias("previous"))
     n = new.select("entry_key", F.col("content_hash").alias("nh"), F.col("state").alias("ns"), F.lit(True).alias("here"))
     j = o.join(n, "entry_key", "left").filter(F.col("here").isNull() | ~F.col("oh").eqNullSafe(F.col("nh")) | ~F.col("os").eqNullSafe(F.col("ns")))
-    made = j.select("entry_key", F.lit(operation).alias("operation"), F.lit(actor).alias("actor"), F.lit(timestamp).cast("long").alias("timestamp"), "previous", "snapshot", F.col("os").alias("state"), F.col("here").isNull().alias("tombstone"))
-    made = made.withColumn("snapshot_sha256", F.sha2(F.concat(F.lit("["), "snapshot", F.lit(","), "state", F.lit("]")), 256))
-    payload = F.concat(F.lit("["), F.concat_ws(",", cn.json_text(F.col("entry_key")), cn.json_text(F.col("previous")), cn.json_text(F.col("operation")), cn.json_text(F.col("actor")), F.col("timestamp").cast("string"), "snapshot", "state", cn.json_text(F.col("snapshot_sha256"))), F.lit("]"))
-    return made.withColumn("revision_sha256", F.sha2(payload, 256))
+    made = j.select("entry_key", F.col("entry_key").alias("target"), F.lit(operation).alias("operation"), F.lit(actor).alias("actor"), F.lit(timestamp).cast("long").alias("timestamp"), "previous", "snapshot", F.col("os").alias("state"), F.col("here").isNull().alias("tombstone"))
+    return hashed(made)
 
 
 def restore(revisions: DataFrame, revision_id: Column, current: DataFrame) -> DataFrame:
@@ -128,10 +168,12 @@ def restore(revisions: DataFrame, revision_id: Column, current: DataFrame) -> Da
     return r.join(current.select("entry_key", F.lit(True).alias("here")), "entry_key", "left").select("entry_key", "snapshot", "state", F.col("here").isNull().alias("inserted"))
 
 
-def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFrame, version: str = "1.1", tool_version: str = "1") -> DataFrame:
-    """All violations as a sorted set of (error). Each rule is a query of its own; entries need entry_key, deleted,
+def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFrame, proposals: DataFrame | None = None, version: str = "1.1", tool_version: str = "1") -> DataFrame:
+    """All violations as a set of (error), in no order. Each rule is a query of its own; entries need entry_key, deleted,
     content_hash, snapshot_key, snapshot_hash, source, integrity_hash, integrity_source, approval (struct or null), head;
-    revisions id, target, previous, snapshot_key, source."""
+    revisions id, target, previous, operation, actor, timestamp, snapshot and state (JSON), snapshot_sha256,
+    revision_sha256, snapshot_key, source; proposals what proposals.invalid() needs, and before (JSON) and decision_revision.
+    """
     spark = entries.sparkSession
     e, key = entries, F.concat(F.lit("entry "), "entry_key")
     say = lambda df, *parts: df.select(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("error"))
@@ -140,12 +182,15 @@ def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFra
     own = cn.approval_id(a["kind"], a["method"], a["reviewer"], a["target"], a["content_hash"], a["timestamp"], a["batch_id"])
     heads = e.filter("head IS NOT NULL").join(revisions.select(F.col("id").alias("rid"), "target"), F.col("head") == F.col("rid"), "left")
     parents = revisions.filter("previous IS NOT NULL").alias("r").join(revisions.alias("p"), F.col("r.previous") == F.col("p.id"), "left")
+    full = revision_hash(*[F.col(n) for n in ("target", "previous", "operation", "actor", "timestamp", "snapshot", "state", "snapshot_sha256")])
+    digits = F.substring(F.col("id"), 5, 64)
+    named = F.coalesce(F.startswith("id", F.lit("rev:")) & (F.length(digits) >= 8) & F.startswith(full, digits), F.lit(False))
     rules = [
         say(dangling(e, "source", sources, "entry_key"), key, " references missing source ", F.col("source")),
         say(e.groupBy("entry_key").agg(F.count_distinct("deleted").alias("n")).filter("n > 1"), key, " is both active and deleted"),
         say(heads.filter("rid IS NULL"), key, " references missing revision ", F.col("head")),
         say(heads.filter("target <> entry_key"), key, " head belongs to another target"),
-        say(chain(revisions, e.select("entry_key", "head")).filter("error = 'cycle'").select("entry_key").distinct(), key, " has a history cycle"),
+        say(e.join(cyclic(revisions), F.col("head") == F.col("id"), "left_semi"), key, " has a history cycle"),
         say(e.filter(bad_sha("content_hash")), key, " has invalid contentHash"),
         say(e.filter("snapshot_key IS NOT NULL AND (snapshot_key <> entry_key OR NOT snapshot_hash <=> content_hash)"), key, " snapshot hash does not match"),
         say(e.filter(F.col("integrity_hash").isNotNull() & bad_sha("integrity_hash")), key, " has invalid integrity contentHash"),
@@ -156,9 +201,16 @@ def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFra
         say(e.filter(a.isNotNull() & (a["id"] != own)), key, " has invalid approval id"),
         say(revisions.filter("snapshot_key <> target"), "revision ", F.col("id"), " snapshot belongs to another target"),
         say(dangling(revisions, "source", sources, "entry_key"), "revision ", F.col("id"), " references missing source ", F.col("source")),
+        say(revisions.filter(~F.col("snapshot_sha256").eqNullSafe(snapshot_hash(F.col("snapshot"), F.col("state")))), "revision ", F.col("id"), " snapshot hash does not match"),
+        say(revisions.filter(~F.col("revision_sha256").eqNullSafe(full) | ~named), "revision ", F.col("id"), " hash does not match"),
         say(parents.filter("p.id IS NULL"), "revision ", F.col("r.id"), " references missing ", F.col("r.previous")),
         say(parents.filter("p.target <> r.target"), "revision ", F.col("r.id"), " links to another target through ", F.col("r.previous")),
     ]
+    if proposals is not None:
+        rules.append(say(pr.invalid(proposals), "proposal ", F.col("id"), ": ", F.col("error")))
+        decided = proposals.filter("decision_revision IS NOT NULL").select(F.col("id").alias("pid"), F.col("target").alias("pt"), F.col("before").alias("pb"), "decision_revision")
+        decided = decided.join(revisions, F.col("decision_revision") == F.col("id"), "left").filter(~(F.col("target").eqNullSafe(F.col("pt")) & F.col("snapshot").eqNullSafe(F.col("pb"))))
+        rules.append(say(decided, "proposal ", F.col("pid"), " decision references an invalid adoption revision"))
     if version not in ("1.0", "1.1"):
         rules.append(spark.range(1).select(F.lit(f"unsupported lockfileVersion {version}").alias("error")))
     if not tool_version.strip():

@@ -8,16 +8,40 @@ from pyspark.sql import functions as F
 from citegrid.functions import text as tx
 
 MATCH_SCORE = 0.9
-
-
-def search(records: DataFrame, provider: DataFrame, k: int = 5) -> DataFrame:
-    """(entry_key, title, author) x provider (id, title, author) -> the k candidates of each record with most title
-    words in common (ties by ID): an equi-join on words, summed up before it is ranked."""
+#: How many of a title's words, the rarest ones, lead to candidates.
+RARE_WORDS = 4
+#: Why an agent may not adopt a proposal. These sentences are what callers are shown.
+NO_PROVIDER = "no provider support; human approval required"
+RECORD_BELOW = "exact provider record is below the title/author threshold or cannot be scored"
+CANDIDATE_BELOW = "selected search candidate is below the title/author threshold"
+SEVERAL = "multiple title-search candidates meet the threshold; human review required"
+STALE = "proposal baseline is stale"
+
+
+def search(records: DataFrame, provider: DataFrame, k: int = 5, rare: int = RARE_WORDS) -> DataFrame:
+    """(entry_key, title, author) x provider (id, title, author) -> the k candidates of each record that share most title
+    words with it (ties by ID), of those that hold one of its ``rare`` rarest words (by provider titles, then by spelling).
+
+    Titles of equal word sets are searched once, and of equal provider titles the k smallest IDs can be candidates only;
+    so copies, however many, cost neither pairs nor long groups. A word that all titles have is a rare word of none but
+    titles of frequent words; how many words are shared is then counted on the sets themselves.
+    """
     k = min(max(k, 1), 20)
-    words = lambda df, key, name: df.select(F.col(key).alias(name), F.explode(tx.tokens(F.col("title"))).alias("w"))
-    shared = words(records, "entry_key", "entry_key").join(words(provider, "id", "id"), "w").groupBy("entry_key", "id").agg(F.count(F.lit(1)).alias("shared"))
-    best = Window.partitionBy("entry_key").orderBy(F.desc("shared"), "id")
-    return shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    asked = records.select("entry_key", tx.tokens(F.col("title")).alias("tt")).filter(F.size("tt") > 0)
+    wanted = asked.select("tt").distinct().withColumn("rc", F.xxhash64("tt"))
+    first = Window.partitionBy("pc").orderBy("id")
+    known = provider.select("id", tx.tokens(F.col("title")).alias("pt")).filter(F.size("pt") > 0).withColumn("pc", F.xxhash64("pt"))
+    known = known.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k)
+    known = known.groupBy("pc").agg(F.first("pt").alias("pt"), F.array_sort(F.collect_list("id")).alias("ids"))
+    words = known.select("pc", F.explode("pt").alias("w"))
+    frequency = provider.select(F.explode(tx.tokens(F.col("title"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("rc").orderBy("df", "w")
+    needles = wanted.select("rc", F.explode("tt").alias("w")).join(frequency, "w").withColumn("_k", F.row_number().over(rarest)).filter(F.col("_k") <= rare).select("rc", "w")
+    pairs = needles.join(words, "w").select("rc", "pc").distinct()
+    shared = pairs.join(wanted, "rc").join(known, "pc").select("rc", F.size(F.array_intersect("tt", "pt")).cast("long").alias("shared"), F.explode("ids").alias("id"))
+    best = Window.partitionBy("rc").orderBy(F.desc("shared"), "id")
+    top = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return asked.select("entry_key", F.xxhash64("tt").alias("rc")).join(top, "rc").select("entry_key", "id", "shared", "rank")
 
 
 def scored(candidates: DataFrame, records: DataFrame, provider: DataFrame) -> DataFrame:
@@ -35,24 +59,28 @@ def unique_adoptable(matches: DataFrame, min_score: float = MATCH_SCORE) -> Data
     return g.select("entry_key", "n", (F.col("n") == 1).alias("adoptable"), F.when(F.col("n") == 1, F.col("_id")).alias("id"))
 
 
-def adoption_blocker(has_provider: Column, score: Column, chosen_qualifies: Column, others_qualify: Column, stale: Column) -> Column:
+def adoption_blocker(has_provider: Column, record_qualifies: Column, chosen_qualifies: Column, others_qualify: Column, stale: Column) -> Column:
     """Why a proposal cannot be adopted by an agent, the first rule that fits, or null."""
     return (
-        F.when(~has_provider, "no provider support; human approval required")
-        .when(~F.coalesce(score, F.lit(False)), "exact provider record is below the title/author threshold or cannot be scored")
-        .when(~F.coalesce(chosen_qualifies, F.lit(False)), "selected search candidate is below the title/author threshold")
-        .when(F.coalesce(others_qualify, F.lit(False)), "multiple title-search candidates meet the threshold; human review required")
-        .when(stale, "proposal baseline is stale")
+        F.when(~has_provider, NO_PROVIDER)
+        .when(~F.coalesce(record_qualifies, F.lit(False)), RECORD_BELOW)
+        .when(~F.coalesce(chosen_qualifies, F.lit(False)), CANDIDATE_BELOW)
+        .when(F.coalesce(others_qualify, F.lit(False)), SEVERAL)
+        .when(stale, STALE)
     )
 
 
 def proposals(matches: DataFrame, chosen: DataFrame, min_score: float = MATCH_SCORE) -> DataFrame:
-    """chosen (entry_key, id, stale; id null: no provider) -> entry_key, blocker, adoptable, over the record's candidates."""
+    """chosen (entry_key, id, record_score, stale; id null: no provider) -> entry_key, blocker, adoptable.
+
+    ``record_score`` is that of the provider's whole record against the bibliography's; the scores of ``matches`` are
+    those of the listed search candidates, whose titles may differ from the record's.
+    """
     good = F.coalesce(F.col("m.score") >= min_score, F.lit(False))
     same = F.lower(F.col("m.id").cast("string")) == F.lower(F.col("c.id").cast("string"))
     j = chosen.alias("c").join(matches.alias("m"), F.col("c.entry_key") == F.col("m.entry_key"), "left")
-    g = j.groupBy(F.col("c.entry_key").alias("entry_key"), F.col("c.id").alias("id"), F.col("c.stale").alias("stale")).agg(F.bool_or(good & same).alias("own"), F.bool_or(good & ~same).alias("others"))
-    blocker = adoption_blocker(F.col("id").isNotNull(), F.col("own"), F.col("own"), F.col("others"), F.col("stale"))
+    g = j.groupBy(*[F.col(f"c.{n}").alias(n) for n in ("entry_key", "id", "record_score", "stale")]).agg(F.bool_or(good & same).alias("own"), F.bool_or(good & ~same).alias("others"))
+    blocker = adoption_blocker(F.col("id").isNotNull(), F.col("record_score") >= min_score, F.col("own"), F.col("others"), F.col("stale"))
     return g.select("entry_key", blocker.alias("blocker"), blocker.isNull().alias("adoptable"))
 
 

@@ -93,5 +93,5 @@ def review_rows(records: DataFrame) -> DataFrame:
     """Ordinary records (with status) as a reviewer sees them: trimmed fields, a safe URL, content fields and hash."""
     f = F.col("fields")
     names = {"title": f["title"], "authors": f["author"], "year": f["year"], "doi": f["doi"]}
-    ordinary = records.filter(~F.lower("entry_type").isin(*SYSTEM_TYPES))
-    return ordinary.select("entry_key", "entry_type", "status", *[tx.text_or_null(c).alias(n) for n, c in names.items()], ids.safe_url(f["url"], f["doi"]).alias("url"), cn.json_map(cn.bibliographic_fields(f)).alias("fields"), cn.content_hash(F.col("entry_type"), f).alias("content_hash"))
+    ordinary = records.filter(~F.lower("entry_type").isin(*SYSTEM_TYPES)).withColumn("_hash", cn.content_hash(F.col("entry_type"), f))
+    return ordinary.select("entry_key", "entry_type", "status", *[tx.text_or_null(c).alias(n) for n, c in names.items()], ids.safe_url(f["url"], f["doi"]).alias("url"), cn.json_map(cn.bibliographic_fields(f)).alias("fields"), F.col("_hash").alias("content_hash"))

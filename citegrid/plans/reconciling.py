@@ -12,20 +12,45 @@ from citegrid.operators import reconcile
 from citegrid.plans.identity import _json
 from citegrid.plans.views import BIBLIO, biblio, table
 from citegrid.sources import bibtex, providers
+from citegrid.storage import shared_path
 
 
 def bibtex_scan(spark, sf_dir):
     """Parts as BibTeX text with a macro, quotes, nested braces and a month, parsed again."""
     p = table(spark, sf_dir, "part")
     n = F.col("p_partkey")
-    text = F.concat(F.lit("Book{p"), n, F.lit(",\n title = {{A} "), "p_name", F.lit("},\n PUBLISHER = pub # \" "), "p_brand", F.lit("\",\n month = Mar, year = "), (1990 + n % 30).cast("string"), F.lit(",\n}\n"))
+    text = F.concat(F.lit("@Book{p"), n, F.lit(",\n title = {{A} "), "p_name", F.lit("},\n PUBLISHER = pub # \" "), "p_brand", F.lit("\",\n month = Mar, year = "), (1990 + n % 30).cast("string"), F.lit(",\n}\n"))
     file = F.concat(F.lit("f"), n % 7)
-    macro = spark.range(7).select(F.concat(F.lit("f"), "id").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("at"), F.concat(F.lit("string{pub = {House "), "id", F.lit("}}\n")).alias("text"))
+    macro = spark.range(7).select(F.concat(F.lit("f"), "id").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("at"), F.concat(F.lit("@string{pub = {House "), "id", F.lit("}}\n")).alias("text"))
     pieces = p.select(file.alias("file"), F.struct(F.lit(0).cast("long").alias("block"), n.alias("row")).alias("at"), text.alias("text")).unionByName(macro)
     r = bibtex.parse(pieces)
     return r.select("entry_key", "entry_type", cn.json_map(r.fields).alias("fields"))
 
 
+def bibtex_files(spark, sf_dir):
+    """Parts written as BibTeX files and read again: indented entries, two on a line, in parentheses, after free text."""
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    body = lambda key: F.concat(F.lit(key), n, F.lit(",\n title = {{A} "), "p_name", F.lit("}, PUBLISHER = pub # \" "), "p_brand", F.lit("\", month = Mar"))
+    braced = lambda key: F.concat(F.lit("@Book{"), body(key), F.lit(",\n}"))
+    text = F.when(n % 4 == 0, F.concat(F.lit("\t "), braced("p"))).when(n % 4 == 1, F.concat(braced("p"), F.lit(" "), braced("q"))).when(n % 4 == 2, F.concat(F.lit("@book("), body("p"), F.lit(")"))).otherwise(F.concat(F.lit("free (text), % with {signs\n"), braced("p"), F.lit("\n@comment{ @book{no} }")))
+    rows = p.select((n % 7).alias("file"), text.alias("value")).unionByName(spark.range(7).select(F.col("id").alias("file"), F.concat(F.lit("@string{pub = {House "), "id", F.lit("}}")).alias("value")))
+    path = shared_path(spark, "bibtex")
+    rows.repartition("file").write.partitionBy("file").text(path)
+    r = bibtex.checked(bibtex.read(spark, path))
+    return r.select("entry_key", "entry_type", cn.json_map(r.fields).alias("fields"))
+
+
+def bibtex_marks(spark, sf_dir):
+    """Files of two entries whose markers are set and taken out, or an entry of which is replaced."""
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    text = F.concat(F.lit("% head\n@book{a"), n, F.lit(",\n  title = {"), "p_name", F.lit("},\n  integrity = {old}\n}\n\n@book{b"), n, F.lit(",\n  year = 1999\n}\n% tail\n"))
+    marks = F.create_map(F.concat(F.lit("a"), n), F.lit(None).cast("string"), F.concat(F.lit("b"), n), F.lit("new"))
+    entry = F.concat(F.lit("@misc{b"), n, F.lit(", year = 2000}"))
+    return p.select("p_partkey", F.when(n % 2 == 0, bibtex.marked(text, marks)).otherwise(bibtex.replaced(text, F.concat(F.lit("b"), n), entry)).alias("file"))
+
+
 def bibtex_render(spark, sf_dir):
     b = biblio(spark, sf_dir)
     return b.select("seq", F.sha2(bibtex.render(b.entry_type, b.entry_key, b.fields), 256).alias("sha256"))
@@ -109,11 +134,15 @@ def stored_sources(spark, sf_dir):
     return s.select("seq", "a.provider", "a.id", F.col("b.provider").alias("asked"), F.col("b.id").alias("asked_id"))
 
 
-QUERIES = {f.__name__: f for f in (bibtex_scan, bibtex_render, entry_edits, crossref_records, note_records, page_metadata, reconciled, sealed_records, stripped_responses, verify_statuses, review_rows, stored_sources)}
+QUERIES = {f.__name__: f for f in (bibtex_scan, bibtex_files, bibtex_marks, bibtex_render, entry_edits, crossref_records, note_records, page_metadata, reconciled, sealed_records, stripped_responses, verify_statuses, review_rows, stored_sources)}
 
 _ENTRY = "' || chr(10) || '"
 _CLEAN = _json("author", "doi", "note", "title", "year", head="entry_type")
+_BOOK = "'book' AS entry_type, '{\"month\":\"3\",\"publisher\":' || to_json('House ' || (p_partkey % 7) || ' ' || p_brand) || ',\"title\":' || to_json('{A} ' || p_name) || '}' AS fields FROM part"
 ORACLES = {
+    "bibtex_files": f"SELECT 'p' || p_partkey AS entry_key, {_BOOK} UNION ALL SELECT 'q' || p_partkey, {_BOOK} WHERE p_partkey % 4 = 1",
+    "bibtex_marks": """SELECT p_partkey, '% head' || chr(10) || '@book{a' || p_partkey || ',' || chr(10) || '  title = {' || p_name || '}' || CASE WHEN p_partkey % 2 = 0 THEN ',' ELSE ',' || chr(10) || '  integrity = {old}' END || chr(10) || '}' || chr(10) || chr(10)
+      || CASE WHEN p_partkey % 2 = 0 THEN '@book{b' || p_partkey || ',' || chr(10) || '  year = 1999,' || chr(10) || '  integrity = {new},' || chr(10) || '}' ELSE '@misc{b' || p_partkey || ', year = 2000}' END || chr(10) || '% tail' || chr(10) AS file FROM part""",
     "bibtex_scan": "SELECT 'p' || p_partkey AS entry_key, 'book' AS entry_type, '{\"month\":\"3\",\"publisher\":' || to_json('House ' || (p_partkey % 7) || ' ' || p_brand) || ',\"title\":' || to_json('{A} ' || p_name) || ',\"year\":\"' || (1990 + p_partkey % 30) || '\"}' AS fields FROM part",
     "bibtex_render": f"""WITH {BIBLIO} SELECT seq, sha256('@' || entry_type || '{{' || entry_key || ',' || chr(10) || '  author = {{' || author || '}},' || chr(10) || CASE WHEN bibsource IS NULL THEN '' ELSE '  bibsource = {{' || bibsource || '}},' || chr(10) END
       || CASE WHEN doi IS NULL THEN '' ELSE '  doi = {{' || doi || '}},' || chr(10) END || CASE WHEN note IS NULL THEN '' ELSE '  note = {{' || note || '}},' || chr(10) END || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}},' || chr(10) || '}}' || chr(10)) AS sha256 FROM biblio""",

@@ -11,13 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, entry_type, entry_key, title, author, fields of documents: the title is the first line up to 120 characters."""
+    """seq, entry_type, entry_key, title, author, fields of documents: the title is the whole first line."""
     i = F.col("doc_id")
     d = table(spark, sf_dir, "documents").select(
         i.alias("seq"),
         F.when(i % 3 == 0, "article").when(i % 3 == 1, "book").otherwise("misc").alias("entry_type"),
         F.concat(F.lit("d"), i.cast("string")).alias("entry_key"),
-        F.left(F.substring_index("text", "\n", 1), F.lit(120)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.concat_ws(", ", "source", "lang").alias("author"),
         (F.lit(1990) + i % 35).cast("string").alias("year"),
         F.when(i % 4 == 0, F.concat(F.lit("https://doi.org/10."), (1000 + i % 9000).cast("string"), F.lit("/X"), i.cast("string"), F.lit(")."))).alias("doi"),
@@ -30,7 +30,7 @@ def biblio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BIBLIO = """biblio AS (SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'book' ELSE 'misc' END AS entry_type,
- 'd' || doc_id AS entry_key, left(split_part(text, chr(10), 1), 120) AS title, concat_ws(', ', source, lang) AS author, CAST(1990 + doc_id % 35 AS VARCHAR) AS year,
+ 'd' || doc_id AS entry_key, split_part(text, chr(10), 1) AS title, concat_ws(', ', source, lang) AS author, CAST(1990 + doc_id % 35 AS VARCHAR) AS year,
  CASE WHEN doc_id % 4 = 0 THEN 'https://doi.org/10.' || (1000 + doc_id % 9000) || '/X' || doc_id || ').' END AS doi,
  CASE WHEN doc_id % 5 = 0 THEN 'see https://arXiv.org/abs/2301.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || 'v2' END AS note,
  CASE WHEN doc_id % 7 = 0 THEN 'provider:' || (doc_id % 3) END AS bibsource FROM documents)"""

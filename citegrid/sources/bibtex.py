@@ -1,13 +1,15 @@
 """BibTeX files as tables and back.
 
-Files are read as text split where a line begins with ``@``, so one large file is read by many tasks like any text. Each
-piece is one entry; a small parser takes it apart, and @string macros, which hold for their whole file, are joined by
-file. Entries must begin at the start of a line; a piece that is no whole entry is an error.
+Files are read as text split where a line begins with ``@``, so one large file is read by many tasks like any text. A
+small parser finds the entries of a piece, indented ones and several on a line too; text between entries is comment, and
+an ``@`` that begins no whole entry is an error. @string macros, which hold for their whole file, are joined by file. A
+value must not have a line that begins with ``@``: its entry would be cut there, which is an error too.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from citegrid.functions.vocab import SYSTEM_TYPES
 
 #: Months as macros.
 MONTHS = {m: str(i) for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
-_HEAD = re.compile(r"@?\s*([A-Za-z][\w-]*)\s*([{(])")
+_HEAD = re.compile(r"@\s*([A-Za-z][\w-]*)\s*([{(])")
 _NAME = re.compile(r"\s*([^\s=,{}()\"#%]+)\s*=\s*")
 _SKIPPED = ("comment", "preamble")
 
@@ -66,52 +68,83 @@ def _value(text: str, at: int) -> tuple[list[dict], int]:
         return tokens, at
 
 
-def _closing(text: str, at: int) -> int:
-    """Where the brace at ``at`` is closed. A backslash escapes the next character."""
-    depth = 0
+def _closing(text: str, at: int, close: str = "}") -> int:
+    """Where the brace (or parenthesis) at ``at`` is closed. A backslash escapes the next character."""
+    depth, at = 0, at + (close == ")")
     while at < len(text):
         c = text[at]
         if c == "\\":
             at += 1
+        elif close == ")" and c == ")" and not depth:
+            return at
         depth += (c == "{") - (c == "}")
-        if not depth:
+        if close == "}" and not depth:
             return at
         at += 1
     raise BibtexError("braces do not match")
 
 
-def parse_entry(text: str) -> dict:
-    """One entry: kind, key and fields as tokens; kind is null for text that is none, comments and preambles."""
-    none = {"kind": None, "key": None, "fields": [], "error": None}
-    m = _HEAD.match(text)
-    if not m or m[1].lower() in _SKIPPED:
-        return none
-    kind, close, at = m[1].lower(), "}" if m[2] == "{" else ")", m.end()
-    try:
-        key = None
-        if kind != "string":
-            k = re.compile(r"\s*([^\s,{}]+)\s*(,|(?=[)}]))").match(text, at)
-            if not k:
-                raise BibtexError("the citation key is missing")
-            key, at = k[1], k.end()
-        fields = []
-        while True:
-            while at < len(text) and (text[at].isspace() or text[at] == ","):
-                at += 1
-            if at < len(text) and text[at] == close:
-                return {"kind": kind, "key": key, "fields": fields, "error": None}
-            n = _NAME.match(text, at)
-            if not n:
-                raise BibtexError(f"a field is expected at character {at}")
-            tokens, at = _value(text, n.end())
-            fields.append({"name": n[1].lower(), "tokens": tokens})
-    except BibtexError as e:
-        return none | {"kind": kind, "error": str(e)}
-
-
-@F.pandas_udf(_ENTRY)
-def _entries(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_entry(t) for t in text], columns=[f.name for f in _ENTRY])
+def _entry(text: str, head: re.Match) -> tuple[dict, int]:
+    """The entry whose head was found, and where it ends."""
+    kind, close, at = head[1].lower(), "}" if head[2] == "{" else ")", head.end()
+    if kind in _SKIPPED:
+        return {"kind": None, "key": None, "fields": [], "error": None}, _closing(text, at - 1, close) + 1
+    key = None
+    if kind != "string":
+        k = re.compile(r"\s*([^\s,{}]+?)\s*(,|(?=[)}]))").match(text, at)
+        if not k:
+            raise BibtexError("the citation key is missing")
+        key, at = k[1], k.end()
+    fields = []
+    while True:
+        while at < len(text) and (text[at].isspace() or text[at] == ","):
+            at += 1
+        if at < len(text) and text[at] == close:
+            return {"kind": kind, "key": key, "fields": fields, "error": None}, at + 1
+        n = _NAME.match(text, at)
+        if not n:
+            raise BibtexError(f"a field is expected at character {at}")
+        tokens, at = _value(text, n.end())
+        fields.append({"name": n[1].lower(), "tokens": tokens})
+
+
+def entries_of(text: str) -> list[dict]:
+    """The entries of a text: kind, key, fields as tokens; comments and preambles are none. From the first that is broken
+    on there is only its error."""
+    out, at = [], 0
+    while (at := text.find("@", at)) >= 0:
+        try:
+            head = _HEAD.match(text, at)
+            if not head:
+                raise BibtexError(f"no entry begins at {text[at : at + 20]!r}")
+            entry, at = _entry(text, head)
+        except BibtexError as e:
+            return [*out, {"kind": "", "key": None, "fields": [], "error": str(e)}]
+        if entry["kind"] is not None:
+            out.append(entry)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_ENTRY))
+def _entries(text: pd.Series) -> pd.Series:
+    return pd.Series([entries_of(t or "") for t in text], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(_ENTRY))
+def _entries_of_pieces(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Entries of the pieces of files, which come in order: all but a file's first one were cut after their ``@``."""
+    before = None
+    for files, blocks, texts in columns:
+        out = []
+        for file, block, text in zip(files, blocks, texts):
+            first = file != before and block == 0
+            before = file
+            out.append(entries_of(text if first else "@" + text))
+        yield pd.Series(out, dtype=object)
+
+
+# Spark would filter on the result before it explodes it, and so call them twice, the second time without the pieces in between.
+_entries, _entries_of_pieces = _entries.asNondeterministic(), _entries_of_pieces.asNondeterministic()
 
 
 def _resolved(macros: Column) -> Column:
@@ -120,12 +153,17 @@ def _resolved(macros: Column) -> Column:
     return F.transform("e.fields", lambda f: F.struct(f["name"].alias("key"), F.array_join(F.transform(f["tokens"], text), "").alias("value")))
 
 
-def parse(pieces: DataFrame) -> DataFrame:
-    """(file, at, text) -> file, at, entry_type, entry_key, fields: entries without macros, comments and preambles.
+def parse(texts: DataFrame) -> DataFrame:
+    """(file, at, text) -> file, at (with the entry's number in the text), entry_type, entry_key, fields: the entries of
+    the texts, without macros, comments and preambles.
 
     A broken entry or an unknown macro fails the query. Of fields named twice in an entry the last counts.
     """
-    e = pieces.select("file", "at", _entries(F.col("text")).alias("e")).filter("e.kind IS NOT NULL")
+    return _records(texts.select("file", "at", _entries(F.col("text")).alias("es")))
+
+
+def _records(parsed: DataFrame) -> DataFrame:
+    e = parsed.select("file", "at", F.posexplode("es").alias("n", "e")).withColumn("at", F.struct("at.*", F.col("n").alias("entry")))
     e = e.withColumn("e", F.when(F.col("e.error").isNull(), F.col("e")).otherwise(F.raise_error(F.concat(F.lit("BibTeX entry in "), "file", F.lit(": "), "e.error")).cast(_ENTRY)))
     text = F.array_join(F.transform("f.tokens", lambda t: t["text"]), "")
     macros = e.filter("e.kind = 'string'").select("file", F.explode("e.fields").alias("f")).groupBy("file", F.col("f.name").alias("name")).agg(F.first(text).alias("value"))
@@ -139,8 +177,7 @@ def parse(pieces: DataFrame) -> DataFrame:
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """Records of BibTeX files: file, at (their order in the file), entry_type, entry_key, fields."""
     raw = spark.read.option("lineSep", "\n@").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.col("value").alias("text"))
-    head = F.regexp_extract("text", r"(?s)^(?:[^@]*\n)?@(.*)$", 1)  # only the first piece of a file still has its @
-    return parse(raw.withColumn("text", F.when(F.rlike("text", F.lit(r"(?s)^(?:[^@]*\n)?@")), head).when(F.rlike("text", F.lit(r"^\s*[A-Za-z][\w-]*\s*[{(]")), F.col("text")).otherwise("")))
+    return _records(raw.select("file", "at", _entries_of_pieces(F.col("file"), F.col("at.block"), F.col("text")).alias("es")))
 
 
 def duplicate_keys(records: DataFrame) -> DataFrame:
@@ -224,6 +261,64 @@ def edit_entry(text: str, updates: dict[str, str | None]) -> str:
     return text
 
 
+def entry_spans(text: str) -> dict[str, tuple[int, int]]:
+    """Where each entry of a file's text begins and ends, by key; a key that stands twice is an error."""
+    out, at = {}, 0
+    while (at := text.find("@", at)) >= 0:
+        head = _HEAD.match(text, at)
+        if not head:
+            raise BibtexError(f"no entry begins at {text[at : at + 20]!r}")
+        start = at
+        entry, at = _entry(text, head)
+        if entry["key"] is not None:
+            if entry["key"] in out:
+                raise BibtexError(f"duplicate citation key {entry['key']}")
+            out[entry["key"]] = (start, at)
+    return out
+
+
+def replace_entry(text: str, key: str, entry: str) -> str:
+    """A file's text with the entry of ``key`` swapped for another whole one; everything around it stays."""
+    spans = entry_spans(text)
+    if key not in spans:
+        raise BibtexError(f"no entry {key}")
+    if [e["error"] for e in entries_of(entry)] != [None]:
+        raise BibtexError("the replacement is not one entry")
+    start, end = spans[key]
+    return text[:start] + entry.strip() + text[end:]
+
+
+def edit_file(text: str, updates: dict[str, dict[str, str | None]]) -> str:
+    """A file's text with fields of several entries updated (see edit_entry), all else as it is. The result is parsed
+    again, so that no edit leaves a text that reads otherwise."""
+    spans = entry_spans(text)
+    if missing := sorted(set(updates) - set(spans)):
+        raise BibtexError(f"no entry {missing[0]}")
+    for key in sorted(updates, key=lambda k: -spans[k][0]):
+        start, end = spans[key]
+        text = text[:start] + edit_entry(text[start:end], updates[key]) + text[end:]
+    if set(entry_spans(text)) != set(spans):
+        raise BibtexError("the edited text reads otherwise")
+    return text
+
+
+def mark_file(text: str, markers: dict[str, str | None]) -> str:
+    """A file's text with the integrity markers of entries set, or (None) taken out, their layout kept."""
+    return edit_file(text, {key: {"integrity": marker} for key, marker in markers.items()})
+
+
+@F.pandas_udf(T.StringType())
+def marked(text: pd.Series, markers: pd.Series) -> pd.Series:
+    """mark_file for columns: a map of markers by key, a null one taking the marker out."""
+    return pd.Series([mark_file(t, dict(m or {})) for t, m in zip(text, markers)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def replaced(text: pd.Series, key: pd.Series, entry: pd.Series) -> pd.Series:
+    """replace_entry for columns."""
+    return pd.Series([replace_entry(t, k, e) for t, k, e in zip(text, key, entry)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def edited(text: pd.Series, updates: pd.Series) -> pd.Series:
     """edit_entry for columns: a map of updates, a null value removing its field."""
