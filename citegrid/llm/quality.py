@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citegrid.llm.common import Shield, text_or_empty
+from citegrid.llm.common import Shield, checkpoint, text_or_empty
 
 #: A line is boilerplate on its host if more than LINE_DOCS documents and more than LINE_SHARE of the host's documents have it.
 LINE_DOCS, LINE_SHARE = 10, 0.01
@@ -78,16 +78,32 @@ def _lines(text: str) -> Column:
     return F.filter(F.split(text_or_empty(text), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", min_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(_host, _line): the lines of each host above both limits. Each row of docs counts as one document.
+def frequent_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
+    """(_host, _line): the lines of each host that more than min_docs and more than ``share`` of its documents have.
 
-    Every document gives each of its lines once, and counts are summed in the map tasks before the shuffle, so a line
-    that all documents have costs one row for each task.
+    A document is a key; a row with a null key is one of its own. Every row gives each of its lines once, and counts are
+    summed in the map tasks before the shuffle, so a line that all documents have costs one row for each task. Only the
+    rows of keys that stand more than once, if there are any, are made distinct by key first.
     """
-    each = docs.select(F.col(host).alias("_host"), F.explode(F.array_distinct(F.transform(_lines(text), line_key))).alias("_line"))
-    counts = each.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") > min_docs)
-    hosts = docs.groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("_docs") > share * F.col("_all")).select("_host", "_line")
+    slim = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.array_distinct(F.transform(_lines(text), line_key)).alias("_own"))
+    repeated = checkpoint(slim.filter("_key IS NOT NULL").groupBy("_key").count().filter("count > 1").select(F.col("_key").alias("_again")))
+
+    def counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Documents of each host, and of each of its lines."""
+        lines = rows.select("_host", F.explode("_own").alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+        return rows.groupBy(F.col("_host").alias("_h")).agg(F.count(F.lit(1)).alias("_all")), lines
+
+    if repeated.isEmpty():
+        hosts, lines = counted(slim)
+    else:
+        hosts, lines = counted(slim.join(repeated, F.col("_key") == F.col("_again"), "left_anti"))
+        again = slim.join(repeated, F.col("_key") == F.col("_again"), "left_semi")
+        keys = again.select("_host", "_key").distinct().groupBy(F.col("_host").alias("_h")).agg(F.count(F.lit(1)).alias("_all"))
+        more = again.select("_host", "_key", F.explode("_own").alias("_line")).distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+        hosts = hosts.unionByName(keys).groupBy("_h").agg(F.sum("_all").alias("_all"))
+        lines = lines.unionByName(more).groupBy("_host", "_line").agg(F.sum("_docs").alias("_docs"))
+    often = lines.filter(F.col("_docs") > min_docs)
+    return often.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("_docs") > share * F.col("_all")).select("_host", "_line")
 
 
 def filter_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_docs: int = LINE_DOCS, share: float = LINE_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
@@ -95,18 +111,22 @@ def filter_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", tex
 
     A line above both limits of its host is removed wherever it stands; ``kept`` is false if the base rules fail or the
     document is depleted. Null texts count as empty (and fail the base rules), null hosts are one host, rows with equal
-    keys are each judged with the lines of all of them, an empty table gives no rows. Of columns named like an added one
-    the added one stays. ``clean_text`` costs nothing where it isn't selected.
+    keys are one document when documents are counted but are judged each by its own lines, an empty table gives no rows.
+    Of columns named like an added one the added one stays. ``clean_text`` costs nothing where it isn't selected. A task
+    holds the lines and words of one text at a time, so memory follows the longest text.
     """
     shield = Shield(docs)
     docs, key, host, text = shield.df, shield(key), shield(host), shield(text)
-    lines = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.explode(F.transform(_lines(text), lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))).alias("_l"))
-    often = frequent_lines(docs, host, text, min_docs, share).withColumnsRenamed({"_host": "_h", "_line": "_o"})
+    each = F.posexplode(F.transform(_lines(text), lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))))
+    lines = docs.select(F.col(key).alias("_key"), F.col(host).alias("_host"), F.xxhash64(text).alias("_tid"), each.alias("_pos", "_l"))
+    often = frequent_lines(docs, key, host, text, min_docs, share).withColumnsRenamed({"_host": "_h", "_line": "_o"})
     hit = lines.join(often, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_l.line") == F.col("_o")), "left_semi")
-    removed = hit.groupBy("_key").agg(F.sum("_l.words").alias("_words"), F.collect_set("_l.line").alias("_lines"))
+    # rows of equal key, host and text lose the same lines: each place once
+    removed = hit.groupBy("_key", "_host", "_tid").agg(F.collect_set(F.struct("_pos", "_l.line", "_l.words")).alias("_gone"))
+    removed = removed.select("_key", "_host", "_tid", F.aggregate("_gone", F.lit(0).cast("long"), lambda n, x: n + x["words"]).alias("_words"), F.array_distinct(F.transform("_gone", lambda x: x["line"])).alias("_lines"))
 
-    base = docs.withColumn("_s", text_stats(F.col(text))).select("*", "_s.*").drop("_s")
-    out = base.join(removed, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    base = docs.withColumn("_own", F.xxhash64(text)).withColumn("_s", text_stats(F.col(text))).select("*", "_s.*").drop("_s")
+    out = base.join(removed, F.col(key).eqNullSafe(F.col("_key")) & F.col(host).eqNullSafe(F.col("_host")) & (F.col("_own") == F.col("_tid")), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.coalesce(F.col("_words"), F.lit(0))
     depleted = (left < left_words) | (left < left_share * F.col("n_words"))
@@ -129,7 +149,7 @@ l AS (SELECT *, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')
    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM l1),
 dup AS (SELECT doc_id, count(*) AS n_dup_lines FROM l WHERE n > 0 AND k > 1 GROUP BY doc_id),
 f AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT doc_id) AS c FROM l WHERE n > 0 GROUP BY source, norm) JOIN
-   (SELECT source AS s, count(*) AS a FROM d GROUP BY source) ON source IS NOT DISTINCT FROM s WHERE c > 10 AND c > 0.01 * a),
+   (SELECT source AS s, count(DISTINCT doc_id) AS a FROM d GROUP BY source) ON source IS NOT DISTINCT FROM s WHERE c > 10 AND c > 0.01 * a),
 rem AS (SELECT l.doc_id, sum(l.n) AS removed FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm WHERE l.n > 0 GROUP BY l.doc_id),
 g0 AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS g FROM g0),
