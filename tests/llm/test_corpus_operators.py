@@ -267,7 +267,8 @@ def test_repeated_passages(spark):
     out = substring.repeated_passages(df).collect()
     pairs = {(r.doc_id, r.other_doc_id) for r in out}
     assert components_of(pairs) == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 8, 20: 8, 21: 8}
-    assert {(r.doc_id, r.other_doc_id, r.start_word, r.end_word) for r in out if r.is_copy} == {(20, 8, 0, 120), (21, 8, 0, 120)}
+    assert {(r.doc_id, r.other_doc_id, r.start_word, r.end_word) for r in out if r.is_copy} == {(20, 8, 0, 120), (21, 8, 0, 120), (8, 20, 0, 120)}
+    assert {r.doc_id for r in out} == {1, 2, 3, 6, 7, 8, 20, 21}
     for r in out:
         if not r.is_copy and {r.doc_id, r.other_doc_id} <= {1, 2, 3}:
             text = {i: t.lower().split() for i, t in rows if t}
@@ -280,10 +281,32 @@ def test_pairs_do_not_depend_on_batches():
     import pyarrow as pa
 
     rng = np.random.default_rng(3)
-    rows = np.sort(np.array([(k, t, c) for k in range(5) for t in range(4) for c in range(3) if rng.random() < 0.6], dtype=[("k", "i8"), ("t", "i8"), ("c", "i4")]))
-    whole = pa.RecordBatch.from_arrays([pa.array(rows[n]) for n in "ktc"] + [pa.array(rows["c"])] * 2, ["key", "tid", "c", "l", "r"]).select(["key", "tid", "l", "c", "r"])
+    rows = np.sort(np.array([(k, s, t, c) for k in range(5) for s in range(2) for t in range(4) for c in range(3) if rng.random() < 0.6], dtype=[("k", "i8"), ("s", "i2"), ("t", "i8"), ("c", "i4")]))
+    whole = pa.RecordBatch.from_arrays([pa.array(rows[n]) for n in "kstc"] + [pa.array(np.full(len(rows), 9, np.int32))] * 2, ["key", "side", "tid", "c", "before", "after"])
     read = lambda size: sorted(tuple(x.values()) for b in substring._pairs(iter([whole.slice(i, size) for i in range(0, len(rows), size)])) for x in b.to_pylist())
     assert read(1) == read(4) == read(1000) and read(1)
+    # each window is paired with the first of its key and with the first of its side, if these are other texts
+    made = {(r[2], r[0], r[1]) for r in read(1000)}
+    for k in range(5):
+        group = [r for r in rows.tolist() if r[0] == k]
+        for r in group:
+            for other in (group[0], next(x for x in group if x[1] == r[1])):
+                assert other[2] == r[2] or (k, other[2], r[2]) in made
+
+
+def test_salted_windows_stay_linked():
+    rng = np.random.default_rng(5)
+    key, side = rng.integers(0, 6, 400).astype(np.uint64) ** 3, rng.integers(0, 4, 400).astype(np.int16)
+    tid = rng.integers(0, 50, 400)
+    row, new = substring.salted(key, side, tid, np.int64(77))
+    assert set(row.tolist()) == set(range(400))
+    groups = {}
+    for r, k in zip(row.tolist(), new.tolist()):
+        groups.setdefault(k, set()).add(r)
+    pairs = {(r, next(iter(g))) for g in groups.values() for r in g}
+    root = components_of(pairs | {(r, r) for r in range(400)})
+    assert all(root[i] == root[j] for i in range(400) for j in range(400) if key[i] == key[j])  # the group of all still links every window of a key
+    assert max(map(len, groups.values())) < 60
 
 
 def test_unsure_places():
@@ -324,6 +347,53 @@ def test_passages_around_a_frequent_line(spark):
     assert all(held(i, j, at) or held(j, i, to) for i, j, at, to in both)
 
 
+@pytest.mark.parametrize("edits", [0.0, 0.005, 0.01, 0.02])
+def test_passages_recall_against_all_pairs(spark, edits):
+    """Families of near copies, a line in all texts and one in half of them: all pairs of texts are compared by brute force.
+
+    What must be found: every word that lies in a passage which another text has too, reported under its own text; and a
+    chain of links between any two texts with a common passage.
+    """
+    rnd = random.Random(int(edits * 1000) + 3)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrstx"]
+    p = lambda n: prose(rnd, n, words)
+    line, half, texts = p(30), p(45), []
+    for _ in range(12):
+        seed = p(rnd.randint(55, 140)).split()
+        at = rnd.randint(10, 40)
+        seed[at:at] = line.split()
+        for _ in range(rnd.choice((2, 5, 12, 25))):
+            own = [rnd.choice(words) if rnd.random() < edits else w for w in seed]
+            texts.append(f"{p(rnd.randint(0, 60))} {' '.join(own)} {p(rnd.randint(0, 60))}" + (f" {half} {p(5)}" if rnd.random() < 0.5 else ""))
+    rnd.shuffle(texts)
+    hashes = [substring.shingle_hashes(h) for h in substring.hash_words(texts)]
+    sets = [set(h.tolist()) for h in hashes]
+    true, spans = set(), {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) < 20:
+            continue
+        shifts = {}
+        for y, v in enumerate(hashes[j].tolist()):
+            for x in np.flatnonzero(hashes[i] == v).tolist():
+                shifts.setdefault(y - x, (x, y))
+        region = [0, len(hashes[i]) - 1, 0, len(hashes[j]) - 1] + [c for xy in shifts.values() for c in xy]
+        for a, b, c, d, _ in substring.passages(hashes[i], hashes[j], region):
+            true.add((i, j))
+            spans.setdefault(i, set()).update(range(a, b))
+            spans.setdefault(j, set()).update(range(c, d))
+    out = substring.repeated_passages(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()
+    held = {}
+    for r in out:
+        x, y = set(hashes[r.doc_id][r.start_word : r.end_word - 4].tolist()), set(hashes[r.other_doc_id][r.other_start : r.other_end - 4].tolist())
+        assert len(x & y) / len(x | y) >= 0.8 and min(r.end_word - r.start_word, r.other_end - r.other_start) >= 50
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    covered = sum(len(v & held.get(i, set())) for i, v in spans.items()) / sum(map(len, spans.values()))
+    root = components_of({(r.doc_id, r.other_doc_id) for r in out} | {(i, i) for i in range(len(texts))})
+    linked = sum(root[i] == root[j] for i, j in true) / len(true)
+    print(f"edits {edits}: {len(texts)} texts, {len(true)} pairs; words covered {covered:.4f}, pairs linked {linked:.4f}, texts named {len(set(held) & set(spans)) / len(spans):.4f}")
+    assert covered >= 0.97 and linked >= 0.97 and len(set(held) & set(spans)) >= 0.97 * len(spans)
+
+
 # --- the pipeline
 
 
