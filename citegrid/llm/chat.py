@@ -20,15 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.llm import tokens
+
 #: Marks of the template (ChatML). Texts can hold these and other templates' control strings; they are escaped.
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: A control string is a bracket and one of these tails: <|...|>, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>.
 _TAIL = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 _PLAIN, _ESCAPED = re.compile(r"([<\[])(\\*)" + _TAIL), re.compile(r"([<\[])\\(\\*)" + _TAIL)
 _TURN = re.compile(r"<\|im_start\|>((?:[^\n\\]|\\.)*)\n(.*?)<\|im_end\|>\n", re.S)
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-#: Tokens that the marks of a turn cost.
-TURN_COST = 8
 
 
 def escape(text: str) -> str:
@@ -56,11 +55,6 @@ def format_turn(role: str, text: str) -> tuple[str, int, int]:
     return head + body + END, len(head), len(head) + len(body)
 
 
-def turn_tokens(text: str) -> int:
-    """Words and punctuation marks of the text plus the cost of the marks."""
-    return sum(1 for _ in _TOKEN.finditer(text)) + TURN_COST
-
-
 def _field(name: str, kind: T.DataType) -> T.StructField:
     return T.StructField(name, kind)
 
@@ -74,7 +68,8 @@ WINDOWS = [
 class _Window:
     """What a task holds of the conversation it is in."""
 
-    def __init__(self, budget: int, history: int, share: float):
+    def __init__(self, budget: int, history: int, share: float, vocabulary: bytes):
+        self.vocabulary = vocabulary
         self.budget, self.history, self.room = budget, history, int(budget * share)
         self.system: tuple[str, str, int] | None = None
         self.first, self.number, self.past = True, 0, []
@@ -84,7 +79,7 @@ class _Window:
 
     def add(self, role: str, text: str) -> dict | None:
         """Take the next turn; the window before it if that is complete."""
-        turn, done = (role, text, turn_tokens(text)), None
+        turn, done = (role, text, tokens.count(format_turn(role, text)[0], self.vocabulary)), None
         context = sum(t[2] for t in self.repeated)
         if self.turns and context + self.total - self.start + turn[2] > self.budget:
             done = self.flush()
@@ -119,16 +114,16 @@ class _Window:
         return out
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_share: float = 0.25, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, history_share: float = 0.25, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = tokens.TOKENIZER) -> DataFrame:
     """One row for each window: conv, window (from 0), text, n_tokens, n_repeated (turns repeated at its start) and
     loss_spans ([from, to) in code points of the text: the assistant texts that are targets here).
 
-    A window holds at most ``budget`` tokens, unless its system turn and one new turn alone are longer: turns are never
+    A window holds at most ``budget`` tokens of the vocabulary, each formatted turn counted by itself, unless its system turn and one new turn alone are longer: turns are never
     cut. Turns are taken in order of (turn, role, text), nulls first; null roles and texts are empty, a null
     conversation id is a conversation, repeated rows are turns of their own, an empty table gives no rows. Only the four
     named columns are read. Within a partition, windows of a conversation stand together and in order.
     """
-    kind = turns.schema[conv].dataType
+    kind, vocabulary = turns.schema[conv].dataType, turns.sparkSession.sparkContext.broadcast(tokens.vocabulary(tokenizer))
     schema = T.StructType([_field(conv, kind), *(_field(*f) for f in WINDOWS)])
     arrow = pa.schema([(conv, _arrow(kind)), ("window", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("n_repeated", pa.int32()), ("loss_spans", pa.list_(pa.list_(pa.int32())))])
 
@@ -139,7 +134,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, histo
                 if state is None or c != now:
                     if state:
                         rows.append({conv: now} | state.flush())
-                    now, state = c, _Window(budget, history, history_share)
+                    now, state = c, _Window(budget, history, history_share, vocabulary.value)
                 if done := state.add(r or "", t or ""):
                     rows.append({conv: now} | done)
                     size += len(done["text"])

@@ -68,6 +68,7 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
         state = state.withColumn("_acc", F.coalesce(F.col("_first._upto") - F.col("_first._words"), F.col("_acc")))
         nearer = (F.col("_acc") + F.col("_first._upto") <= 2 * F.col("_budget")) if level == LEVELS - 1 else F.lit(False)
         state = state.withColumn("_prefix", F.coalesce(F.col("_first._bucket") + nearer.cast("long"), past_all)).drop("_first")
+        state = checkpoint(state)  # a row for each source, used twice at the next level
     return state.withColumnRenamed("_prefix", "_below").drop("_acc", "_budget")
 
 
@@ -76,7 +77,7 @@ def _planned(docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFra
     slim = docs.select(F.col(key), F.col(source).alias("source"), n_words(text).alias("size"), place(key).alias("_place"))
     slim = checkpoint(slim)  # the texts are read once; what follows passes over a few bytes for each document
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = checkpoint(thresholds(slim, source_targets(totals))).withColumnRenamed("source", "_s")
+    limits = thresholds(slim, checkpoint(source_targets(totals))).withColumnRenamed("source", "_s")
     return slim, F.broadcast(limits) if limits.limit(SMALL + 1).count() <= SMALL else limits
 
 
@@ -91,8 +92,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """Per document: key, size (words), source_size, target (of its source) and taken (words the mix takes).
 
     ``taken`` is size times the number of copies the mix holds, 0 to 3; a document without words takes 0. Null sources
-    are one source, an empty table gives no rows, and documents with equal keys are taken or left together. Other columns
-    of docs are not read.
+    are one source, an empty table gives no rows, and documents with equal keys are taken or left together. Texts of any
+    length are counted whole, one at a time. Other columns of docs are not read.
     """
     slim, limits = _planned(docs, key, source, text)
     return slim.join(limits, F.col("source").eqNullSafe(F.col("_s"))).select(key, "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))

@@ -2,47 +2,39 @@
 
 1. Texts are dealt by a hash of their key and tokenised once; their token IDs go to a written table. A document is cut
    into sequences of ``length`` tokens, the last one padded. Documents in order of (hash, key) number all sequences
-   0 .. n - 1: the sums of the 4096 hash parts are the only global state.
+   0 .. n - 1: the sums of the hash parts, of about PART_BYTES of text each, are the only global state.
 2. A Feistel network over the next even number of bits is a permutation; walking its cycles until a value below n comes
    makes it one of 0 .. n - 1. It gives each sequence its slot in the training order, row by row, for any corpus size.
-3. Slots are dealt by range, sorted, and written: shard i holds slots i * rows .. (i + 1) * rows - 1, each slot exactly
+3. Slots are dealt by range, a range for each shard, sorted, and written: shard i holds slots i * rows .. (i + 1) * rows - 1, each slot exactly
    2 * length bytes, so slot s of training lies at byte (s mod rows) * 2 * length. Ranges of shards are worked off in
-   passes; a pass that was completed is skipped when the job is started again.
+   passes; a pass that was completed is skipped when the job is started again. A manifest of the parameters and of the
+   documents' number and checksum guards the folder: started with others, the job fails rather than mix two orders.
 """
 
 from __future__ import annotations
 
-import base64
+import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.llm import tokens
 from citegrid.llm.common import dropping_shuffles, shared_path
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-tokenisation pattern that belongs to the byte-level BPE vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LENGTH, ROWS, PASSES, KEY, ROUNDS = 256, 16_384, 4, 20_240_229, 6
-PART_BITS = 12
-#: Code points of a text that are tokenised at once: longer texts are cut at white space before a word.
-PIECE = 200_000
-
-
-@lru_cache(maxsize=2)
-def _encoding(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("citegrid", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), len(ranks)
+#: Bytes of text in a hash part on average; hash bits of parts, at least and at most. The order does not depend on them.
+PART_BYTES, PART_BITS = 1 << 25, (6, 24)
+#: Shards, and so tasks, of a pass at most: with more shards there are more passes.
+PASS_SHARDS = 20_000
 
 
 def feistel(values: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -65,9 +57,9 @@ def feistel(values: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def _tokenised(path: str, length: int):
+def _tokenised(vocabulary: Broadcast, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, end = _encoding(path)
+        encoding, end = tokens.encoding(vocabulary.value)
         now, first = None, 0
         for batch in batches:
             out: list[tuple] = []
@@ -75,7 +67,7 @@ def _tokenised(path: str, length: int):
             for part, key, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if part != now:
                     now, first = part, 0
-                ids = np.array([t for piece in _pieces(text) for t in encoding.encode_ordinary(piece)] + [end], np.uint16)
+                ids = np.array([t for piece in tokens.pieces(text) for t in encoding.encode_ordinary(piece)] + [end], np.uint16)
                 n = -(-len(ids) // length)
                 out.append((part, key, first, n, ids.tobytes()))
                 first += n
@@ -89,20 +81,6 @@ def _tokenised(path: str, length: int):
     return run
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """A text in pieces that have the tokens of the whole: they are cut before a space that follows a non-space."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        while cut > at and text[cut - 1].isspace():
-            cut -= 1
-        if cut <= at:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def _token_batch(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
     part, key, first, n, tokens = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([k.as_py() for k in key], key_type), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())], ["part", "_key", "first", "n", "tokens"])
@@ -174,48 +152,69 @@ def _writer(folder: str, rows: int, key_type: T.DataType):
     return run, schema
 
 
+def _guarded(spark: SparkSession, folder: str, facts: dict) -> None:
+    """Write the manifest of a new folder; fail if the folder's manifest has other facts."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
+    files, mine = path.getFileSystem(conf), json.dumps(facts, sort_keys=True)
+    if files.exists(path):
+        found = "\n".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect())
+        if found != mine:
+            raise ValueError(f"{folder} holds the order of other documents or parameters: {found}, not {mine}")
+        return
+    out = files.create(path, False)
+    try:
+        out.write(bytearray(mine.encode()))
+    finally:
+        out.close()
+
+
 def _done(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def materialise(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, length: int = LENGTH, rows: int = ROWS, passes: int = PASSES, secret: int = KEY) -> DataFrame:
+def materialise(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, length: int = LENGTH, rows: int = ROWS, passes: int = PASSES, secret: int = KEY) -> DataFrame:
     """Write the shards to ``folder``/shards and return their index, one row for each sequence: key, sequence (its number
     in the document), n_tokens (without padding), slot, shard, record (its number in the shard) and crc32 of its bytes.
 
-    The folder must be one that all executors and the driver share. Started again on the same folder, finished steps
-    and passes are skipped. Every text ends with the end token (the first ID that the vocabulary leaves free), which
-    also pads; a null or empty text has no sequences; equal rows are sequences of their own; without sequences no shard is
-    written. Of rows with equal keys those first come first whose text hash is smaller. Other columns are not read.
+    The folder must be one that all executors and the driver share. Started again on the same folder with the same
+    documents and parameters, finished steps and passes are skipped; with others it is an error. Every text ends with the
+    end token (the first ID that the vocabulary leaves free), which also pads; a null or empty text has no sequences;
+    equal rows are sequences of their own; without sequences no shard is written. Of rows with equal keys those first come
+    first whose text hash is smaller. A text of any length is tokenised in pieces and its IDs are one value of the table.
+    Rows of one key (or of null keys) are one hash part, read by one task. Other columns are not read.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType
-    table = f"{folder.rstrip('/')}/tokens"
+    spark, folder = docs.sparkSession, folder.rstrip("/")
+    kind, vocabulary = docs.schema[key].dataType, tokens.vocabulary(tokenizer)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
+    sums = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("_text")), F.sum(F.xxhash64("_key", "_text").cast("decimal(38,0)"))).first()
+    _guarded(spark, folder, {"documents": sums[0], "bytes": sums[1] or 0, "checksum": str(sums[2] or 0), "length": length, "rows": rows, "passes": passes, "secret": secret, "vocabulary": hashlib.sha256(vocabulary).hexdigest()})
+    bits = min(PART_BITS[1], max(PART_BITS[0], ((sums[1] or 0) // PART_BYTES).bit_length()))
+    table = f"{folder}/tokens"
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("_key", kind), T.StructField("first", T.LongType()), T.StructField("n", T.LongType()), T.StructField("tokens", T.BinaryType())])
     if not _done(spark, table):
-        place = F.shiftrightunsigned(F.xxhash64(F.col(key)), 32)
-        dealt = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), place.alias("_u")).filter(F.length("_text") > 0)
-        dealt = dealt.withColumn("_part", F.shiftright("_u", 32 - PART_BITS).cast("int")).repartition("_part")
+        dealt = texts.withColumn("_u", F.shiftrightunsigned(F.xxhash64("_key"), 32)).withColumn("_part", F.shiftright("_u", 32 - bits).cast("int")).repartition("_part")
         dealt = dealt.withColumn("_tie", F.xxhash64("_text")).sortWithinPartitions("_part", "_u", "_key", "_tie").select("_part", "_key", "_text")
         with dropping_shuffles(spark):
-            dealt.mapInArrow(_tokenised(tokenizer, length), schema).write.mode("overwrite").option("compression", "zstd").parquet(table)
-    tokens = spark.read.schema(schema).parquet(table)
-    sums = tokens.groupBy("part").agg(F.sum("n").alias("_n"))
-    bases = sums.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_base"))  # 4096 rows at most
+            dealt.mapInArrow(_tokenised(spark.sparkContext.broadcast(vocabulary), length), schema).write.mode("overwrite").option("compression", "zstd").parquet(table)
+    tokenised = spark.read.schema(schema).parquet(table)
+    sums = tokenised.groupBy("part").agg(F.sum("n").alias("_n"))
+    bases = sums.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_base"))  # a row for each part
     total = sums.agg(F.sum("_n")).first()[0] or 0
-    documents = tokens.join(F.broadcast(bases), "part").select("_key", (F.col("_base") + F.col("first")).alias("start"), "n", "tokens")
+    documents = tokenised.join(F.broadcast(bases), "part").select("_key", (F.col("_base") + F.col("first")).alias("start"), "n", "tokens")
 
-    system, base = open_folder(f"{folder.rstrip('/')}/shards")
+    system, base = open_folder(f"{folder}/shards")
     system.create_dir(base, recursive=True)
-    shards = -(-total // rows)
-    index = f"{folder.rstrip('/')}/index"
-    write, index_schema = _writer(f"{folder.rstrip('/')}/shards", rows, kind)
+    shards, index = -(-total // rows), f"{folder}/index"
+    passes = max(passes, -(-shards // PASS_SHARDS))
+    write, index_schema = _writer(f"{folder}/shards", rows, kind)
     for p in range(passes):
-        low, high = shards * p // passes * rows, shards * (p + 1) // passes * rows
+        low, high = shards * p // passes, shards * (p + 1) // passes
         if _done(spark, f"{index}/pass={p}"):
             continue
-        cut, cut_schema = _sequences(total, length, rows, secret, low, high, kind)
-        moved = documents.mapInArrow(cut, cut_schema).repartition("shard").sortWithinPartitions("shard", "slot")
+        cut, cut_schema = _sequences(total, length, rows, secret, low * rows, high * rows, kind)
+        moved = documents.mapInArrow(cut, cut_schema).repartitionById(max(1, high - low), (F.col("shard") - low).cast("int")).sortWithinPartitions("shard", "slot")
         with dropping_shuffles(spark):
             moved.mapInArrow(write, index_schema).write.mode("overwrite").parquet(f"{index}/pass={p}")
     out = spark.read.schema(T.StructType([*index_schema.fields, T.StructField("pass", T.IntegerType())])).parquet(index)
@@ -241,4 +240,4 @@ def read_slots(folder: str, first: int, n: int, length: int = LENGTH, rows: int
 
 def op5(docs: DataFrame) -> DataFrame:
     """The index of all sequences of documents, their shards written to a new folder in the shared folder."""
-    return materialise(docs.select("doc_id", "text"), shared_path(docs.sparkSession, "training-order"))
+    return materialise(docs.select("doc_id", "text"), shared_path(docs.sparkSession, "training-order", keep=True))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from citegrid.llm import components, decontam, mixing, sharding, simhash, substring, training_order
+from citegrid.llm import components, decontam, mixing, sharding, simhash, substring, tokens, training_order
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,7 +69,7 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_training_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(training_order, "PIECE", 50)
+    monkeypatch.setattr(tokens, "PIECE", 50)
     rnd = random.Random(1)
     rows = [(i, prose(rnd, rnd.randint(1, 90)), "en", "s") for i in range(40)] + [(50, None, "en", "s"), (51, "", "en", "s"), (52, "x" * 300, "en", "s"), (53, "same", None, None), (53, "same", None, None)]
     df, folder = docs(spark, rows).withColumn("part", F.lit(1)), str(tmp_path / "t")
@@ -78,15 +78,22 @@ def test_training_order(spark, tmp_path, monkeypatch):
     assert sorted(r.slot for r in index) == list(range(n)) and all(r.shard == r.slot // 8 and r.record == r.slot % 8 for r in index)
     ids = training_order.read_slots(folder, 0, n + 5, length=16, rows=8)
     assert len(ids) == n and all(zlib.crc32(ids[r.slot].tobytes()) == r.crc32 for r in index)
-    encoding, end = training_order._encoding(training_order.TOKENIZER)
+    encoding, end = tokens.encoding(tokens.vocabulary())
     for i, text, *_ in rows[:40] + [rows[42]]:
         parts = sorted((r.sequence, ids[r.slot][: r.n_tokens]) for r in index if r.doc_id == i)
-        tokens = np.concatenate([p for _, p in parts]).tolist()
-        assert tokens[-1] == end and tokens[:-1] == encoding.encode_ordinary(text)
+        own = np.concatenate([p for _, p in parts]).tolist()
+        assert own[-1] == end and own[:-1] == encoding.encode_ordinary(text)
     assert not {50, 51} & {r.doc_id for r in index} and sum(r.doc_id == 53 for r in index) == 2
     assert sorted(training_order.materialise(df, folder, length=16, rows=8, passes=3).collect()) == sorted(index)  # resumed
     assert np.array_equal(training_order.read_slots(folder, 5, 6, length=16, rows=8), ids[5:11])
     assert training_order.materialise(df.limit(0), str(tmp_path / "e")).count() == 0
+    for other in ({"length": 32}, {"secret": 5}):
+        with pytest.raises(ValueError, match="other documents or parameters"):
+            training_order.materialise(df, folder, **({"length": 16, "rows": 8, "passes": 3} | other))
+    with pytest.raises(ValueError, match="other documents or parameters"):
+        training_order.materialise(df.filter("doc_id <> 3"), folder, length=16, rows=8, passes=3)
+    monkeypatch.setattr(training_order, "PART_BYTES", 16)  # the order does not depend on how the work is parted
+    assert sorted(training_order.materialise(df, str(tmp_path / "p"), length=16, rows=8, passes=2).collect()) == sorted(index)
 
 
 # --- mixing
