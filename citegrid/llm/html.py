@@ -218,12 +218,14 @@ def cluster_threshold(values: np.ndarray) -> float:
 
 
 def seeds_of(lines: list[Line], out: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed ratio is in the high cluster; ``out`` are those whose ratio counts as 0."""
+    """Lines of text whose smoothed ratio is in the high cluster; ``out`` are those whose ratio counts as 0."""
     ratios = np.array([x.own / max(1, x.tags) for x in lines]) * ~out
     if not ratios.any():
         return np.zeros(len(lines), bool)
     scores = np.log1p(smooth(ratios))
-    can = ratios > 0
+    can = (ratios > 0) & np.array([x.is_text for x in lines])
+    if not can.any():
+        return can
     return can & (scores >= min(cluster_threshold(scores[can]), scores[can].max()))
 
 

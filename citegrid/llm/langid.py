@@ -50,7 +50,8 @@ def code_points(text: str) -> np.ndarray:
 
 def pieces_of(text: str) -> Iterator[tuple[np.ndarray, int]]:
     """The code points of a text piece by piece, and how many places of each begin n-grams of its own: a piece goes on
-    with the first code points of the next one, so that together they have the n-grams of the whole."""
+    with the first code points of the next one, so that together they have the n-grams of the whole (but for a Greek sigma
+    at a cut, whose lower case depends on what follows)."""
     for at in range(0, max(1, len(text)), CHUNK):
         own, more = text[at : at + CHUNK].lower(), text[at + CHUNK : at + CHUNK + max(ORDERS) - 1].lower()[: max(ORDERS) - 1]
         own, more = " " * (at == 0) + own, more if at + CHUNK < len(text) else " "

@@ -50,6 +50,28 @@ def test_shards(spark, monkeypatch):
     assert sharding.hilbert_shards(df.limit(0), ["lang", "n_chars"]).count() == 0
 
 
+def test_steps_of_strings_look_at_whole_values(spark):
+    """Names with a long common beginning part as well as short ones, and a value with a third of all rows has a step."""
+    rows = [(i, "x", None, f"s{i % 40:02d}") for i in range(400)] + [(1000 + i, "x", None, "s07") for i in range(200)]
+    short = docs(spark, rows)
+    long = short.withColumn("source", F.concat(F.lit("https://a-long-name.example.org/" * 3), "source"))
+    at = lambda df: {r.doc_id: r.curve_index for r in sharding.hilbert_shards(df, ["source", "n_chars"], 8).collect()}
+    assert at(short) == at(long) and len(set(at(long).values())) >= 10
+    bounds = sharding.string_bounds(long, "source", 16)
+    counts, total, before, step, brute = {}, 600, 0, 0, []
+    for r in rows:
+        counts[r[3]] = counts.get(r[3], 0) + 1
+    for v in sorted(counts):
+        if before * 16 // total > step:
+            step = before * 16 // total
+            brute.append(v)
+        before += counts[v]
+    assert [b[-3:] for b in bounds] == brute
+    assert sharding.string_bounds(long.limit(0), "source", 16) == []
+    same = docs(spark, [(None, "t", "en", "s")] * 50 + [(7, "t", "en", "s")] * 50)
+    assert sorted(r.slot for r in sharding.hilbert_shards(same, ["lang", "source"], 2).filter("shard = 0").collect()) == list(range(50))
+
+
 def test_written_shards_prune(spark, tmp_path):
     df = docs(spark, [(i, "x" * (i % 50), "en" if i % 2 else "de", f"s{i % 4}") for i in range(400)])
     sharding.write_shards(sharding.hilbert_shards(df, ["lang", "source"], 8), str(tmp_path / "s"), 8)
@@ -205,6 +227,25 @@ def test_near_duplicates(spark):
 # --- decontamination
 
 
+def test_drop_near_duplicates_judges_rows(spark):
+    rnd = random.Random(21)
+    a, b, c = prose(rnd, 60), prose(rnd, 60), prose(rnd, 60)
+    rows = [(5, a, "en", "s"), (5, b, "de", "s"), (2, b, "en", "t"), (None, c, "en", "s"), (None, c, "en", "s"), (9, c, "fr", "s"), (11, a, "en", "s"), (5, a, "en", "s")]
+    df = docs(spark, rows).withColumns({"_key": F.lit(1), "fp": F.lit(2), "_own": F.lit(3)})
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (2, b), (9, c)])
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_fingerprint_pieces(monkeypatch):
+    rnd = random.Random(22)
+    texts = [prose(rnd, n) for n in (1, 3, 4, 5, 50, 400)] + [" \n", "x" * 90 + " y", "a\tb\x0bc\r\nd  e f"]
+    whole = [simhash.fingerprint_of(t) for t in texts]
+    for size in (1, 5, 33, 100):
+        monkeypatch.setattr(simhash, "PIECE", size)
+        assert [simhash.fingerprint_of(t) for t in texts] == whole
+
+
 def lcs_brute(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -239,6 +280,53 @@ def test_leaks(spark):
     assert decontam.leaks(df, bench.limit(0)).count() == 0 and decontam.leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_in_pieces_and_blocks(spark, monkeypatch):
+    """Long texts in overlapping pieces, and a benchmark in blocks, find what one piece finds; short items are found word
+    for word."""
+    rnd = random.Random(19)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, prose(rnd, rnd.randint(6, 80), words)) for i in range(12)] + [(20, "Two words"), (21, "three words here"), (22, "One"), (23, "?!")]
+    texts = []
+    for i in range(12):
+        parts = [prose(rnd, rnd.randint(1, 900), words), items[i][1], prose(rnd, rnd.randint(1, 900), words), items[(i * 5 + 1) % 12][1]]
+        texts.append((i, " ".join(parts), "en", "s"))
+    texts += [(30, "So two words are no find here", "en", "s"), (31, "two, words!", "en", "s"), (32, "and three words here too", "en", "s"), (33, "three other words here", "en", "s"), (34, "one", "en", "s")]
+    df, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    read = lambda: {(r.doc_id, r.item_id): (r.start_word, r.window_words, round(r.lcs_share, 6)) for r in decontam.leaks(df, bench).collect()}
+    whole = read()
+    assert {(i, i) for i in range(12)} | {(i, (i * 5 + 1) % 12) for i in range(12)} | {(31, 20), (32, 21), (34, 22)} == set(whole)
+    monkeypatch.setattr(decontam, "CHUNK", 128)
+    assert read() == whole
+    monkeypatch.setattr(decontam, "ITEMS", 5)
+    assert set(read()) == set(whole)
+
+
+def test_leaks_recall_of_paraphrases(spark):
+    """Against an exhaustive search: every window of every text, the subsequence rule alone, no retrieval."""
+    rnd = random.Random(23)
+    words = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, prose(rnd, rnd.randint(12, 60), words).capitalize() + ". " + prose(rnd, 5, words) + ".") for i in range(20)]
+    texts = []
+    for i in range(60):
+        own = items[i % 20][1].split()
+        changed = [rnd.choice(words) if rnd.random() < (i // 20) * 0.12 and k < len(own) - 5 else w for k, w in enumerate(own)]
+        texts.append((i, prose(rnd, rnd.randint(20, 300), words) + " " + " ".join(changed) + " " + prose(rnd, rnd.randint(20, 300), words), "en", "s"))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    q = decontam.queries_of(items)
+    true = set()
+    for d, text, *_ in texts:
+        own = np.array([q.vocabulary.get(w, 0) for w in decontam.terms_of(text)])
+        for p in q.pieces:
+            size = decontam.BLOCK * decontam.SIZES[p.group][1]
+            for at in range(0, len(own), decontam.BLOCK):
+                window = own[at : at + size]
+                share = decontam.lcs(window, decontam._masks(p.terms), len(p.terms)) / len(p.terms)
+                told = decontam.lcs(window, decontam._masks(p.answer), len(p.answer)) / max(1, len(p.answer))
+                if share >= decontam.LCS_VERBATIM or (share >= decontam.LCS_PARAPHRASE and told >= decontam.ANSWER):
+                    true.add((d, p.item_id))
+    assert got <= true and len(got & true) >= 0.97 * len(true) and len(true) >= 55
+
+
 # --- repeated passages
 
 
@@ -425,3 +513,22 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in step.collect()} == set(range(120))
     by = {s: sorted(r.slot for r in out if r.shard == s) for s in {r.shard for r in out}}
     assert all(v == list(range(len(v))) for v in by.values())
+
+
+def test_pipeline_corner_cases(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, a long text, extra columns with clashing names."""
+    import corpus_pipeline
+
+    rnd = random.Random(31)
+    words = [f"{a}{b}" for a in "thwhsh" for b in ("e", "at", "ing", "ed")]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, prose(rnd, 60, words), "en", f"s{i % 2}") for i in range(20)] + [(None, prose(rnd, 60, words), "en", None), (3, None, None, None), (4, prose(rnd, 60_000, words), None, "s1"), (5, "", "en", "s0")]
+    df = docs(spark, rows + rows[:3]).withColumns({"_key": F.lit(1), "_tid": F.lit("t"), "slot": F.lit(2), "_own": F.lit(3), "lang_pred": F.lit("p")})
+    for data in (df, df.limit(0)):
+        step = data
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, str(tmp_path))
+            assert step.columns == df.columns, name
+        out = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path)).collect()
+        assert {"shard", "slot", "_key", "lang_pred"} <= set(out[0].asDict()) if out else data is not df
+    assert out == []

@@ -67,6 +67,18 @@ def test_line_rules_brute(spark):
         assert got[i].kept == (not got[i].base_failed and n - gone >= 10 and 2 * (n - gone) >= n)
 
 
+def test_line_rules_count_documents_not_rows(spark):
+    own = "\n".join(f"alpha beta gamma delta {w} {w}x {w}y" for w in "abcdef")
+    rows = [(1, "h", own)] * 12 + [(i, "h", f"some other words here in line {i}, and more of them follow {i}") for i in range(2, 40)] + [(None, "h", own), (50, None, None), (50, "h", ""), (51, None, "x\n" * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"_key": F.lit(1), "_own": F.lit(2), "kept": F.lit("old")})
+    out = quality.filter_lines(df).collect()
+    assert len(out) == len(rows) and all(r.removed_words == 0 for r in out)  # twelve rows of one key are one document
+    often = [(i, "h", own) for i in range(12)] + [(100 + i, "h", f"another text of words {i} that goes on and on") for i in range(10)] + [(3, "h", own)]
+    out = quality.filter_lines(spark.createDataFrame(often, "doc_id long, source string, text string")).collect()
+    assert {r.removed_words for r in out if r.doc_id < 12} == {42} and not any(r.kept for r in out if r.doc_id < 12)
+    assert quality.filter_lines(df.limit(0)).count() == 0
+
+
 # --- HTML
 
 
@@ -94,9 +106,67 @@ def test_html_parts():
     assert 1 < html.cluster_threshold(np.array([1.0, 1, 9, 9])) < 9
 
 
+PARAGRAPH = "A paragraph of the article that has a fair number of words in it, as text has."
+LONG = " ".join([PARAGRAPH] * 12)
+
+
+def test_html_paragraphs_in_boxes_of_their_own():
+    """No article: each paragraph in a div, headings in sections, one paragraph far longer than the others."""
+    body = "<section><h2>First part</h2></section>" + f"<div class=par><p>{LONG}</p></div>" + "".join(f"<div class=par><p>{i} {PARAGRAPH}</p></div>" for i in range(4)) + "<section><h2>Second part</h2></section>" + f"<div class=par><p>Short one.</p></div><div class=par><p>9 {PARAGRAPH}</p></div><div class=par><p>End.</p></div>"
+    page = f"<body><div id=bar><a href=/>Home</a> <a href=/x>News</a></div><div id=wrap>{body}</div><div id=low><a href=/t>Terms</a> <a href=/p>Privacy</a></div><div>All rights reserved.</div></body>"
+    assert html.main_blocks(page) == ["First part", LONG, *[f"{i} {PARAGRAPH}" for i in range(4)], "Second part", "Short one.", f"9 {PARAGRAPH}", "End."]
+
+
+def test_html_regions_inside_a_container():
+    tail = "<p><a href=/t>Terms of use</a></p><p><a href=/p>Privacy</a></p><p>Prices may change.</p>"
+    body = "<h1>Head</h1>" + "".join(f"<p>{i} {PARAGRAPH}</p>" for i in range(4)) + "<p><a href=/more>A link alone</a></p><p>Short.</p>" + f"<p>8 {PARAGRAPH}</p><p>End.</p>"
+    blocks = html.main_blocks(f"<article><p><a href=/>All articles</a></p>{body}{tail}</article>")
+    assert blocks == ["Head", *[f"{i} {PARAGRAPH}" for i in range(4)], "A link alone", "Short.", f"8 {PARAGRAPH}", "End."]
+
+
+@pytest.mark.parametrize("around", ['<div class="post share-price">{}</div>', "<form id=f method=post>{}</form>", '<div class="related-work legal"><article>{}</article></div>', '<div class=header><div>{}</div></div>'])
+def test_html_misleading_names(around):
+    body = f"<h1>Head</h1><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    assert html.main_blocks("<body><nav><a>x</a></nav>" + around.format(body) + "<div class=sidebar><p>Some text at the side, of a few words.</p></div></body>") == ["Head", PARAGRAPH, PARAGRAPH]
+
+
+def test_html_comments_longer_than_the_article():
+    page = f"<body><div id=main><h1>Head</h1><p>{PARAGRAPH}</p><p>1 {PARAGRAPH}</p></div><div id=comments>" + f"<p>{LONG}</p>" * 3 + "</div></body>"
+    assert html.main_blocks(page) == ["Head", PARAGRAPH, f"1 {PARAGRAPH}"]
+
+
+def test_html_ratios_decide(monkeypatch):
+    """Smoothing and clustering against brute force; without the threshold other lines are chosen."""
+    page = "<body>" + "".join(f"<div><a>link {i}</a> <a>b</a></div>" for i in range(5)) + f"<div id=t><p>{PARAGRAPH}</p><p>{LONG}</p></div>" + "<div><a>more links</a></div>" * 5 + "<div>word</div></body>"
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x = rng.random(int(rng.integers(1, 40))) * rng.integers(0, 2, 1)
+        w = lambda d: np.exp(-d * d / 2) if abs(d) <= 3 else 0.0
+        brute = [sum(w(i - j) * v for j, v in enumerate(x)) / sum(w(i - j) for j in range(len(x))) for i in range(len(x))]
+        assert np.allclose(html.smooth(x), brute)
+        v = np.sort(np.concatenate([rng.normal(1, 0.1, 8), rng.normal(5, 0.3, 5)]))
+        best = min(range(1, len(v)), key=lambda k: v[:k].var() * k + v[k:].var() * (len(v) - k))
+        assert v[best - 1] < html.cluster_threshold(v) < v[best]
+    assert html.main_blocks(page) == [PARAGRAPH, LONG]
+    monkeypatch.setattr(html, "cluster_threshold", lambda values: -1.0)
+    assert html.main_blocks(page) != [PARAGRAPH, LONG]
+
+
+def test_html_is_linear():
+    import time
+
+    start = time.perf_counter()
+    html.main_blocks("<b>" * 150_000 + "</i>" * 150_000)
+    html.main_blocks("<i>" + "<b>" * 100_000 + "</i></p>" * 50_000 + "<div>" * 50_000 + "x" + "<p>y" * 20_000)
+    assert time.perf_counter() - start < 30
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None), (2, "u", "<p>Hello  you</p>")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in html.op2(df).orderBy("page_id").collect()] == [("", 0), ("Hello you", 9)]
+    assert html.op2(df.limit(0)).count() == 0 and html.op2(df.unionByName(df)).count() == 4
+    clash = html.extract(df.withColumns({"text": F.lit(7), "in0__": F.lit(1)})).orderBy("page_id").collect()
+    assert [(r.text, r.in0__) for r in clash] == [("", 1), ("Hello you", 1)]
 
 
 # --- chat
@@ -179,9 +249,41 @@ def test_langid_batches_are_independent():
         assert np.allclose(whole[i], brute)
 
 
+def test_langid_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    matrix = rng.random((1 << langid.BITS, 2)).astype(np.float32)
+    text = "Der Hund, İstanbul und Zwei Wörter " * 9
+    grams = lambda: sum(np.bincount(b[:begin], minlength=1 << langid.BITS) for points, begin in langid.pieces_of(text) for b in langid.ngram_buckets(points))
+    whole, score = grams(), langid._log_likelihoods([text], matrix)
+    for size in (1, 2, 7, 50):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        if size > 2:
+            assert np.array_equal(grams(), whole) and np.allclose(langid._log_likelihoods([text], matrix), score)
+
+
+def test_langid_of_many_languages(spark):
+    rows = [(i, f"w{i % 700}x w{i % 700}y w{i % 700}z " * 5, f"l{i % 700:03d}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = langid.fit(df)
+    assert len(langs) == 700 and matrix.shape == (1 << 14, 700)
+    right = langid.predict(df, (langs, matrix)).filter("lang = lang_pred").count()
+    assert right >= 1300 and langid.fit(df.limit(0))[0] == []
+
+
 # --- shared helpers
 
 
+def test_intermediates_go(spark):
+    import os
+
+    df = common.written(spark.range(3).toDF("x"), "probe")
+    path = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 3 and os.path.isdir(path)
+    common.discard_intermediates(spark)
+    assert not os.path.exists(path)
+
+
+
 def test_hash_words(monkeypatch):
     monkeypatch.setattr(common, "HASH_BYTES", 64)
     texts = [None, "", "  a\tB c ", "É é x " * 40, "a", "one two, three-four"]
