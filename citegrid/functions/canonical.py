@@ -32,6 +32,22 @@ def json_map(m: Column) -> Column:
     return _lower_escapes(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
 
 
+#: Evidence fields whose JSON is kept as JSON in ledger files; all others are strings.
+NATIVE_FIELDS = ("candidates", "projection", "signals")
+
+
+def encode_source_fields(fields: Column) -> Column:
+    """Evidence fields as the JSON object of a ledger file: of NATIVE_FIELDS valid JSON as it is, all else as strings."""
+    native = lambda e: F.when(e["key"].isin(*NATIVE_FIELDS), F.to_json(F.try_parse_json(e["value"])))
+    one = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.coalesce(native(e), json_text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), one), ","), F.lit("}"))
+
+
+def decode_source_fields(json: Column) -> Column:
+    """The inverse: a map of strings, values that are no strings as their JSON."""
+    return F.from_json(json, "map<string,string>")
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 

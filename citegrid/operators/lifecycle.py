@@ -3,7 +3,8 @@
 A ledger is a dict of tables. entries: entry_key, deleted, content_hash, snapshot (STRUCT<entry_type, fields>), source,
 provider, provider_id, integrity_hash, integrity_source, approval (struct), head. revisions: id, target, previous,
 operation, actor, timestamp, snapshot and state (JSON), snapshot_sha256, revision_sha256, and the same again as columns,
-snapshot_key, source and entry (the entry's columns). sources: entry_key, fields. Records are entry_type, entry_key and
+snapshot_key, source and entry (the entry's columns). sources: entry_key, fields. proposals, if there are any: what
+proposals.create() makes. Records are entry_type, entry_key and
 fields, workflow fields included. Every step makes new tables from old ones: a join of keys and an aggregation or two,
 whatever the number of entries; its tables are checkpointed, so that plans of many steps stay flat. update() is the one
 that writes.
@@ -13,12 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import canonical as cn
 from citegrid.functions.vocab import SYSTEM_TYPES
-from citegrid.operators import evidence, ledger
+from citegrid.operators import evidence, ledger, proposals
 from citegrid.sources import ledger as store
 from citegrid.storage import checkpoint
 
@@ -136,7 +137,8 @@ def sync(before: dict[str, DataFrame], records: DataFrame, actor: str, timestamp
 def errors(state: dict[str, DataFrame]) -> DataFrame:
     """(error): the rules that the ledger breaks."""
     e = state["entries"].withColumns({"snapshot_key": F.when(F.col("snapshot").isNotNull(), F.col("entry_key")), "snapshot_hash": cn.content_hash(F.col("snapshot.entry_type"), F.col("snapshot.fields"))})
-    return ledger.validation_errors(e, state["revisions"], state["sources"], state.get("proposals"))
+    asked = state.get("proposals")
+    return ledger.validation_errors(e, state["revisions"], state["sources"], None if asked is None else asked.withColumn("before", F.col("before_json")))
 
 
 def status(state: dict[str, DataFrame] | None, records: DataFrame) -> dict:
@@ -176,6 +178,31 @@ def restore(state: dict[str, DataFrame], wanted: DataFrame, records: DataFrame,
     return out, edit(state, out, "restore", actor, timestamp)
 
 
+def adopt_proposals(state: dict[str, DataFrame], records: DataFrame, wanted: DataFrame, agent: str, timestamp: int) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """wanted (id, blocker: why it can't be adopted, or null) -> the bibliography and the ledger after, and what each came to.
+
+    Adopted are undecided proposals without a blocker whose record still has the baseline's content, of several for one
+    record none; the decision names the revision that the change made. (id, outcome, error) says so.
+    """
+    p = state["proposals"]
+    now = records.select(F.col("entry_key").alias("_k"), cn.content_hash(F.col("entry_type"), F.col("fields")).alias("_now"))
+    j = wanted.select("id", "blocker").join(p, "id", "left").join(now, F.col("target") == F.col("_k"), "left")
+    several = F.count(F.lit(1)).over(Window.partitionBy("target")) > 1
+    error = (
+        F.when(F.col("target").isNull(), "proposal not found").when(F.col("outcome").isNotNull(), "proposal has already been decided").when(F.col("blocker").isNotNull(), F.col("blocker"))
+        .when(~F.col("_now").eqNullSafe(F.col("baseline_hash")), "proposal is stale").when(several, "several proposals for one record")
+    )
+    j = checkpoint(j.withColumn("error", error))
+    good = j.filter("error IS NULL").select(F.col("after_type").alias("entry_type"), F.col("target").alias("entry_key"), F.col("after").alias("fields"))
+    out = records.select("entry_type", "entry_key", "fields").join(good.select("entry_key"), "entry_key", "left_anti").select("entry_type", "entry_key", "fields").unionByName(good)
+    after = edit(state, out, "proposal-adopt", agent, timestamp)
+    heads = state["entries"].filter("NOT deleted").select(F.col("entry_key").alias("_e"), F.col("head").alias("_old")).join(after["entries"].filter("NOT deleted").select("entry_key", "head"), F.col("_e") == F.col("entry_key"))
+    decided = j.filter("error IS NULL").select(F.col("id").alias("_id"), F.col("target").alias("_t")).join(heads, F.col("_t") == F.col("_e"), "left").select("_id", F.when(~F.col("head").eqNullSafe(F.col("_old")), F.col("head")).alias("_rev"))
+    is_now = F.col("_id").isNotNull()
+    next_p = p.join(decided, F.col("id") == F.col("_id"), "left").withColumns({"outcome": F.when(is_now, proposals.OUTCOMES[0]).otherwise(F.col("outcome")), "decided_by": F.when(is_now, agent).otherwise(F.col("decided_by")), "decided_at": F.when(is_now, F.lit(timestamp)).otherwise(F.col("decided_at")).cast("long"), "decision_revision": F.when(is_now, F.col("_rev")).otherwise(F.col("decision_revision"))}).select(*p.columns)
+    return out, after | {"proposals": checkpoint(next_p)}, j.select("id", F.when(F.col("error").isNull(), proposals.OUTCOMES[0]).alias("outcome"), "error")
+
+
 def embedded(records: DataFrame) -> dict[str, DataFrame]:
     """The ledger that records of the older format hold in themselves: evidence rows, and workflow fields of entries. A
     marker that is the content's hash, of now or of the older kind, seals the content; any other stays as it is, stale."""

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.functions import canonical as cn
 from citegrid.functions import projections as pj
+from citegrid.functions.vocab import SYSTEM_TYPES
 
 OUTCOMES = ("adopted", "rejected")
 
@@ -31,6 +33,21 @@ def proposal_id(body: pd.Series, provider: pd.Series) -> pd.Series:
     return pd.Series([one(b, p) for b, p in zip(body, provider)], dtype=object)
 
 
+def create(records: DataFrame, changes: DataFrame, agent: str, reason: str, timestamp: int) -> DataFrame:
+    """changes (target, entry_type, fields) -> proposals to replace the records of those keys by these, with id, hashes
+    and JSON of before and after. Workflow fields are no part of a proposal; a key that is not there is an error."""
+    now = records.filter(~F.lower("entry_type").isin(*SYSTEM_TYPES)).select(F.col("entry_key").alias("_k"), F.col("entry_type").alias("before_type"), cn.bibliographic_fields(F.col("fields")).alias("before"))
+    j = changes.select("target", F.col("entry_type").alias("after_type"), cn.bibliographic_fields(F.col("fields")).alias("after")).join(now, F.col("target") == F.col("_k"), "left")
+    key = F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("citation key not found: "), "target")).cast("string")).otherwise(F.col("_k"))
+    j = j.withColumns({"target": key, "agent": F.lit(agent.strip()), "reason": F.lit(reason.strip()), "timestamp": F.lit(timestamp).cast("long"), "before_key": F.col("target"), "after_key": F.col("target")})
+    for side in ("before", "after"):
+        j = j.withColumns({f"{side}_hash": cn.content_hash(F.col(f"{side}_type"), F.col(side)), f"{side}_json": cn.record_json(F.col(f"{side}_type"), F.col("target"), F.col(side))})
+    parts = [cn.json_text(F.col("target")), cn.json_text(F.col("agent")), cn.json_text(F.col("reason")), F.col("timestamp").cast("string"), cn.json_text(F.col("before_hash")), cn.json_text(F.col("after_hash")), F.col("before_json"), F.col("after_json"), F.lit("null")]
+    j = j.withColumn("id", F.concat(F.lit("proposal:"), F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256)))
+    none = F.lit(None).cast("string")
+    return j.drop("_k").withColumns({"baseline_hash": F.col("before_hash"), "proposal_hash": F.col("after_hash"), "own_id": F.col("id"), "outcome": none, "decided_by": none, "decided_at": F.lit(None).cast("long"), "decision_revision": none, "threshold": F.lit(None).cast("double")})
+
+
 def listed(proposals: DataFrame, current: DataFrame) -> DataFrame:
     """proposals (id, target, baseline_hash, before, after, before_type, after_type, outcome) with ``stale``: the target
     is gone or has other content now, and the fields it changes."""

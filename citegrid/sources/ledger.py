@@ -31,8 +31,9 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def hydrate(records: DataFrame, entries: DataFrame) -> DataFrame:
-    """Records with their ledger state as virtual fields: source, provider, marker and approval, where there are any."""
+def hydrate(records: DataFrame, entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Records with their ledger state as virtual fields: source, provider, marker and approval, where there are any. With
+    ``sources`` (entry_key, fields) the evidence follows as rows of its own; records then have an entry_type."""
     e = entries.filter(~F.col("deleted"))
     values = {
         "bibsource": F.col("source"), "bibprovider": F.col("provider"), "bibproviderid": F.col("provider_id"), "integrity": F.col("integrity_hash"), "bibapprovalid": F.col("approval.id"), "bibapprovalkind": F.col("approval.kind"),
@@ -43,7 +44,8 @@ def hydrate(records: DataFrame, entries: DataFrame) -> DataFrame:
     from citegrid.functions.projections import overlay
 
     none = F.create_map().cast("map<string,string>")
-    return records.join(v, F.col("entry_key") == F.col("_k"), "left").withColumn("fields", overlay(F.col("fields"), F.coalesce("_v", none))).drop("_k", "_v")
+    out = records.join(v, F.col("entry_key") == F.col("_k"), "left").withColumn("fields", overlay(F.col("fields"), F.coalesce("_v", none))).drop("_k", "_v")
+    return out if sources is None else out.unionByName(sources.select(F.lit("bibsource").alias("entry_type"), "entry_key", "fields"), allowMissingColumns=True)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import projections as pj
 from citegrid.functions.text import clamp_limit
+from citegrid.functions.vocab import SYSTEM_TYPES
+from citegrid.sources import bibtex
 
 PROVIDERS = ("crossref", "doi", "openreview")
 
@@ -41,3 +43,17 @@ def openreview_notes(responses: DataFrame, body: str = "body") -> DataFrame:
     n = responses.select("*", F.explode(F.from_json(F.col(body), schema)["notes"]).alias("_n")).filter("_n.id IS NOT NULL AND _n.content IS NOT NULL")
     c = F.col("_n.content")
     return n.withColumns({"bibtex": c["_bibtex"]["value"], "record": pj.literature_of_note(F.col("_n.id"), c["title"]["value"], c["authors"]["value"], c["venue"]["value"])}).drop("_n")
+
+
+def openreview_records(responses: DataFrame, body: str = "body") -> DataFrame:
+    """(id, record) of the notes of responses: a note's embedded BibTeX counts before its own fields, with the note's URL.
+
+    Note IDs name notes: of several responses with a note one is taken.
+    """
+    notes = openreview_notes(responses.select(body), body).select(F.col("record.id").alias("id"), "bibtex", "record").dropDuplicates(["id"])
+    at = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
+    entries = bibtex.parse(notes.filter("bibtex IS NOT NULL").select(F.col("id").alias("file"), at.alias("at"), F.col("bibtex").alias("text"))).filter(~F.col("entry_type").isin(*SYSTEM_TYPES))
+    first = entries.groupBy(F.col("file").alias("_id")).agg(F.min_by(F.struct("entry_type", "fields"), "at.entry").alias("_e"))
+    url = F.concat(F.lit("https://openreview.net/forum?id="), "id")
+    embedded = pj.literature_of_fields(F.lit("openreview"), F.col("id"), F.col("_e.entry_type"), F.col("_e.fields")).withField("url", url)
+    return notes.join(first, F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("_e").isNotNull(), embedded).otherwise(F.col("record")).alias("record"))
