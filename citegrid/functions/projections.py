@@ -98,12 +98,21 @@ def drop_blank(fields: Column) -> Column:
 
 
 def clean_markup(c: Column) -> Column:
-    """The text of a value with XML markup: tags and entity references go, the ends are trimmed. A value whose tags do
-    not match up stays as it is."""
-    opened, closed, empty = (F.regexp_count(c, F.lit(p)) for p in (r"<[A-Za-z][^<>]*>", r"</[A-Za-z][^<>]*>", r"<[A-Za-z][^<>]*/>"))
-    stray = F.rlike(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""), F.lit(r"[<]|&(?![A-Za-z]+;|#[0-9]+;|#x[0-9A-Fa-f]+;)"))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", ""), r"&(?:[A-Za-z]+|#[0-9]+|#x[0-9A-Fa-f]+);", ""))
-    return F.when((opened - empty == closed) & ~stray, bare).otherwise(c)
+    """The text of a value with XML markup: tags, comments and entity references go, CDATA is text, the ends are trimmed.
+    A value that is not well formed stays as it is.
+
+    Innermost pairs of tags go first, again and again, as often as there are end tags at most; what is left of markup
+    then is not well formed.
+    """
+    parts = F.split(c, r"<!\[CDATA\[")
+    # characters of markup inside CDATA stand aside while tags are matched
+    plain = lambda p: F.concat(F.translate(F.substring_index(p, "]]>", 1), "<&", "\ue000\ue001"), F.substring(p, F.length(F.substring_index(p, "]]>", 1)) + 4, F.length(p)))
+    text = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).when(F.contains(p, F.lit("]]>")), plain(p)).otherwise(F.concat(F.lit("<"), p))), "")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<[A-Za-z][^<>]*/>", "")
+    rounds = F.sequence(F.lit(0), F.regexp_count(text, F.lit("</")))
+    bare = F.aggregate(rounds, text, lambda x, _: F.regexp_replace(x, r"<([A-Za-z][\w:.-]*)(?:\s[^<>]*)?>([^<]*)</\1\s*>", "$2"))
+    bare = F.regexp_replace(bare, r"&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#x[0-9A-Fa-f]+);", "")
+    return F.when(F.rlike(bare, F.lit("[<&]")), c).otherwise(F.trim(F.translate(bare, "\ue000\ue001", "<&")))
 
 
 def literature_of_crossref(work: Column, provider: str = "crossref") -> Column:

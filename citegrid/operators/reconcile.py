@@ -74,13 +74,16 @@ def selected(records: DataFrame, keys: DataFrame | None) -> DataFrame:
     return ordinary.join(keys.select("entry_key").distinct(), "entry_key", "left_semi")
 
 
-def verify_status(already: Column, identifier: Column, supported: Column, looked_up: Column, verified: Column, searched: Column, n_candidates: Column) -> Column:
-    """The status of a record in a verification run; columns that do not apply are null."""
+def verify_status(already: Column, identifier: Column, supported: Column, looked_up: Column, verified: Column, searched: Column, n_candidates: Column, in_place: Column | None = None, unresolved: Column | None = None) -> Column:
+    """The status of a record in a verification run; columns that do not apply are null. Without ``in_place`` everything
+    is written; a run that writes nothing finds records ready. ``unresolved``: its URL could not be resolved."""
+    yes, no = F.lit(True), F.lit(False)
     return (
         F.when(already, "already-verified")
+        .when(identifier.isNull() & F.coalesce(no if unresolved is None else unresolved, no), "resolution-error")
         .when(identifier.isNotNull() & ~supported, "unsupported-identifier")
-        .when(identifier.isNotNull() & ~F.coalesce(looked_up, F.lit(False)), "lookup-error")
-        .when(identifier.isNotNull() & F.coalesce(verified, F.lit(False)), "verified")
+        .when(identifier.isNotNull() & ~F.coalesce(looked_up, no), "lookup-error")
+        .when(identifier.isNotNull() & F.coalesce(verified, no), F.when(F.coalesce(yes if in_place is None else in_place, no), "verified").otherwise("ready"))
         .when(identifier.isNotNull(), "needs-review")
         .when(searched.isNull(), "unsupported")
         .when(~searched, "search-error")
@@ -89,6 +92,15 @@ def verify_status(already: Column, identifier: Column, supported: Column, looked
     )
 
 
+def reviewed(report: DataFrame, live: DataFrame) -> DataFrame:
+    """A reviewed dry run against what a lookup finds now, both entry_key, baseline_hash and proposal_hash: entry_key and
+    error, for every key of ``live``. Only what was reviewed, and is still the same, may be written."""
+    r = report.select("entry_key", F.col("baseline_hash").alias("_b"), F.col("proposal_hash").alias("_p"))
+    j = live.join(r, "entry_key", "left")
+    changed = ~(F.col("baseline_hash").eqNullSafe(F.col("_b")) & F.col("proposal_hash").eqNullSafe(F.col("_p")))
+    return j.select("entry_key", F.when(F.col("_p").isNull(), "the reviewed report has no replacement").when(changed, "the entry or what the provider returns has changed; review again").alias("error"))
+
+
 def review_rows(records: DataFrame) -> DataFrame:
     """Ordinary records (with status) as a reviewer sees them: trimmed fields, a safe URL, content fields and hash."""
     f = F.col("fields")

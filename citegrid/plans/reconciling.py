@@ -11,7 +11,7 @@ from citegrid.functions import webscan
 from citegrid.operators import reconcile
 from citegrid.plans.identity import _json
 from citegrid.plans.views import BIBLIO, biblio, table
-from citegrid.sources import bibtex, providers
+from citegrid.sources import bibtex, files, providers
 from citegrid.storage import shared_path
 
 
@@ -117,10 +117,42 @@ def stripped_responses(spark, sf_dir):
 def verify_statuses(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
     i = F.col("doc_id")
-    s = reconcile.verify_status(i % 11 == 0, F.when(i % 2 == 0, "10.1/x"), i % 5 != 0, i % 3 != 0, i % 7 != 0, F.when(i % 3 != 0, i % 5 != 0), i % 4)
+    s = reconcile.verify_status(i % 11 == 0, F.when(i % 2 == 0, "10.1/x"), i % 5 != 0, i % 3 != 0, i % 7 != 0, F.when(i % 3 != 0, i % 5 != 0), i % 4, i % 8 != 0, i % 13 == 0)
     return d.select("doc_id", s.alias("status"))
 
 
+def reviewed_report(spark, sf_dir):
+    """A reviewed dry run of four in five records; since then one in three records, or what its provider returns, changed."""
+    b = biblio(spark, sf_dir)
+    live = b.select("entry_key", cn.content_hash(b.entry_type, b.fields).alias("baseline_hash"), F.sha2("title", 256).alias("proposal_hash"))
+    i = F.substring("entry_key", 2, 20).cast("long")
+    report = live.filter(i % 5 != 0).select("entry_key", F.when(i % 3 == 0, "before").otherwise(F.col("baseline_hash")).alias("baseline_hash"), F.when(i % 6 == 1, "before").otherwise(F.coalesce("proposal_hash", F.lit(""))).alias("proposal_hash"))
+    return reconcile.reviewed(report, live.withColumn("proposal_hash", F.coalesce("proposal_hash", F.lit(""))))
+
+
+def markup_cleaned(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    n = F.col("p_partkey")
+    around = lambda a, b: F.concat(F.lit(a), F.col("p_name"), F.lit(b))
+    c = F.when(n % 6 == 0, around(" <b>A <i x='1'>", "</i></b><br/>&amp; &#233;")).when(n % 6 == 1, around("<b><i>", "</b></i>")).when(n % 6 == 2, around("<![CDATA[x < y & ", "]]><sub>2</sub>")).when(n % 6 == 3, around("a <b>", "")).when(n % 6 == 4, around("<a><a>", "</a><!-- <b> --></a>")).otherwise(around("AT&T ", ""))
+    return p.select("p_partkey", pj.clean_markup(c).alias("text"))
+
+
+def bibliography_files(spark, sf_dir):
+    """A folder of files, some broken, some empty: entries and errors of each."""
+    p = table(spark, sf_dir, "part")
+    n, path = F.col("p_partkey"), shared_path(spark, "folder")
+    entry = F.concat(F.lit("@misc{p"), n, F.lit(", title = {"), "p_name", F.when(n % 5 == 2, "\n").otherwise("}}\n"))
+    # one file for each residue: written by hand, as folders of .bib files are
+    system, _ = files.spark_file(spark, path)
+    rows = p.select((n % 5).alias("f"), F.when(n % 5 == 4, "").otherwise(entry).alias("t"), n.alias("n")).filter("n <= 50").orderBy("f", "n").collect()
+    for f in range(5):
+        out = system.create(files.spark_file(spark, f"{path}/f{f}.BIB")[1], True)
+        out.write(bytearray("".join(r.t for r in rows if r.f == f).encode()))
+        out.close()
+    return files.scanned(spark, path).select(F.regexp_extract("file", r"(f\d)\.BIB$", 1).alias("file"), "entries", F.col("error").isNotNull().alias("broken"))
+
+
 def review_rows(spark, sf_dir):
     b = biblio(spark, sf_dir).withColumn("status", F.lit("stale"))
     return reconcile.review_rows(b).select("entry_key", "title", "authors", "year", "url", "content_hash")
@@ -134,7 +166,7 @@ def stored_sources(spark, sf_dir):
     return s.select("seq", "a.provider", "a.id", F.col("b.provider").alias("asked"), F.col("b.id").alias("asked_id"))
 
 
-QUERIES = {f.__name__: f for f in (bibtex_scan, bibtex_files, bibtex_marks, bibtex_render, entry_edits, crossref_records, note_records, page_metadata, reconciled, sealed_records, stripped_responses, verify_statuses, review_rows, stored_sources)}
+QUERIES = {f.__name__: f for f in (bibtex_scan, bibtex_files, bibtex_marks, bibtex_render, entry_edits, crossref_records, note_records, page_metadata, reconciled, sealed_records, stripped_responses, verify_statuses, reviewed_report, markup_cleaned, bibliography_files, review_rows, stored_sources)}
 
 _ENTRY = "' || chr(10) || '"
 _CLEAN = _json("author", "doi", "note", "title", "year", head="entry_type")
@@ -160,8 +192,11 @@ ORACLES = {
       SELECT seq, false AS failed, {_json('bibprovider', 'bibproviderid', 'integrity', 'note', 'title', 'year')} AS fields FROM s WHERE seq % 5 <> 0 UNION ALL SELECT seq, true, {_json('author', 'bibapprovalid', 'doi', 'note', 'title', 'year')} FROM o WHERE seq % 5 = 0""",
     "sealed_records": f"WITH {BIBLIO} SELECT seq, sha256({_CLEAN}) AS marker, 'me' AS actor, (4 + CASE WHEN doi IS NULL THEN 0 ELSE 1 END + CASE WHEN note IS NULL THEN 0 ELSE 1 END)::BIGINT AS unsealed FROM biblio",
     "stripped_responses": "SELECT 'd' || doc_id AS entry_key, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS removed FROM documents",
-    "verify_statuses": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'already-verified' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'unsupported-identifier' WHEN doc_id % 3 = 0 THEN 'lookup-error' WHEN doc_id % 7 = 0 THEN 'needs-review' ELSE 'verified' END
+    "verify_statuses": """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'already-verified' WHEN doc_id % 2 = 1 AND doc_id % 13 = 0 THEN 'resolution-error' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 'unsupported-identifier' WHEN doc_id % 3 = 0 THEN 'lookup-error' WHEN doc_id % 7 = 0 THEN 'needs-review' WHEN doc_id % 8 = 0 THEN 'ready' ELSE 'verified' END
       WHEN doc_id % 3 = 0 THEN 'unsupported' WHEN doc_id % 5 = 0 THEN 'search-error' WHEN doc_id % 4 > 0 THEN 'needs-selection' ELSE 'unsupported' END AS status FROM documents""",
+    "reviewed_report": """SELECT 'd' || doc_id AS entry_key, CASE WHEN doc_id % 5 = 0 THEN 'the reviewed report has no replacement' WHEN doc_id % 3 = 0 OR doc_id % 6 = 1 THEN 'the entry or what the provider returns has changed; review again' END AS error FROM documents""",
+    "markup_cleaned": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN trim('A ' || p_name || ' ') WHEN 1 THEN '<b><i>' || p_name || '</b></i>' WHEN 2 THEN 'x < y & ' || p_name || '2' WHEN 3 THEN 'a <b>' || p_name WHEN 4 THEN trim(p_name) ELSE 'AT&T ' || p_name END AS text FROM part""",
+    "bibliography_files": "SELECT 'f' || (p_partkey % 5) AS file, CASE WHEN p_partkey % 5 IN (2, 4) THEN 0 ELSE count(*) END::BIGINT AS entries, p_partkey % 5 = 2 AS broken FROM part WHERE p_partkey <= 50 GROUP BY p_partkey % 5",
     "review_rows": f"WITH {BIBLIO} SELECT entry_key, nullif(trim(title), '') AS title, author AS authors, year, CASE WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS url, sha256({_CLEAN}) AS content_hash FROM biblio",
     "stored_sources": f"""WITH {BIBLIO}, s AS (SELECT seq, seq % 4 = 0 AS stored, entry_key, CASE WHEN seq % 3 = 0 THEN 'crossref' ELSE 'doi' END AS asked FROM biblio)
       SELECT seq, CASE WHEN stored THEN 'doi' ELSE 'crossref' END AS provider, CASE WHEN stored THEN entry_key END AS id, asked, CASE WHEN stored AND asked = 'doi' THEN entry_key END AS asked_id FROM s""",

@@ -174,10 +174,20 @@ def _records(parsed: DataFrame) -> DataFrame:
     return out.select("file", "at", F.col("e.kind").alias("entry_type"), F.col("e.key").alias("entry_key"), last.alias("fields"))
 
 
+def _parsed(spark: SparkSession, *paths: str) -> DataFrame:
+    raw = spark.read.option("lineSep", "\n@").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.col("value").alias("text"))
+    return raw.select("file", "at", _entries_of_pieces(F.col("file"), F.col("at.block"), F.col("text")).alias("es"))
+
+
 def read(spark: SparkSession, *paths: str) -> DataFrame:
     """Records of BibTeX files: file, at (their order in the file), entry_type, entry_key, fields."""
-    raw = spark.read.option("lineSep", "\n@").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.col("value").alias("text"))
-    return _records(raw.select("file", "at", _entries_of_pieces(F.col("file"), F.col("at.block"), F.col("text")).alias("es")))
+    return _records(_parsed(spark, *paths))
+
+
+def scan(spark: SparkSession, *paths: str) -> DataFrame:
+    """The entries of files as they stand, broken ones with their error: file, at, kind, key, error."""
+    e = _parsed(spark, *paths).select("file", "at", F.posexplode("es").alias("n", "e"))
+    return e.select("file", F.struct("at.*", F.col("n").alias("entry")).alias("at"), "e.kind", "e.key", "e.error")
 
 
 def duplicate_keys(records: DataFrame) -> DataFrame:
