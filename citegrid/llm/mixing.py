@@ -3,8 +3,8 @@
 Each source has a budget of words. Documents have a fixed place on a line by a hash of their key; a source takes the
 documents below a threshold. The threshold comes from histograms: words by source and by the first 12 bits of the
 hash; the bucket in which the budget runs out is refined by the next 12 bits, and once more. No documents are sorted,
-each level moves one row for each source, bucket and map task, and thresholds are nested: a larger budget takes a
-superset. A target above a source's own size repeats the whole source and takes the rest by threshold.
+each level moves one row for each source, bucket and map task. What the budget leaves over where the next document is too
+large is filled up the same way, with the documents from there on that are small enough. A target above a source's own size repeats the whole source and takes the rest by threshold.
 """
 
 from __future__ import annotations
@@ -41,18 +41,14 @@ def source_targets(totals: DataFrame, cycle: int = 3, most: float = 3.0) -> Data
     return w.select("source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_water") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
-    """targets with ``_full`` (whole repeats) and ``_below``: documents whose place is below it are taken once more.
-
-    ``slim`` has source, size and _place. At each level the words before the boundary bucket are kept as ``_acc``.
-    The last bucket is taken if that brings the source nearer to its budget.
-    """
-    state = targets.withColumn("_full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    state = state.withColumn("_budget", F.col("target") - F.col("_full") * F.col("source_size"))
+def _boundary(slim: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
+    """state (source, _budget and more) with ``_below`` and ``_acc``: the documents of slim (source, size, _place) whose
+    place is below it have ``_acc`` words, and with the next bucket they would exceed the budget. If ``nearest``, that
+    bucket is below it too where this brings the words nearer to the budget."""
     state = state.withColumns({"_prefix": F.lit(0).cast("long"), "_acc": F.lit(0).cast("long")})
-    bits = STEP * LEVELS
+    kept = state.columns
     for level in range(LEVELS):
-        rest = bits - STEP * (level + 1)
+        rest = STEP * (LEVELS - level - 1)
         bucket = F.shiftright(F.col("_place"), rest)
         inside = slim
         if level:
@@ -63,13 +59,31 @@ def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
         sums = sums.select(F.col("source").alias("_s"), "_bucket", "_words", upto.alias("_upto"))
         joined = state.join(sums, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_upto", F.col("_upto") + F.col("_acc"))
         first = F.min(F.when(F.col("_upto") > F.col("_budget"), F.struct("_bucket", "_upto", "_words")))
-        state = joined.groupBy("source", "source_size", "target", "_full", "_budget", "_prefix", "_acc").agg(first.alias("_first"))
-        past_all = F.shiftleft(F.col("_prefix") + 1, STEP)  # the budget does not run out inside this prefix
-        state = state.withColumn("_acc", F.coalesce(F.col("_first._upto") - F.col("_first._words"), F.col("_acc")))
-        nearer = (F.col("_acc") + F.col("_first._upto") <= 2 * F.col("_budget")) if level == LEVELS - 1 else F.lit(False)
-        state = state.withColumn("_prefix", F.coalesce(F.col("_first._bucket") + nearer.cast("long"), past_all)).drop("_first")
+        all_words = F.coalesce(F.max("_upto"), F.first("_acc"))  # of the prefix, if the budget does not run out in it
+        state = joined.groupBy(*kept).agg(first.alias("_first"), all_words.alias("_all"))
+        past_all = F.shiftleft(F.col("_prefix") + 1, STEP)
+        state = state.withColumn("_acc", F.coalesce(F.col("_first._upto") - F.col("_first._words"), F.col("_all")))
+        takes = (F.col("_acc") + F.col("_first._upto") <= 2 * F.col("_budget")) if nearest and level == LEVELS - 1 else F.lit(False)
+        state = state.withColumn("_prefix", F.coalesce(F.col("_first._bucket") + takes.cast("long"), past_all)).drop("_first", "_all")
         state = checkpoint(state)  # a row for each source, used twice at the next level
-    return state.withColumnRenamed("_prefix", "_below").drop("_acc", "_budget")
+    return state.withColumnRenamed("_prefix", "_below")
+
+
+def thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with ``_full`` (whole repeats), ``_below`` (documents whose place is below it are taken once more), and
+    ``_room`` and ``_last``: of the others those of at most _room words whose place is below _last.
+
+    ``slim`` has source, size and _place. The first threshold stays within the budget; where a large document stands at it,
+    the rest of the budget goes to smaller ones behind it, so the mix comes within half of such a document's size.
+    """
+    state = targets.withColumn("_full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    state = _boundary(slim, state.withColumn("_budget", F.col("target") - F.col("_full") * F.col("source_size")), nearest=False)
+    state = state.withColumn("_room", F.col("_budget") - F.col("_acc")).drop("_budget", "_acc")
+    own = state.select(F.col("source").alias("_s"), F.col("_below").alias("_b"), F.col("_room").alias("_r"))
+    behind = slim.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_place") >= F.col("_b")) & (F.col("size") <= F.col("_r")), "left_semi")
+    again = _boundary(behind, state.select("source", F.col("_room").alias("_budget")), nearest=True)
+    again = again.select(F.col("source").alias("_s"), F.col("_below").alias("_last"))
+    return checkpoint(state.join(again, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
 
 
 def _planned(docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -85,25 +99,26 @@ def _planned(docs: DataFrame, key: str, source: str, text: str) -> tuple[DataFra
 
 def _copies() -> Column:
     """How many copies of a document the mix holds."""
-    return F.col("_full") + (F.col("_place") < F.col("_below")).cast("long")
+    behind = (F.col("_place") >= F.col("_below")) & (F.col("_size") <= F.col("_room")) & (F.col("_place") < F.col("_last"))
+    return F.col("_full") + ((F.col("_place") < F.col("_below")) | behind).cast("long")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per document: key, size (words), source_size, target (of its source) and taken (words the mix takes).
 
     ``taken`` is size times the number of copies the mix holds, 0 to 3; a document without words takes 0. Null sources
-    are one source, an empty table gives no rows, and documents with equal keys are taken or left together. Texts of any
+    are one source, an empty table gives no rows, and documents with equal keys and sizes are taken or left together. Texts of any
     length are counted whole, one at a time. Other columns of docs are not read.
     """
     slim, limits = _planned(docs, key, source, text)
-    return slim.join(limits, F.col("source").eqNullSafe(F.col("_s"))).select(key, "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    return slim.join(limits, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_size", F.col("size")).select(key, "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each row as often as the mix holds it (0 to 3 times); the columns of docs."""
     _, limits = _planned(docs, key, source, text)
     shield = Shield(docs)
-    places = shield.df.withColumn("_place", place(shield(key))).join(limits, F.col(shield(source)).eqNullSafe(F.col("_s")))
+    places = shield.df.withColumns({"_place": place(shield(key)), "_size": n_words(shield(text))}).join(limits, F.col(shield(source)).eqNullSafe(F.col("_s")))
     return shield.restored(places.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), _copies().cast("int")))))
 
 
@@ -118,8 +133,14 @@ l AS (SELECT *, cap / w AS ratio, ((SELECT sum(source_size) FROM t)::DOUBLE
 s AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, level LIMIT 1) * w, cap)) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM s),
 p AS (SELECT source, place, sum(size) AS words FROM d GROUP BY source, place),
-c AS (SELECT source, place, words, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM p)
-SELECT d.doc_id, d.size, b.source_size, b.target,
-  (d.size * (b.whole + CASE WHEN 2 * c.upto - c.words <= 2 * (b.target - b.whole * b.source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.place = d.place
+c AS (SELECT source, place, words, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM p),
+e AS (SELECT *, target - whole * source_size AS budget FROM b),
+g AS (SELECT e.source, e.source_size, e.target, e.whole, min(CASE WHEN c.upto > e.budget THEN c.place END) AS below,
+  any_value(e.budget) - coalesce(max(CASE WHEN c.upto <= e.budget THEN c.upto END), 0) AS room
+  FROM e JOIN c ON c.source IS NOT DISTINCT FROM e.source GROUP BY e.source, e.source_size, e.target, e.whole),
+p2 AS (SELECT d.source, d.place, sum(d.size) AS words FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.place >= g.below AND d.size <= g.room GROUP BY d.source, d.place),
+c2 AS (SELECT source, place, words, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM p2)
+SELECT d.doc_id, d.size, g.source_size, g.target,
+  (d.size * (g.whole + CASE WHEN g.below IS NULL OR d.place < g.below OR (d.size <= g.room AND 2 * c2.upto - c2.words <= 2 * g.room) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c2 ON c2.source IS NOT DISTINCT FROM d.source AND c2.place = d.place
 """
