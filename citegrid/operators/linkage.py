@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import text as tx
+from citegrid.storage import checkpoint
 
 MATCH_SCORE = 0.9
 #: How many of a title's words, the rarest ones, lead to candidates.
@@ -27,29 +28,33 @@ def search(records: DataFrame, provider: DataFrame, k: int = 5, rare: int = RARE
     titles of frequent words; how many words are shared is then counted on the sets themselves.
     """
     k = min(max(k, 1), 20)
-    asked = records.select("entry_key", tx.tokens(F.col("title")).alias("tt")).filter(F.size("tt") > 0)
-    wanted = asked.select("tt").distinct().withColumn("rc", F.xxhash64("tt"))
+    # titles are taken apart once; what follows reads the words several times
+    asked = checkpoint(records.select("entry_key", tx.tokens(F.col("title")).alias("tt")).withColumn("rc", F.xxhash64("tt")))
+    held = checkpoint(provider.select("id", tx.tokens(F.col("title")).alias("pt")).withColumn("pc", F.xxhash64("pt")))
+    asked, held = asked.filter(F.size("tt") > 0), held.filter(F.size("pt") > 0)
+    wanted = asked.groupBy("rc").agg(F.first("tt").alias("tt"))
     first = Window.partitionBy("pc").orderBy("id")
-    known = provider.select("id", tx.tokens(F.col("title")).alias("pt")).filter(F.size("pt") > 0).withColumn("pc", F.xxhash64("pt"))
-    known = known.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k)
-    known = known.groupBy("pc").agg(F.first("pt").alias("pt"), F.array_sort(F.collect_list("id")).alias("ids"))
-    words = known.select("pc", F.explode("pt").alias("w"))
-    frequency = provider.select(F.explode(tx.tokens(F.col("title"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    ids = held.select("pc", "id").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).groupBy("pc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    known = held.groupBy("pc").agg(F.first("pt").alias("pt")).join(ids, "pc")
+    words = held.select("pc", F.explode("pt").alias("w")).distinct()
+    frequency = held.select(F.explode("pt").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("rc").orderBy("df", "w")
     needles = wanted.select("rc", F.explode("tt").alias("w")).join(frequency, "w").withColumn("_k", F.row_number().over(rarest)).filter(F.col("_k") <= rare).select("rc", "w")
     pairs = needles.join(words, "w").select("rc", "pc").distinct()
     shared = pairs.join(wanted, "rc").join(known, "pc").select("rc", F.size(F.array_intersect("tt", "pt")).cast("long").alias("shared"), F.explode("ids").alias("id"))
     best = Window.partitionBy("rc").orderBy(F.desc("shared"), "id")
     top = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return asked.select("entry_key", F.xxhash64("tt").alias("rc")).join(top, "rc").select("entry_key", "id", "shared", "rank")
+    return asked.select("entry_key", "rc").join(top, "rc").select("entry_key", "id", "shared", "rank")
 
 
 def scored(candidates: DataFrame, records: DataFrame, provider: DataFrame) -> DataFrame:
     """Candidates with their similarity (score, title_score, author_score, rounded; null if it can't be told)."""
-    r = records.select("entry_key", F.col("title").alias("_t"), F.col("author").alias("_a"))
-    p = provider.select("id", F.col("title").alias("_u"), F.col("author").alias("_b"))
-    s = tx.similarity(F.col("_t"), F.col("_a"), F.col("_u"), F.col("_b"))
-    return candidates.join(r, "entry_key").join(p, "id").withColumn("_s", s).select(*candidates.columns, F.col("_s.score").alias("score"), F.col("_s.title_score").alias("title_score"), F.col("_s.author_score").alias("author_score"))
+    parts = lambda df, key, p: df.select(key, *[c.alias(p + n) for n, c in (("t", tx.tokens(F.col("title"))), ("n", tx.author_surnames(F.col("author"))), ("a", tx.tokens(F.col("author"))))])
+    j = candidates.join(parts(records, "entry_key", "_r"), "entry_key").join(parts(provider, "id", "_p"), "id")
+    title, author = tx.token_dice(F.col("_rt"), F.col("_pt")), tx.author_dice(F.col("_rn"), F.col("_pn"), F.col("_ra"), F.col("_pa"))
+    known = F.col("_rt").isNotNull() & F.col("_ra").isNotNull() & F.col("_pt").isNotNull() & F.col("_pa").isNotNull()
+    j = j.withColumns({"_t": F.when(known, title), "_a": F.when(known, author)})
+    return j.select(*candidates.columns, tx.rounded(tx.combined(F.col("_t"), F.col("_a"))).alias("score"), tx.rounded(F.col("_t")).alias("title_score"), tx.rounded(F.col("_a")).alias("author_score"))
 
 
 def unique_adoptable(matches: DataFrame, min_score: float = MATCH_SCORE) -> DataFrame:
