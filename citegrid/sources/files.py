@@ -30,8 +30,8 @@ def scanned(spark: SparkSession, folder: str) -> DataFrame:
         return none
     e = bibtex.scan(spark, *filled)
     ordinary = F.col("error").isNull() & (F.col("kind") != "string") & ~F.col("kind").isin(*SYSTEM_TYPES)
-    g = e.groupBy(_plain(F.col("file")).alias("_f")).agg(F.count_if(ordinary).alias("entries"), F.min_by("error", "at").alias("error"))
-    return found.join(g, _plain(F.col("file")) == F.col("_f"), "left").select("file", "size", F.coalesce("entries", F.lit(0)).alias("entries"), "error")
+    g = e.groupBy(_plain(F.col("file")).alias("_f")).agg(F.count_if(ordinary).alias("entries"), F.min(F.when(F.col("error").isNotNull(), F.struct("at", "error"))).alias("_e"))
+    return found.join(g, _plain(F.col("file")) == F.col("_f"), "left").select("file", "size", F.coalesce("entries", F.lit(0)).alias("entries"), F.col("_e.error").alias("error"))
 
 
 def _plain(c):
