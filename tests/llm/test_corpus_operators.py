@@ -393,7 +393,7 @@ def test_salted_windows_stay_linked():
     rng = np.random.default_rng(5)
     key, side = rng.integers(0, 6, 400).astype(np.uint64) ** 3, rng.integers(0, 4, 400).astype(np.int16)
     tid = rng.integers(0, 50, 400)
-    row, new = substring.salted(key, side, tid, np.int64(77))
+    row, new = substring.salted(key, side, tid, 77)
     assert set(row.tolist()) == set(range(400))
     groups = {}
     for r, k in zip(row.tolist(), new.tolist()):
