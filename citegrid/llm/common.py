@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -14,34 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrid.storage import checkpoint, shared_dir  # noqa: F401, checkpoint is for the operators
+
 #: Java and Python pattern of one word: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Only a local master, which has no other machines, gets one made where neither is set; a cluster gets an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
-
-
 #: Paths of intermediate tables, by application; see discard_intermediates().
 _MADE: dict[str, list[str]] = {}
 
