@@ -12,6 +12,7 @@ from citegrid.plans.lifecycle import _H
 from citegrid.plans.views import BIBLIO, biblio, table
 from citegrid.sources import ledger as store
 from citegrid.sources import providers
+from citegrid.storage import checkpoint
 
 
 def evidence_chain(spark, sf_dir):
@@ -28,6 +29,7 @@ def evidence_chain(spark, sf_dir):
     c = c.withColumn("selection", evidence.selection_receipt(F.col("search.entry_key"), ids, F.upper(doi), F.lit(" me "), F.when(i == 5, "guess").otherwise("agent-review")))
     c = c.withColumn("resolution", evidence.resolution_receipt(F.lit("url-doi"), url, url, F.lit("doi"), other, F.lit("exact"), F.array(F.struct(F.lit("doi-in-url").alias("kind"), other.alias("value")))))
     c = c.withColumn("source", evidence.provider_receipt(F.lit("crossref"), doi, F.lit("u"), F.lit("application/json"), F.lit("{}"), kind, pj.adopted_fields(none, new), resolution=F.col("resolution.entry_key"), selection=F.col("selection.entry_key")))
+    c = checkpoint(c)  # receipts name each other, so their expressions nest
     node = lambda name, when, fields=None: c.filter(when).select(F.col(f"{name}.entry_key").alias("entry_key"), (F.col(f"{name}.fields") if fields is None else fields).alias("fields"))
     changed = lambda name, at, key, value: F.when(i == at, pj.overlay(F.col(f"{name}.fields"), F.create_map(F.lit(key), F.lit(value)))).otherwise(F.col(f"{name}.fields"))
     nodes = node("search", i != 4, changed("search", 8, "candidates", '[{"id":"10.1000/z"}]'))
