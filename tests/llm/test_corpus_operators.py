@@ -404,6 +404,15 @@ def test_salted_windows_stay_linked():
     assert max(map(len, groups.values())) < 60
 
 
+def test_first_and_last_places_cover_all():
+    rng = np.random.default_rng(6)
+    m = substring.MIN_SHINGLES
+    key, at = rng.integers(0, 3, 500), np.sort(rng.choice(2000, 500, replace=False))
+    kept = substring.first_and_last(key, at)
+    cover = lambda rows: {(k, q) for k, p in zip(key[rows].tolist(), at[rows].tolist()) for q in range(p, p + m)}
+    assert cover(kept) == cover(np.arange(500)) and len(kept) <= 2 * 3 * (2000 // m + 1) < 500
+
+
 def test_unsure_places():
     rng = np.random.default_rng(4)
     m, h = substring.MIN_SHINGLES, substring.HASHES
