@@ -95,6 +95,15 @@ def n_words(c: Column | str) -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
+#: DuckDB: a row whose ``crc_table`` is the table of CRC-32.
+CRC_TABLE_SQL = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_table)"
+
+
+def crc32_sql(numbers: str) -> str:
+    """DuckDB expression: the CRC-32 of a list of bytes, where the row's ``crc_table`` is at hand."""
+    return f"xor(list_reduce(list_prepend(4294967295, {numbers}), lambda c, b: xor(c // 256, crc_table[1 + xor(c % 256, b)])), 4294967295)"
+
+
 _POWER, _ODD = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
 #: Bytes that are hashed at once. Workers live on from stage to stage, and what they have once touched they keep.
 HASH_BYTES = 500_000

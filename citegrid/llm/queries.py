@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash, substring, training_order
+from citegrid.llm import chat, decontam, html, langid, mixing, quality, runs, sharding, simhash, substring, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,13 @@ def op10_repeated_passages(spark, sf_dir):
     return substring.op10(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return runs.op13(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op5_training_order, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op5_training_order, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": quality.ORACLE, "op7_source_mix": mixing.ORACLE}
+    return {"op1_line_frequency": quality.ORACLE, "op7_source_mix": mixing.ORACLE, "op13_periodic_runs": runs.ORACLE}
