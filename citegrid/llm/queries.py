@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import chat, decontam, html, langid, mixing, quality, runs, sharding, simhash, spelling, substring, training_order
+from citegrid.llm import chat, decontam, fingerprints, html, langid, mixing, quality, runs, sharding, simhash, spelling, substring, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,17 @@ def op11_spelling_variants(spark, sf_dir):
     return spelling.op11(_table(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark, sf_dir):
+    return fingerprints.op12(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return runs.op13(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op5_training_order, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages, op11_spelling_variants, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_html_main_text, op3_hilbert_shards, op4_chat_windows, op5_training_order, op6_language_id, op7_source_mix, op8_simhash_components, op9_benchmark_leaks, op10_repeated_passages, op11_spelling_variants, op12_document_fingerprints, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": quality.ORACLE, "op7_source_mix": mixing.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op13_periodic_runs": runs.ORACLE}
+    return {"op1_line_frequency": quality.ORACLE, "op7_source_mix": mixing.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_document_fingerprints": fingerprints.ORACLE, "op13_periodic_runs": runs.ORACLE}
