@@ -52,41 +52,43 @@ def level_of(n: Column) -> Column:
     return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.greatest(n, F.lit(1)) / 2.0))).cast("int")
 
 
-def check_value(key: Column) -> Column:
-    return key % PRIMES[0] + key % PRIMES[1] * (1 << 30)
+#: SQL: the check value of a digest.
+CHECK = f"key % {PRIMES[0]} + key % {PRIMES[1]} * {1 << 30}L"
 
 
-def _place(key: Column, table: int, level: Column) -> Column:
-    """The cell of a digest in a table: some of the digest's own bits; beyond 2**20 cells bits of the others join in."""
-    own = F.shiftright(key, PLACE_BITS * table).bitwiseAND((1 << PLACE_BITS) - 1)
-    more = (key % (PRIMES[0] - 2 * (table + 1))).bitwiseXOR(F.shiftright(key, 7 * table)) * (1 << PLACE_BITS)
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
-    return own.bitwiseOR(F.when(level > PLACE_BITS, more).otherwise(F.lit(0).cast("long"))).bitwiseAND(size - 1)
+def place(table: int) -> str:
+    """SQL: the cell of a digest in a table: bits of its own; beyond 2**20 cells others join in."""
+    bits = f"shiftright(key, {PLACE_BITS * table}) & {(1 << PLACE_BITS) - 1}L"
+    more = f"((key % {PRIMES[0] - 2 * (table + 1)}) ^ shiftright(key, {7 * table})) * {1 << PLACE_BITS}L"
+    return f"(CASE WHEN level > {PLACE_BITS} THEN {bits} | {more} ELSE {bits} END) & (shiftleft(1L, level) - 1)"
 
 
-def _cells(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cells summed up: counts added, digests and check values by exclusive or; empty ones go."""
-    out = rows.groupBy(*by, "level", "table", "place").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("check").alias("check"))
-    return out.filter("n <> 0 OR key <> 0 OR check <> 0")
+def cell(tab: object, at: str, n: str, key: str, chk: str) -> str:
+    return f"named_struct('tab', {tab}, 'place', {at}, 'n', {n}, 'key', {key}, 'chk', {chk})"
+
+
+def summed(rows: str, by: list[str]) -> str:
+    """SQL: cells summed up: counts added, digests and check values by exclusive or; empty ones go."""
+    keys = ", ".join([*by, "level", "tab", "place"])
+    return f"SELECT {keys}, sum(n) AS n, bit_xor(key) AS key, bit_xor(chk) AS chk FROM ({rows}) GROUP BY {keys} HAVING sum(n) <> 0 OR bit_xor(key) <> 0 OR bit_xor(chk) <> 0"
 
 
 def sketches(sets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, level, keys array of digests) -> cells (by, level, table, place, n, key, check), empty ones left out."""
-    each = sets.select(*by, "level", F.explode("keys").alias("key"))
-    spread = each.select(*by, "level", F.posexplode(F.array(*[_place(F.col("key"), t, F.col("level")) for t in range(TABLES)])).alias("table", "place"), F.lit(1).cast("long").alias("n"), "key", check_value(F.col("key")).alias("check"))
-    return _cells(spread, by)
+    """Rows (by, level, keys array of digests) -> cells (by, level, tab, place, n, key, chk), empty ones left out."""
+    names = ", ".join([*by, "level"])
+    cells = ", ".join(cell(t, place(t), "1L", "key", CHECK) for t in range(TABLES))
+    return sets.sparkSession.sql(summed(f"SELECT {names}, inline(array({cells})) AS (tab, place, n, key, chk) FROM (SELECT {names}, explode(keys) AS key FROM {{sets}})", by), sets=sets)
 
 
-def _peeled(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Cells of differences, peeled in STEPS steps; a recovered digest is a row of the table TABLES, its n the side."""
+def peeled(cells: str, by: list[str]) -> str:
+    """SQL: cells of differences, peeled in STEPS steps; a recovered digest is a row of the table TABLES, its n the side."""
+    names = ", ".join([*by, "level"])
     for step in range(STEPS):
         at = step % TABLES
-        pure = (F.col("table") == at) & (F.abs("n") == 1) & (F.col("check") == check_value(F.col("key"))) & (F.col("place") == _place(F.col("key"), at, F.col("level")))
-        one = lambda table, place, n, check: F.struct(F.lit(table).alias("table"), place.alias("place"), n.alias("n"), F.col("key").alias("key"), check.alias("check"))
-        others = [one(t, _place(F.col("key"), t, F.col("level")), -F.col("n"), F.col("check")) for t in range(TABLES) if t != at]
-        found = one(TABLES, F.col("key"), F.col("n"), F.lit(0).cast("long"))
-        same = F.struct("table", "place", "n", "key", "check")
-        cells = _cells(cells.select(*by, "level", F.explode(F.when(pure, F.array(found, *others)).otherwise(F.array(same))).alias("c")).select(*by, "level", "c.*"), by)
+        pure = f"tab = {at} AND abs(n) = 1 AND chk = {CHECK} AND place = {place(at)}"
+        others = ", ".join(cell(t, place(t), "-n", "key", "chk") for t in range(TABLES) if t != at)
+        now = f"CASE WHEN {pure} THEN array({cell(TABLES, 'key', 'n', 'key', '0L')}, {others}) ELSE array({cell('tab', 'place', 'n', 'key', 'chk')}) END"
+        cells = summed(f"SELECT {names}, inline({now}) AS (tab, place, n, key, chk) FROM ({cells})", by)
     return cells
 
 
@@ -94,13 +96,13 @@ def _compared(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, level, a, b) -> (by, only_a, only_b, left): the digests recovered on each side and the cells left over."""
     one = lambda sign, keys: F.struct(F.lit(sign).cast("long").alias("sign"), F.col(keys).alias("keys"))
     sides = pairs.select(*by, "level", F.explode(F.array(one(1, "a"), one(-1, "b"))).alias("s")).select(*by, "level", "s.*")
-    both = sketches(sides, [*by, "sign"])
-    cells = _peeled(_cells(both.withColumn("n", F.col("n") * F.col("sign")).drop("sign"), by), by)
-    found = F.col("table") == TABLES
-    return cells.groupBy(*by).agg(
-        F.collect_list(F.when(found & (F.col("n") == 1), F.col("key"))).alias("only_a"),
-        F.collect_list(F.when(found & (F.col("n") == -1), F.col("key"))).alias("only_b"),
-        F.count_if(~found | (F.abs("n") != 1)).alias("left"),
+    less = f"SELECT {', '.join(by)}, level, tab, place, n * sign AS n, key, chk FROM {{both}}"
+    sql = peeled(summed(less, by), by)
+    found = f"tab = {TABLES}"
+    return pairs.sparkSession.sql(
+        f"SELECT {', '.join(by)}, collect_list(CASE WHEN {found} AND n = 1 THEN key END) AS only_a, collect_list(CASE WHEN {found} AND n = -1 THEN key END) AS only_b, "
+        f"count_if(NOT ({found} AND abs(n) = 1)) AS left FROM ({sql}) GROUP BY {', '.join(by)}",
+        both=sketches(sides, [*by, "sign"]),
     )
 
 
@@ -131,13 +133,13 @@ def likeness(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column
 
 
 def fingerprint(cells: Column, seal: Column, n: Column) -> Column:
-    """Sorted cells (structs of table, place, n, key, check), the text's seal and its number of digests as one string.
+    """Sorted cells (structs of tab, place, n, key, chk), the text's seal and its number of digests as one string.
 
     It is "<seal>:<level>" and for each cell that is not empty ":<table>.<place>.<count>.<digests>.<checks>", hexadecimal.
     The seal, a hash of the whole text, tells apart texts of the same paragraphs.
     """
     hexed = lambda c: F.lower(F.hex(c))
-    listed = F.transform(cells, lambda c: F.concat(F.lit(":"), c["table"].cast("string"), *[x for f in ("place", "n", "key", "check") for x in (F.lit("."), hexed(c[f]))]))
+    listed = F.transform(cells, lambda c: F.concat(F.lit(":"), c["tab"].cast("string"), *[x for f in ("place", "n", "key", "chk") for x in (F.lit("."), hexed(c[f]))]))
     return F.concat(seal, F.lit(":"), level_of(n).cast("string"), F.coalesce(F.array_join(listed, ""), F.lit("")))
 
 
@@ -162,7 +164,7 @@ def compare_texts(rows: DataFrame, key: str, texts: list[str]) -> DataFrame:
     found = differences(pairs, [id_, "other"]).groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("other", F.struct("only_a", "only_b")))).alias("_found"))
 
     each = sets.select(id_, F.posexplode("_keys").alias("version", "keys")).withColumn("level", level_of(F.size("keys"))).repartition(id_)
-    cell = F.struct("version", "table", "place", "n", "key", "check")
+    cell = F.struct("version", "tab", "place", "n", "key", "chk")
     cells = sketches(each, [id_, "version"]).groupBy(id_).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
 
     out = sets.join(found.withColumnRenamed(id_, "_f"), F.col(id_) == F.col("_f"), "left").join(cells.withColumnRenamed(id_, "_c"), F.col(id_) == F.col("_c"), "left")
