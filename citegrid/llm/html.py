@@ -3,17 +3,16 @@
 The standard library's streaming parser turns a page into lines, one for each block of text between block-level tags.
 A line's ratio is its text outside links over its tags (at least one). The ratios are smoothed with a Gaussian, and the
 logarithms of the smoothed ratios split into two clusters; lines of the high cluster are seeds. Seeds select regions: in
-an article (or main) element the lines from its first to its last seed, without one those in the lowest container of all
-seeds; and a region grows over neighbouring lines that are text rather than links.
+an article (or main) element the lines from its first heading or seed to its last seed, without one those in the lowest
+container of all seeds; and a region grows over neighbouring lines that are text rather than links.
 
-Elements that can be no content (menus, asides, scripts, ...) have the ratio 0. Names of classes, and forms, are hints
+Elements that can be no content (menus, asides, scripts, ...) have the ratio 0. Names of classes of boxes, and forms, are hints
 only: what they mark has the ratio 0 too, unless it holds most of the text of all seeds, when the hint is misleading.
 """
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.functions.markup import Markup
 from citegrid.llm.common import Shield
 
 #: HTML element names by their role.
@@ -32,6 +32,7 @@ CONTAINERS = frozenset("article main".split())
 SECTIONS = frozenset("section div td body table".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
+HINTED = frozenset("div section aside ul ol dl table form fieldset legend figure header footer nav details article".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar status".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id values that hint at what is not the article; readers' comments apart.
@@ -42,6 +43,8 @@ _MARKS = re.compile(
     re.I,
 )
 _TALK = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|comment-\w+|replies|reply|respond|disqus|discussion)(?=$|[\s_-])", re.I)
+_TALK_HEADING = re.compile(r"(?:\d+\s+)?(?:readers?'?\s+)?(?:comments?|replies|responses)(?:\s*\(\d+\))?\s*:?|leave a (?:reply|comment)\.?", re.I)
+_BARS = re.compile(r"[|·•»›/]")
 _HEADER = re.compile(r"(?:^|\s)(?:header|top)(?=$|\s)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
@@ -71,14 +74,12 @@ class Open(NamedTuple):
     mark: int
 
 
-class _Lines(HTMLParser):
+class _Lines(Markup):
     """Collects lines. Every tag costs constant time, however many elements are open: of each name, and of the elements
     that are no inline ones, the places in the stack are at hand."""
 
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.open: list[Open] = []
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # of elements that are not inline
@@ -142,6 +143,8 @@ class _Lines(HTMLParser):
     def hint(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool | None:
         """None, or whether the element's hint is one of readers' comments."""
         found = False if tag in ("form", "fieldset", "legend") else None
+        if tag not in HINTED:  # a name never takes out a paragraph or a heading, only boxes around them
+            return None
         if tag in ("body", "html", "main") or (tag == "article" and not self.in_article):
             return found
         for name, value in attrs:
@@ -188,8 +191,8 @@ class _Lines(HTMLParser):
         if self.links:
             self.linked += len(data)
 
-    def finish(self) -> None:
-        self.close()
+    def finish(self, html: str | None) -> None:
+        self.read(html)
         self.end_line()
         self.pop_to(0)
 
@@ -254,11 +257,27 @@ def _grown(lines: list[Line], group: np.ndarray, seeds: np.ndarray, joins) -> li
     return [int(i) for i in group[low : high + 1]]
 
 
+def _article(lines: list[Line], group: np.ndarray, seeds: np.ndarray) -> list[int]:
+    """The lines of an article: from its first heading, if that comes before the seeds, to its last text, lists of links
+    under a heading included, but not what stands behind a heading of readers' comments."""
+    talk = next((k for k, i in enumerate(group) if lines[i].heading and _TALK_HEADING.fullmatch(lines[i].text)), len(group))
+    if seeds[group[:talk]].any():
+        group = group[:talk]
+    kept = _grown(lines, group, seeds, lambda x: x.is_text or (x.own >= 4 and not _BARS.search(x.text)))
+    first = next((k for k, i in enumerate(group) if lines[i].heading), len(group))
+    low, high = min(first, int(np.searchsorted(group, kept[0]))), int(np.searchsorted(group, kept[-1]))
+    while high + 1 < len(group) and lines[group[high]].heading:  # a list of links under the last heading, and what follows
+        while high + 1 < len(group) and not lines[group[high + 1]].is_text:
+            high += 1
+        while high + 1 < len(group) and lines[group[high + 1]].is_text:
+            high += 1
+    return [int(i) for i in group[low : high + 1]]
+
+
 def main_blocks(html: str | None) -> list[str]:
     """The blocks of the page's main text, in page order."""
     parser = _Lines()
-    parser.feed(html or "")
-    parser.finish()
+    parser.finish(html)
     lines = parser.lines
     if not lines:
         return []
@@ -273,7 +292,7 @@ def main_blocks(html: str | None) -> list[str]:
     kept: list[int] = []
     if articles := of_seeds & parser.articles:  # seeds in an article outweigh text that stands around it
         for b in sorted(articles):
-            kept += _grown(lines, np.flatnonzero(~out & (box == b)), seeds, lambda x: x.is_text)
+            kept += _article(lines, np.flatnonzero(~out & (box == b)), seeds)
         kept += [i for i, x in enumerate(lines) if not out[i] and x.box not in of_seeds and x.box in parser.articles and x.is_text and parser.boxes[x.box] in like]
     else:
         top, last = min(of_seeds), max(of_seeds)  # boxes are numbered as they open, so this is the lowest one around all seeds

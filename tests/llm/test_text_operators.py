@@ -1,7 +1,9 @@
 """Quality rules, HTML extraction, chat windows, language ID."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -295,3 +297,49 @@ def test_hash_words(monkeypatch):
             assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
     assert [len(g) for g in common.hash_words(texts, ",-")] == [0, 0, 3, 120, 1, 4]
+
+
+# --- pages that are broken, and articles with links
+
+
+def article(*blocks):
+    return "<html><body><nav><a href=x>Home</a></nav><article>" + "".join(blocks) + "</article><footer>c</footer></body></html>"
+
+
+BLOCK = "<p>" + "A paragraph of the article, which says something and goes on for a while. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "blocks,expected",
+    [
+        ((BLOCK, BLOCK, "<h2>Sources</h2><ul><li><a href=a>Report one</a></li><li><a href=b>Report two</a></li></ul>"), ["Sources", "Report one", "Report two"]),
+        (("<h1>Title</h1><p><a href=x>A linked first paragraph</a></p>", BLOCK, "<p><a href=y>Mostly a link at the</a> end</p>"), ["Title", "A linked first paragraph", "Mostly a link at the end"]),
+        ((BLOCK, "<p class='legal note'>The court ruled so.</p><p class=popular>It was.</p>", BLOCK), ["The court ruled so.", "It was."]),
+        ((BLOCK, BLOCK, "<h3>3 comments</h3><p>Bob: " + "nice " * 50 + "</p>"), []),
+        ((BLOCK * 4, "<div class='newsletter'><p>Subscribe now</p></div>", BLOCK * 4), []),
+    ],
+)
+def test_blocks_of_an_article(blocks, expected):
+    text = " ".join(html.main_blocks(article(BLOCK))[0].split())
+    assert [b for b in html.main_blocks(article(*blocks)) if b != text] == expected
+
+
+def test_no_page_fails_the_job(spark):
+    rnd = random.Random(9)
+    pages = [article(BLOCK * 3, f"<p>Page {i}.</p>") for i in range(40)]
+    odd = ["<![ ", "<![1]>", "<![%x", "<p>a<![ temp [x]]>", "<!--", "-->", "<", ">", '"', "<a href='", "</", "<script>", "<![CDATA[", "]]>", "<?", "&#x110000;", "&#xD800;", "\0", "<!DOCTYPE", "<textarea>", "<title>", "<plaintext>", "<svg"]
+    rows = [(k, o) for k, o in enumerate(odd)]
+    for k in range(600):
+        page = list(rnd.choice(pages))
+        for _ in range(rnd.randint(1, 25)):
+            page.insert(rnd.randint(0, len(page)), rnd.choice(odd))
+        rows.append((100 + k, "".join(page)))
+    out = html.extract(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert len(out) == len(rows) and all(r.text is not None for r in out)
+
+
+@pytest.mark.parametrize("piece,n", [("<a ", 300_000), ('<x y="', 200_000), ("a<", 300_000), ("<!--", 200_000), ("<![ x", 200_000), ("<script>", 100_000)])
+def test_unclosed_markup_takes_linear_time(piece, n):
+    begin = time.perf_counter()
+    html.main_blocks(article(BLOCK) + piece * n)
+    assert time.perf_counter() - begin < 5
