@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.functions import text as tx
 from citegrid.functions.vocab import SYSTEM_TYPES
+from citegrid.operators import setjoin
 
 MIN_SCORE = 0.75
 _EPS = 1e-9
@@ -39,24 +40,24 @@ def _scored(pairs: DataFrame, min_score: float) -> DataFrame:
 
 
 def class_pairs(found: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """All pairs of different classes whose unrounded score is at least min_score.
+    """All pairs of different classes whose unrounded score is at least min_score, which is above 0.
 
-    A score of m needs a title similarity of (m - 0.3) / 0.7. Two token sets that similar share one of their rarest
-    tokens, so classes meet on those tokens only; lengths prune further; then the exact score decides. Below a score of
-    0.3 titles need not share anything, and no such join is exact: there min_score is refused.
+    A score of m is 0.7 of the titles' similarity and 0.3 of the authors'. Above 0.3 titles must be (m - 0.3) / 0.7 alike,
+    and classes meet on title words only. Below, one of both sides must have its share of the score: titles m / 1.4, or
+    authors m / 0.6, which is a mean of their surnames' and their words' similarity, so one of these is as high. The union
+    of the three joins holds every pair; then the exact score decides. (At 0 every pair of records is a result.)
     """
-    least = (min_score - 0.3) / 0.7 - _EPS
-    if least <= 0:
-        raise ValueError("min_score must be above 0.3; lower scores admit records that share no title word")
-    found = found.filter(F.size("tt") > 0)
-    share = least / (2 - least)
-    tokens = found.select("cls", F.size("tt").alias("n"), F.explode("tt").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = Window.partitionBy("cls").orderBy("df", "token")
-    prefix = tokens.join(frequency, "token").withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= F.col("n") - F.ceil(share * F.col("n")) + 1).select("cls", "n", "token")
-    l, r = prefix.alias("l"), prefix.alias("r")
-    meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("r.n") >= share * F.col("l.n")) & (F.col("l.n") >= share * F.col("r.n"))
-    pairs = l.join(r, meet).select(F.col("l.cls").alias("x"), F.col("r.cls").alias("y")).distinct()
+    side = lambda tokens: found.filter(F.size(tokens) > 0).select(F.col("cls").alias("id"), F.col(tokens).alias("tokens"))
+    if min_score > 0.3 + _EPS:
+        pairs = setjoin.candidates(side("tt"), None, (min_score - 0.3) / 0.7 - _EPS)
+    elif min_score > 0:
+        title, author = min_score / 1.4 - _EPS, min_score / 0.6 - _EPS
+        pairs = setjoin.candidates(side("tt"), None, title)
+        for tokens in ("an", "at"):
+            pairs = pairs.unionByName(setjoin.candidates(side(tokens), None, author))
+        pairs = pairs.distinct()
+    else:
+        raise ValueError("min_score must be above 0; at 0 the result is every pair of records")
     pairs = pairs.join(found.alias("l"), F.col("x") == F.col("l.cls")).join(found.alias("r"), F.col("y") == F.col("r.cls"))
     return _scored(pairs, min_score)
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import text as tx
+from citegrid.operators import setjoin
 from citegrid.storage import checkpoint
 
 MATCH_SCORE = 0.9
-#: How many of a title's words, the rarest ones, lead to candidates.
-RARE_WORDS = 4
+#: The title similarity that makes a candidate: low enough for every score that adoption asks for.
+LEAST_TITLE = 0.5
 #: Why an agent may not adopt a proposal. These sentences are what callers are shown.
 NO_PROVIDER = "no provider support; human approval required"
 RECORD_BELOW = "exact provider record is below the title/author threshold or cannot be scored"
@@ -19,29 +20,27 @@ SEVERAL = "multiple title-search candidates meet the threshold; human review req
 STALE = "proposal baseline is stale"
 
 
-def search(records: DataFrame, provider: DataFrame, k: int = 5, rare: int = RARE_WORDS) -> DataFrame:
+def search(records: DataFrame, provider: DataFrame, k: int = 5, least: float = LEAST_TITLE) -> DataFrame:
     """(entry_key, title, author) x provider (id, title, author) -> the k candidates of each record that share most title
-    words with it (ties by ID), of those that hold one of its ``rare`` rarest words (by provider titles, then by spelling).
+    words with it (ties by ID), of those whose titles have a similarity of at least ``least``.
 
-    Titles of equal word sets are searched once, and of equal provider titles the k smallest IDs can be candidates only;
-    so copies, however many, cost neither pairs nor long groups. A word that all titles have is a rare word of none but
-    titles of frequent words; how many words are shared is then counted on the sets themselves.
+    Exact: every title that similar is looked at, so all candidates are there that a score above 0.3 + 0.7 * least needs.
+    (Titles below it have mostly words in common that all titles have.) Titles of equal word sets are searched once, and
+    of equal provider titles the k smallest IDs can be candidates only; so copies, however many, cost neither pairs nor
+    long groups.
     """
     k = min(max(k, 1), 20)
     # titles are taken apart once; what follows reads the words several times
     asked = checkpoint(records.select("entry_key", tx.tokens(F.col("title")).alias("tt")).withColumn("rc", F.xxhash64("tt")))
     held = checkpoint(provider.select("id", tx.tokens(F.col("title")).alias("pt")).withColumn("pc", F.xxhash64("pt")))
-    asked, held = asked.filter(F.size("tt") > 0), held.filter(F.size("pt") > 0)
-    wanted = asked.groupBy("rc").agg(F.first("tt").alias("tt"))
+    wanted = asked.filter(F.size("tt") > 0).groupBy("rc").agg(F.first("tt").alias("tt"))
+    held = held.filter(F.size("pt") > 0)
     first = Window.partitionBy("pc").orderBy("id")
     ids = held.select("pc", "id").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).groupBy("pc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    known = held.groupBy("pc").agg(F.first("pt").alias("pt")).join(ids, "pc")
-    words = held.select("pc", F.explode("pt").alias("w")).distinct()
-    frequency = held.select(F.explode("pt").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("rc").orderBy("df", "w")
-    needles = wanted.select("rc", F.explode("tt").alias("w")).join(frequency, "w").withColumn("_k", F.row_number().over(rarest)).filter(F.col("_k") <= rare).select("rc", "w")
-    pairs = needles.join(words, "w").select("rc", "pc").distinct()
-    shared = pairs.join(wanted, "rc").join(known, "pc").select("rc", F.size(F.array_intersect("tt", "pt")).cast("long").alias("shared"), F.explode("ids").alias("id"))
+    known = held.groupBy("pc").agg(F.first("pt").alias("pt"))
+    pairs = setjoin.candidates(wanted.select(F.col("rc").alias("id"), F.col("tt").alias("tokens")), known.select(F.col("pc").alias("id"), F.col("pt").alias("tokens")), least)
+    both = pairs.join(wanted, F.col("x") == F.col("rc")).join(known, F.col("y") == F.col("pc")).filter(tx.token_dice(F.col("tt"), F.col("pt")) >= least - setjoin.EPS)
+    shared = both.select("rc", "pc", F.size(F.array_intersect("tt", "pt")).cast("long").alias("shared")).join(ids, "pc").select("rc", "shared", F.explode("ids").alias("id"))
     best = Window.partitionBy("rc").orderBy(F.desc("shared"), "id")
     top = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return asked.select("entry_key", "rc").join(top, "rc").select("entry_key", "id", "shared", "rank")

@@ -247,10 +247,7 @@ _DICE = "CASE WHEN len(a.{0}) = 0 OR len(b.{0}) = 0 THEN 0.0::DOUBLE ELSE 2.0::D
 _MATCH = f"""{BIBLIO}, q0 AS (SELECT item_id AS id, text FROM benchmark UNION ALL SELECT doc_id + 100000000000, text FROM documents),
 p0 AS (SELECT id, split_part(text, chr(10), 1) AS title, 'src' || (id % 20) || ', en' AS author FROM q0),
 a AS (SELECT entry_key, seq, {_T} AS tt, {_SUR} AS an, {TOKENS.format('author')} AS aw FROM biblio), b AS (SELECT id, {_PT} AS tt, {_SUR} AS an, {TOKENS.format('author')} AS aw FROM p0),
-y AS (SELECT id, unnest(tt) AS w FROM b), f AS (SELECT w, count(*) AS df FROM y GROUP BY w),
-x AS (SELECT entry_key, w FROM (SELECT entry_key, w, row_number() OVER (PARTITION BY entry_key ORDER BY df, w) AS k FROM (SELECT entry_key, unnest(tt) AS w FROM a) JOIN f USING (w)) WHERE k <= 4),
-c AS (SELECT DISTINCT entry_key, id FROM x JOIN y USING (w)),
-s AS (SELECT c.entry_key, c.id, len(list_intersect(a.tt, b.tt)) AS n FROM c JOIN a ON a.entry_key = c.entry_key JOIN b ON b.id = c.id),
+s AS (SELECT entry_key, id, len(list_intersect(a.tt, b.tt)) AS n FROM a JOIN b ON len(a.tt) > 0 AND len(b.tt) > 0 WHERE 4 * len(list_intersect(a.tt, b.tt)) >= len(a.tt) + len(b.tt)),
 k AS (SELECT *, row_number() OVER (PARTITION BY entry_key ORDER BY n DESC, id) AS rank FROM s),
 d AS (SELECT k.entry_key, k.id, rank, a.seq, {_DICE.format('tt')} AS t, 0.75::DOUBLE * {_DICE.format('an')} + 0.25::DOUBLE * {_DICE.format('aw')} AS u FROM k JOIN a ON a.entry_key = k.entry_key JOIN b ON b.id = k.id WHERE rank <= 3),
 m AS (SELECT entry_key, seq, id, rank, round((0.7::DOUBLE * t + 0.3::DOUBLE * u) * 10000) / 10000 AS score, round(t * 10000) / 10000 AS title_score, round(u * 10000) / 10000 AS author_score FROM d)"""

@@ -110,7 +110,7 @@ def test_append_evidence(spark):
 def test_dedupe_is_exact(spark):
     rows = [(i, f"{t} study of {w}", a) for i, (t, w, a) in enumerate((t, w, a) for t in ("deep", "deep neural", "shallow") for w in ("cats", "cats and dogs", "dogs") for a in ("Doe, J", "J Doe", "Smith, A"))]
     df = spark.createDataFrame(rows + [(99, None, "x"), (98, "", "x")], "seq long, title string, author string")
-    for m in (0.5, 0.75, 0.9):
+    for m in (0.02, 0.15, 0.3, 0.31, 0.5, 0.75, 0.9):
         got = {(r.left_seq, r.right_seq): r.score for r in dedupe.dedupe(df, m).collect()}
         import re
 
@@ -126,7 +126,7 @@ def test_dedupe_is_exact(spark):
                         exp[i, j] = int(s * 10000 + 0.5) / 10000
         assert got == exp
     with pytest.raises(ValueError):
-        dedupe.dedupe(df, 0.2)
+        dedupe.dedupe(df, 0)
 
 
 def test_chain_errors(spark):
