@@ -29,6 +29,8 @@ DIGITS, PLACE_BITS = 15, 20
 PRIMES = (1073741789, 1073741783)
 #: Steps of peeling before a sketch counts as too small; how many bits a retry adds to the level.
 STEPS, GROWTH = 12, 2
+#: Pairs, or texts, that one task sketches on average.
+TASK_ROWS = 4096
 TABLES, LEAST_LEVEL = 3, 2
 #: Bytes and rows of documents that make one range of the order, on average; ranges at most.
 RANGE_BYTES, RANGE_ROWS, RANGES = 1 << 24, 1 << 10, 1 << 16
@@ -38,7 +40,7 @@ def paragraphs(text: Column) -> Column:
     """The distinct paragraphs of a text that hold more than white space, each trimmed of it."""
     sentences = lambda line: F.regexp_extract_all(line, F.lit(r"[^.!?]*[.!?]+|[^.!?]+"), F.lit(0))
     cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.when(F.length(line) > LONG_LINE, sentences(line)).otherwise(F.array(line))))
-    trimmed = F.transform(cut, lambda p: F.regexp_replace(p, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    trimmed = F.transform(cut, lambda p: F.btrim(p, F.lit(" \t\n\v\f\r")))
     return F.array_distinct(F.filter(trimmed, lambda p: p != ""))
 
 
@@ -73,11 +75,16 @@ def summed(rows: str, by: list[str]) -> str:
     return f"SELECT {keys}, sum(n) AS n, bit_xor(key) AS key, bit_xor(chk) AS chk FROM ({rows}) GROUP BY {keys} HAVING sum(n) <> 0 OR bit_xor(key) <> 0 OR bit_xor(chk) <> 0"
 
 
-def sketches(sets: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (by, level, keys array of digests) -> cells (by, level, tab, place, n, key, chk), empty ones left out."""
+def sketches(sets: DataFrame, by: list[str], sign: str = "1L") -> DataFrame:
+    """Rows (by, level, keys array of digests) -> cells (by, level, tab, place, n, key, chk), empty ones left out.
+
+    Rows of equal ``by`` are one sketch; ``sign`` is an SQL expression, by which rows are put in (1) or taken out (-1): sketches
+    are sums, so taking a set out of the sketch of another is subtracting its sketch.
+    """
     names = ", ".join([*by, "level"])
-    cells = ", ".join(cell(t, place(t), "1L", "key", CHECK) for t in range(TABLES))
-    return sets.sparkSession.sql(summed(f"SELECT {names}, inline(array({cells})) AS (tab, place, n, key, chk) FROM (SELECT {names}, explode(keys) AS key FROM {{sets}})", by), sets=sets)
+    cells = ", ".join(cell(t, place(t), "_sign", "key", CHECK) for t in range(TABLES))
+    each = f"SELECT {names}, {sign} AS _sign, explode(keys) AS key FROM {{sets}}"
+    return sets.sparkSession.sql(summed(f"SELECT {names}, inline(array({cells})) AS (tab, place, n, key, chk) FROM ({each})", by), sets=sets)
 
 
 def peeled(cells: str, by: list[str]) -> str:
@@ -96,29 +103,33 @@ def _compared(pairs: DataFrame, by: list[str]) -> DataFrame:
     """(by, level, a, b) -> (by, only_a, only_b, left): the digests recovered on each side and the cells left over."""
     one = lambda sign, keys: F.struct(F.lit(sign).cast("long").alias("sign"), F.col(keys).alias("keys"))
     sides = pairs.select(*by, "level", F.explode(F.array(one(1, "a"), one(-1, "b"))).alias("s")).select(*by, "level", "s.*")
-    less = f"SELECT {', '.join(by)}, level, tab, place, n * sign AS n, key, chk FROM {{both}}"
-    sql = peeled(summed(less, by), by)
+    sql = peeled("SELECT * FROM {both}", by)
     found = f"tab = {TABLES}"
     return pairs.sparkSession.sql(
         f"SELECT {', '.join(by)}, collect_list(CASE WHEN {found} AND n = 1 THEN key END) AS only_a, collect_list(CASE WHEN {found} AND n = -1 THEN key END) AS only_b, "
         f"count_if(NOT ({found} AND abs(n) = 1)) AS left FROM ({sql}) GROUP BY {', '.join(by)}",
-        both=sketches(sides, [*by, "sign"]),
+        both=sketches(sides, by, "sign"),
     )
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key, in partitions whose cells fit in memory; what follows groups by this key and more, without a shuffle."""
+    return rows.repartition(1 + rows.count() // TASK_ROWS, key)
+
+
 def differences(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Pairs (by: columns that tell pairs apart, a, b: arrays of distinct digests) -> (by, only_a, only_b), the digests of
     one side only, for the pairs that differ.
 
-    The first sketches have the level of the larger side; pairs whose peeling does not end are compared again with larger
-    ones, until none is left. Null arrays are empty. ``pairs`` is read again in each round, so give it as a table.
+    The first sketches have three to six cells for each digest of the larger side, room for sides that share nothing; pairs
+    whose peeling does not end are compared again with larger ones, until none is left. Null arrays are empty. ``pairs`` is read again in each round, so give it as a table.
     """
     none = F.array().cast("array<bigint>")
     now = pairs.select(*by, *[F.coalesce(c, none).alias(c) for c in ("a", "b")])
-    now = now.withColumn("level", level_of(F.greatest(F.size("a"), F.size("b"))))
+    now = now.withColumn("level", level_of(F.greatest(F.size("a"), F.size("b"))) + 1)
     settled = []
     while True:
-        tried = written(_compared(now.repartition(by[0]), by), "sketch-differences")
+        tried = written(_compared(_dealt(now, by[0]), by), "sketch-differences")
         settled.append(tried.filter("left = 0").select(*by, "only_a", "only_b"))
         failed = tried.filter("left > 0").select(*[F.col(c).alias(f"_{c}") for c in by])
         if failed.isEmpty():
@@ -132,52 +143,59 @@ def likeness(n_a: Column, n_b: Column, only_a: Column, only_b: Column) -> Column
     return F.when(every == 0, F.lit(1.0)).otherwise((n_a - F.size(only_a)) / every)
 
 
+def shown() -> Column:
+    """A cell (columns tab, place, n, key, chk) as text: ":<table>.<place>.<count>.<digests>.<checks>", hexadecimal."""
+    return F.lower(F.concat(F.lit(":"), F.col("tab").cast("string"), *[x for c in ("place", "n", "key", "chk") for x in (F.lit("."), F.hex(c))]))
+
+
 def fingerprint(cells: Column, seal: Column, n: Column) -> Column:
-    """Sorted cells (structs of tab, place, n, key, chk), the text's seal and its number of digests as one string.
+    """"<seal>:<level>" and the cells that are not empty, in order, as one string. The seal, a hash of the whole text, tells
+    apart texts of the same paragraphs."""
+    return F.concat(seal, F.lit(":"), level_of(n).cast("string"), F.coalesce(F.array_join(cells, ""), F.lit("")))
 
-    It is "<seal>:<level>" and for each cell that is not empty ":<table>.<place>.<count>.<digests>.<checks>", hexadecimal.
-    The seal, a hash of the whole text, tells apart texts of the same paragraphs.
-    """
-    hexed = lambda c: F.lower(F.hex(c))
-    listed = F.transform(cells, lambda c: F.concat(F.lit(":"), c["tab"].cast("string"), *[x for f in ("place", "n", "key", "chk") for x in (F.lit("."), hexed(c[f]))]))
-    return F.concat(seal, F.lit(":"), level_of(n).cast("string"), F.coalesce(F.array_join(listed, ""), F.lit("")))
+
+ADDED = ("fingerprints", "only_first", "only_other", "likeness")
 
 
-def compare_texts(rows: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """rows without their texts, and with arrays: of each text its ``fingerprints``, of each but the first against the first
-    ``only_first`` and ``only_other`` (the paragraph digests of one of both only) and ``likeness`` (0 to 1).
+def compare_texts(rows: DataFrame, key: str, texts: list[str], printed: int | None = None, keys: dict[str, str] | None = None) -> DataFrame:
+    """rows without their texts, and with arrays: of each of the first ``printed`` texts (all) its ``fingerprints``, of each
+    but the first against the first ``only_first`` and ``only_other`` (the paragraph digests of one of both only) and
+    ``likeness`` (0 to 1).
 
-    ``key`` is a column of distinct longs. Null texts are empty; an empty text, or one of white space, has no paragraphs, and
-    two such texts are alike (1). Repeated paragraphs of a text count once, paragraphs in another order are the same (but
-    not the fingerprint). Equal rows need different keys; an empty table gives no rows; columns may have any names, those
-    added take the place of others. Very long texts are cut in one value, their cells are rows.
+    ``key`` is a column of distinct longs; ``keys`` names columns that hold the digests() of a text already. Null texts are
+    empty; an empty text, or one of white space, has no paragraphs, and two such texts are alike (1). Repeated paragraphs of
+    a text count once, paragraphs in another order are the same (but not the fingerprint). Equal rows need different keys;
+    an empty table gives no rows; columns may have any names, those added take the place of others. Very long texts are cut
+    in one value, their cells are rows.
     """
-    shield = Shield(rows)
+    shield, known = Shield(rows), keys or {}
+    printed = len(texts) if printed is None else printed
     id_, columns = shield(key), [shield(t) for t in texts]
-    seal = lambda t: F.md5(text_or_empty(t))
-    kept = [c for c in shield.df.columns if c not in columns]
-    sets = written(shield.df.select(*kept, F.array(*map(digests, columns)).alias("_keys"), F.array(*map(seal, columns)).alias("_seals")), "text-digests")
+    of = [F.col(shield(known[t])) if t in known else digests(F.col(c)) for t, c in zip(texts, columns)]
+    gone = {*columns, *(shield(k) for k in known.values())}
+    kept = [c for c in shield.df.columns if c not in gone]
+    seals = F.array(*[F.md5(text_or_empty(c)) for c in columns[:printed]])
+    sets = written(shield.df.select(*kept, F.array(*of).alias("_keys"), seals.alias("_seals")), "text-digests")
     others = range(1, len(texts))
 
     pair = lambda i: F.struct(F.lit(i).alias("other"), F.get("_keys", F.lit(0)).alias("a"), F.get("_keys", F.lit(i)).alias("b"))
     pairs = sets.select(id_, F.explode(F.array(*map(pair, others))).alias("p")).select(id_, "p.*")
     found = differences(pairs, [id_, "other"]).groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("other", F.struct("only_a", "only_b")))).alias("_found"))
 
-    each = sets.select(id_, F.posexplode("_keys").alias("version", "keys")).withColumn("level", level_of(F.size("keys"))).repartition(id_)
-    cell = F.struct("version", "tab", "place", "n", "key", "chk")
-    cells = sketches(each, [id_, "version"]).groupBy(id_).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    each = _dealt(sets.select(id_, F.slice("_keys", 1, printed).alias("_keys")), id_).select(id_, F.posexplode("_keys").alias("version", "keys")).withColumn("level", level_of(F.size("keys")))
+    listed = sketches(each, [id_, "version"]).select(id_, F.struct("version", "tab", "place", shown().alias("shown")).alias("cell"))
+    cells = listed.groupBy(id_).agg(F.array_sort(F.collect_list("cell")).alias("_cells"))
 
     out = sets.join(found.withColumnRenamed(id_, "_f"), F.col(id_) == F.col("_f"), "left").join(cells.withColumnRenamed(id_, "_c"), F.col(id_) == F.col("_c"), "left")
     none, at = F.array().cast("array<bigint>"), lambda column, i: F.get(column, F.lit(i))
     only = lambda side: F.array(*[F.coalesce(F.try_element_at("_found", F.lit(i))[side], none) for i in others])
     out = out.withColumns({"_a": only("only_a"), "_b": only("only_b")})
     sizes = F.transform("_keys", lambda k: F.size(k))
-    of = lambda i: F.filter("_cells", lambda c: c["version"] == i)
-    prints = [fingerprint(of(i), at("_seals", i), at(sizes, i)) for i in range(len(texts))]
+    own = lambda i: F.transform(F.filter("_cells", lambda c: c["version"] == i), lambda c: c["shown"])
+    prints = [fingerprint(own(i), at("_seals", i), at(sizes, i)) for i in range(printed)]
     like = F.array(*[likeness(at(sizes, 0), at(sizes, i), at("_a", i - 1), at("_b", i - 1)) for i in others])
-    gone = dict.fromkeys(texts)
-    out = shield.restored(out.withColumns(dict.fromkeys(columns, F.lit(None))), fingerprints=F.array(*prints), only_first="_a", only_other="_b", likeness=like)
-    return out.drop(*[t for t in gone if t not in ("fingerprints", "only_first", "only_other", "likeness")])
+    out = shield.restored(out.withColumns(dict.fromkeys(gone, F.lit(None))), fingerprints=F.array(*prints), only_first="_a", only_other="_b", likeness=like)
+    return out.drop(*[n for i, n in enumerate(rows.columns) if f"in{i}__" in gone and n not in ADDED])
 
 
 def _range_of(key: str, bounds: Column) -> Column:
@@ -194,9 +212,9 @@ def _range_of(key: str, bounds: Column) -> Column:
     return below(lambda b: b < F.col(key)) + below(lambda b: b <= F.col(key))
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, carried: str | None = None) -> DataFrame:
     """docs with ``id`` (distinct longs) and ``next_text``, the text of the next row by descending key, a long; after the
-    last row comes the first, of one row itself.
+    last row comes the first, of one row itself. With ``carried``, a column, ``next_carried`` is the next row's.
 
     Null keys come last, rows of one key are in the order of a hash of the text, null texts stay null. Rows are dealt to
     ranges of keys; a range of a single key is parted by the hash, so only equal rows must meet in a task. Texts are
@@ -204,6 +222,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     shield = Shield(docs)
     docs, key, text = shield.df, shield(key), shield(text)
+    taken = {"next_text": text} | ({"next_carried": shield(carried)} if carried else {})
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
     n = min(RANGES, max(1, (size["bytes"] or 0) // RANGE_BYTES, size["rows"] // RANGE_ROWS))
     shares = [i / n for i in range(1, n)]
@@ -214,7 +233,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     many = many.filter("_parts > 1").withColumnRenamed("_range", "_r")
     rows = rows.join(F.broadcast(many), F.col("_range") == F.col("_r"), "left").withColumn("_part", F.coalesce(F.expr("shiftright(_u * _parts, 31)"), F.lit(0).cast("long"))).drop("_r", "_parts")
     inside = Window.partitionBy("_range", "_part").orderBy(F.col(key).desc_nulls_last(), "_u", F.length(text))
-    whole = F.struct(F.col(text).alias("text"))
+    whole = F.struct(*[F.col(c).alias(name) for name, c in taken.items()])
     rows = rows.withColumns({"_place": F.row_number().over(inside), "_next": F.lead(whole).over(inside)})
     first = rows.filter("_place = 1").select(F.col("_range").alias("r"), F.col("_part").alias("p"), whole.alias("_first"))
     # one row for each range or part of one, without texts, to learn which comes after which
@@ -223,17 +242,18 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     ahead = first.join(chain.select("r", "p", F.expr("if(number = 1, all, number - 1)").alias("number")), ["r", "p"]).select("number", "_first")
     ahead = chain.select("r", "p", "number").join(ahead, "number")
     out = rows.join(ahead, (F.col("_range") == F.col("r")) & (F.col("_part") == F.col("p")))
-    return shield.restored(out, id=F.col("number") * F.lit(1 << 40) + F.col("_place"), next_text=F.coalesce("_next", "_first")["text"])
+    return shield.restored(out, id=F.col("number") * F.lit(1 << 40) + F.col("_place"), **{c: F.coalesce("_next", "_first")[c] for c in taken})
 
 
 def op12(docs: DataFrame) -> DataFrame:
     """Every text of documents, the same with its second half replaced, and the next document: their fingerprints compared."""
     text = text_or_empty("text")
-    rows = with_next(docs.select("doc_id", text.alias("text")), "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.select("doc_id", text.alias("text")).withColumn("keys", digests(F.col("text")))
+    rows = with_next(docs, "doc_id", "text", "keys").withColumn("n_chars", F.length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    out = compare_texts(rows, "id", ["text", "edited", "next_text"])
+    out = compare_texts(rows, "id", ["text", "edited", "next_text"], 2, {"text": "keys", "next_text": "next_carried"})
     at = lambda c, i: F.get(c, F.lit(i))
     return out.select("doc_id", "n_chars", "edited_sha256", at("fingerprints", 0).alias("fingerprint"), at("fingerprints", 1).alias("edited_fingerprint"), at("likeness", 0).alias("near_edited"), at("likeness", 1).alias("near_next"))
 
