@@ -172,7 +172,7 @@ def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFra
     """All violations as a set of (error), in no order. Each rule is a query of its own; entries need entry_key, deleted,
     content_hash, snapshot_key, snapshot_hash, source, integrity_hash, integrity_source, approval (struct or null), head;
     revisions id, target, previous, operation, actor, timestamp, snapshot and state (JSON), snapshot_sha256,
-    revision_sha256, snapshot_key, source; proposals what proposals.invalid() needs, and before (JSON) and decision_revision.
+    revision_sha256, snapshot_key, source; proposals what a ledger keeps of them (proposals.STORED).
     """
     spark = entries.sparkSession
     e, key = entries, F.concat(F.lit("entry "), "entry_key")
@@ -208,9 +208,7 @@ def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFra
     ]
     if proposals is not None:
         rules.append(say(pr.invalid(proposals), "proposal ", F.col("id"), ": ", F.col("error")))
-        decided = proposals.filter("decision_revision IS NOT NULL").select(F.col("id").alias("pid"), F.col("target").alias("pt"), F.col("before").alias("pb"), "decision_revision")
-        decided = decided.join(revisions, F.col("decision_revision") == F.col("id"), "left").filter(~(F.col("target").eqNullSafe(F.col("pt")) & F.col("snapshot").eqNullSafe(F.col("pb"))))
-        rules.append(say(decided, "proposal ", F.col("pid"), " decision references an invalid adoption revision"))
+        rules.append(say(pr.misplaced(proposals, revisions), "proposal ", F.col("id"), " decision references an invalid adoption revision"))
     if version not in ("1.0", "1.1"):
         rules.append(spark.range(1).select(F.lit(f"unsupported lockfileVersion {version}").alias("error")))
     if not tool_version.strip():

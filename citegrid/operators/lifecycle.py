@@ -138,7 +138,7 @@ def errors(state: dict[str, DataFrame]) -> DataFrame:
     """(error): the rules that the ledger breaks."""
     e = state["entries"].withColumns({"snapshot_key": F.when(F.col("snapshot").isNotNull(), F.col("entry_key")), "snapshot_hash": cn.content_hash(F.col("snapshot.entry_type"), F.col("snapshot.fields"))})
     asked = state.get("proposals")
-    return ledger.validation_errors(e, state["revisions"], state["sources"], None if asked is None else asked.withColumn("before", F.col("before_json")))
+    return ledger.validation_errors(e, state["revisions"], state["sources"], asked)
 
 
 def status(state: dict[str, DataFrame] | None, records: DataFrame) -> dict:

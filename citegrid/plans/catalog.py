@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from citegrid.plans import evidencing, identity, ledger, lifecycle, reconciling, similarity
+from citegrid.plans import evidencing, identity, ledger, lifecycle, proposing, reconciling, similarity
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir) for every registered query."""
     out: dict = {}
-    for module in (similarity, identity, evidencing, ledger, lifecycle, reconciling):
+    for module in (similarity, identity, evidencing, ledger, lifecycle, proposing, reconciling):
         out |= module.QUERIES
     return out
 
@@ -16,6 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL with the same rows."""
     out: dict[str, str] = {}
-    for module in (similarity, identity, evidencing, ledger, lifecycle, reconciling):
+    for module in (similarity, identity, evidencing, ledger, lifecycle, proposing, reconciling):
         out |= module.ORACLES
     return out

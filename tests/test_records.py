@@ -152,8 +152,14 @@ def test_restore_and_approvals(spark):
 
 
 def test_proposals(spark):
-    p = spark.createDataFrame([("p", "a", "", 1, "k", "k", "k", "h", "h", "g", "g", "p", None, None, 0.9)], "id string, agent string, reason string, timestamp int, target string, before_key string, after_key string, before_hash string, baseline_hash string, after_hash string, proposal_hash string, own_id string, outcome string, decided_at int, threshold double")
-    assert "required" in proposals.invalid(p).first().error and proposals.invalid(p.withColumn("reason", F.lit("r"))).count() == 0
+    records = spark.createDataFrame([("k", "misc", {"title": "A", "bibsource": "s"}), ("m", "misc", {"title": "B"})], "entry_key string, entry_type string, fields map<string,string>")
+    changes = spark.createDataFrame([("k", "book", {"title": "C", "bibsource": "x"}), ("m", "book", {"title": "D"})], "target string, entry_type string, fields map<string,string>")
+    p = proposals.create(records, changes, " a ", "r", 1)
+    assert proposals.invalid(p).count() == 0 and p.count() == 2 and {r.id for r in p.collect()} == {r.id for r in proposals.identified(p.withColumn("id", F.lit("x"))).collect()}
+    tampered = {"reason": F.lit(""), "after": F.col("before"), "before": F.create_map(F.lit("title"), F.lit("Z")), "after_json": F.lit("{}"), "timestamp": F.lit(2).cast("long"), "after_type": F.lit("article"), "outcome": F.lit("adopted"), "proposal_hash": F.col("baseline_hash"), "target": F.lit("q")}
+    wrong = {name: {r.error for r in proposals.invalid(p.withColumn(name, value)).collect()} for name, value in tampered.items()}
+    hashes, identity = {proposals.RULES["hash"]}, {proposals.RULES["id"]}
+    assert wrong == {"reason": {proposals.RULES["asked"]}, "after": hashes, "before": hashes, "after_json": set(), "timestamp": identity, "after_type": hashes, "outcome": {proposals.RULES["decision"]}, "proposal_hash": hashes, "target": {proposals.RULES["key"]}}
     ids = spark.range(1).select(proposals.proposal_id(F.lit("[1]"), F.lit(None).cast("string")).alias("a"), proposals.proposal_id(F.lit("[1]"), F.lit("{}")).alias("b")).first()
     import hashlib
 
