@@ -23,7 +23,7 @@ from citegrid.llm.common import Shield, text_or_empty, written
 
 #: A paragraph is a line, cut behind its sentences if it has more code points than this.
 LONG_LINE = 200
-#: Digests are the first hexadecimal digits of an MD5, three times the bits that the place in a table is taken from.
+#: Digests are the first hexadecimal digits of an MD5, three times the bits of which a table takes the first for the place.
 DIGITS, PLACE_BITS = 15, 20
 #: Primes of the check value, both under 2**30.
 PRIMES = (1073741789, 1073741783)
@@ -59,10 +59,10 @@ CHECK = f"key % {PRIMES[0]} + key % {PRIMES[1]} * {1 << 30}L"
 
 
 def place(table: int) -> str:
-    """SQL: the cell of a digest in a table: bits of its own; beyond 2**20 cells others join in."""
-    bits = f"shiftright(key, {PLACE_BITS * table}) & {(1 << PLACE_BITS) - 1}L"
-    more = f"((key % {PRIMES[0] - 2 * (table + 1)}) ^ shiftright(key, {7 * table})) * {1 << PLACE_BITS}L"
-    return f"(CASE WHEN level > {PLACE_BITS} THEN {bits} | {more} ELSE {bits} END) & (shiftleft(1L, level) - 1)"
+    """SQL: the cell of a digest in a table: as many of its bits as the mask has, from another one on for each table."""
+    at, width = PLACE_BITS * table, PLACE_BITS * TABLES
+    turned = f"(shiftright(key, {at}) | shiftleft(key, {width - at}))" if table else "key"
+    return f"{turned} & mask"
 
 
 def cell(tab: object, at: str, n: str, key: str, chk: str) -> str:
@@ -71,25 +71,25 @@ def cell(tab: object, at: str, n: str, key: str, chk: str) -> str:
 
 def summed(rows: str, by: list[str]) -> str:
     """SQL: cells summed up: counts added, digests and check values by exclusive or; empty ones go."""
-    keys = ", ".join([*by, "level", "tab", "place"])
+    keys = ", ".join([*by, "mask", "tab", "place"])
     return f"SELECT {keys}, sum(n) AS n, bit_xor(key) AS key, bit_xor(chk) AS chk FROM ({rows}) GROUP BY {keys} HAVING sum(n) <> 0 OR bit_xor(key) <> 0 OR bit_xor(chk) <> 0"
 
 
 def sketches(sets: DataFrame, by: list[str], sign: str = "1L") -> DataFrame:
-    """Rows (by, level, keys array of digests) -> cells (by, level, tab, place, n, key, chk), empty ones left out.
+    """Rows (by, level, keys array of digests) -> cells (by, mask, tab, place, n, key, chk), empty ones left out.
 
     Rows of equal ``by`` are one sketch; ``sign`` is an SQL expression, by which rows are put in (1) or taken out (-1): sketches
     are sums, so taking a set out of the sketch of another is subtracting its sketch.
     """
-    names = ", ".join([*by, "level"])
+    names = ", ".join([*by, "mask"])
     cells = ", ".join(cell(t, place(t), "_sign", "key", CHECK) for t in range(TABLES))
-    each = f"SELECT {names}, {sign} AS _sign, explode(keys) AS key FROM {{sets}}"
+    each = f"SELECT {', '.join(by)}, shiftleft(1L, level) - 1 AS mask, {sign} AS _sign, explode(keys) AS key FROM {{sets}}"
     return sets.sparkSession.sql(summed(f"SELECT {names}, inline(array({cells})) AS (tab, place, n, key, chk) FROM ({each})", by), sets=sets)
 
 
 def peeled(cells: str, by: list[str]) -> str:
     """SQL: cells of differences, peeled in STEPS steps; a recovered digest is a row of the table TABLES, its n the side."""
-    names = ", ".join([*by, "level"])
+    names = ", ".join([*by, "mask"])
     for step in range(STEPS):
         at = step % TABLES
         pure = f"tab = {at} AND abs(n) = 1 AND chk = {CHECK} AND place = {place(at)}"
