@@ -193,14 +193,64 @@ def adopt_proposals(state: dict[str, DataFrame], records: DataFrame, wanted: Dat
         .when(~F.col("_now").eqNullSafe(F.col("baseline_hash")), "proposal is stale").when(several, "several proposals for one record")
     )
     j = checkpoint(j.withColumn("error", error))
-    good = j.filter("error IS NULL").select(F.col("after_type").alias("entry_type"), F.col("target").alias("entry_key"), F.col("after").alias("fields"))
+    j = j.withColumns({"_adopts": F.lit(True), "_fields": F.col("after"), "_who": F.lit(agent)})
+    return _decided(state, records, j, agent, timestamp)
+
+
+def _decided(state: dict[str, DataFrame], records: DataFrame, j: DataFrame, actor: str, timestamp: int) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """j (proposals with error, _adopts, _fields: what the record becomes, _who) -> bibliography, ledger and outcomes, in one edit."""
+    p, right = state["proposals"], j.filter("error IS NULL")
+    good = right.filter("_adopts").select(F.col("after_type").alias("entry_type"), F.col("target").alias("entry_key"), F.col("_fields").alias("fields"))
     out = records.select("entry_type", "entry_key", "fields").join(good.select("entry_key"), "entry_key", "left_anti").select("entry_type", "entry_key", "fields").unionByName(good)
-    after = edit(state, out, "proposal-adopt", agent, timestamp)
+    after = edit(state, out, "proposal-adopt", actor, timestamp)
     heads = state["entries"].filter("NOT deleted").select(F.col("entry_key").alias("_e"), F.col("head").alias("_old")).join(after["entries"].filter("NOT deleted").select("entry_key", "head"), F.col("_e") == F.col("entry_key"))
-    decided = j.filter("error IS NULL").select(F.col("id").alias("_id"), F.col("target").alias("_t")).join(heads, F.col("_t") == F.col("_e"), "left").select("_id", F.when(~F.col("head").eqNullSafe(F.col("_old")), F.col("head")).alias("_rev"))
-    is_now = F.col("_id").isNotNull()
-    next_p = p.join(decided, F.col("id") == F.col("_id"), "left").withColumns({"outcome": F.when(is_now, proposals.OUTCOMES[0]).otherwise(F.col("outcome")), "decided_by": F.when(is_now, agent).otherwise(F.col("decided_by")), "decided_at": F.when(is_now, F.lit(timestamp)).otherwise(F.col("decided_at")).cast("long"), "decision_revision": F.when(is_now, F.col("_rev")).otherwise(F.col("decision_revision"))}).select(*p.columns)
-    return out, after | {"proposals": checkpoint(next_p)}, j.select("id", F.when(F.col("error").isNull(), proposals.OUTCOMES[0]).alias("outcome"), "error")
+    made = right.select(F.col("id").alias("_id"), F.col("target").alias("_t"), "_adopts", "_who").join(heads, F.col("_t") == F.col("_e"), "left")
+    made = made.select("_id", "_adopts", "_who", F.when(F.col("_adopts") & ~F.col("head").eqNullSafe(F.col("_old")), F.col("head")).alias("_rev"))
+    is_now, outcome = F.col("_id").isNotNull(), F.when(F.col("_adopts"), proposals.OUTCOMES[0]).otherwise(proposals.OUTCOMES[1])
+    stored = {"outcome": outcome, "decided_by": F.col("_who"), "decided_at": F.lit(timestamp).cast("long"), "decision_revision": F.col("_rev")}
+    next_p = p.join(made, F.col("id") == F.col("_id"), "left").withColumns({n: F.when(is_now, v).otherwise(F.col(n)) for n, v in stored.items()}).select(*p.columns)
+    return out, after | {"proposals": checkpoint(next_p)}, j.select("id", F.when(F.col("error").isNull(), outcome).alias("outcome"), "error")
+
+
+def decide_proposals(state: dict[str, DataFrame], records: DataFrame, decisions: DataFrame, timestamp: int) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """decisions (id, adopt, reviewer) of people -> the bibliography and the ledger after, and what each came to (id, outcome,
+    error).
+
+    What is adopted is approved by its reviewer in the same edit: the record takes the proposal's content and an approval of
+    it. A decided proposal, the adoption of a stale one, and of several for one record, are errors; a stale one may be rejected.
+    """
+    now = records.select(F.col("entry_key").alias("_k"), cn.content_hash(F.col("entry_type"), F.col("fields")).alias("_now"))
+    j = decisions.select("id", F.col("adopt").alias("_adopts"), F.nullif(F.trim("reviewer"), F.lit("")).alias("_who")).join(state["proposals"], "id", "left").join(now, F.col("target") == F.col("_k"), "left")
+    several = F.col("_adopts") & (F.count_if(F.col("_adopts")).over(Window.partitionBy("target")) > 1)
+    error = (
+        F.when(F.col("target").isNull(), "proposal not found").when(F.col("outcome").isNotNull(), "proposal has already been decided")
+        .when(F.col("_adopts") & ~F.col("_now").eqNullSafe(F.col("baseline_hash")), "proposal is stale").when(several, "several proposals for one record")
+    )
+    batch = F.lit(ledger.batch_id(timestamp, "proposals"))
+    values = {"kind": F.lit("human"), "method": F.lit("browser-review"), "reviewer": F.col("_who"), "content_hash": F.col("proposal_hash"), "timestamp": F.lit(str(timestamp)), "batch_id": batch}
+    own = cn.approval_id(values["kind"], values["method"], values["reviewer"], F.col("target"), values["content_hash"], F.lit(timestamp).cast("long"), batch)
+    spelt = F.create_map(*[x for n, f in APPROVAL.items() for x in (F.lit(f), own if n == "id" else values[n])])
+    approval = F.map_filter(spelt, lambda k, v: v.isNotNull())
+    j = checkpoint(j.withColumns({"error": error, "_fields": F.map_concat("after", approval)}))
+    return _decided(state, records, j, "human", timestamp)
+
+
+def history_diff(state: dict[str, DataFrame], wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """wanted (prefix) revisions against the records of now: prefix, id, entry_key, revised_type, current_type, field, old,
+    new (one row for each field that differs, none if none does), error.
+
+    Workflow fields count too, as a restore would put them back. An unknown or ambiguous prefix and a record that is no
+    longer there are rows with an error.
+    """
+    found = ledger.by_prefix(wanted, state["revisions"]).select("prefix", "id", F.col("error").alias("_error"))
+    r = state["revisions"].select(F.col("id").alias("_r"), F.col("target").alias("entry_key"), F.col("entry.snapshot.entry_type").alias("revised_type"), F.map_concat("entry.snapshot.fields", state_fields()).alias("_old"))
+    now = records.select(F.col("entry_key").alias("_k"), F.col("entry_type").alias("current_type"), F.col("fields").alias("_new"))
+    j = found.join(r, F.col("id") == F.col("_r"), "left").join(now, F.col("entry_key") == F.col("_k"), "left")
+    error = F.coalesce("_error", F.when(F.col("_k").isNull(), "citation key not found"))
+    names = F.array_sort(F.array_union(F.map_keys("_old"), F.map_keys("_new")))
+    each = F.transform(names, lambda n: F.struct(n.alias("field"), F.try_element_at("_old", n).alias("old"), F.try_element_at("_new", n).alias("new")))
+    rows = F.when(error.isNull(), F.filter(each, lambda x: ~x["old"].eqNullSafe(x["new"]))).otherwise(F.array(F.lit(None).cast("struct<field:string,old:string,new:string>")))
+    return j.select("prefix", "id", "entry_key", "revised_type", "current_type", error.alias("error"), F.explode(rows).alias("x")).select("prefix", "id", "entry_key", "revised_type", "current_type", "x.*", "error")
 
 
 def embedded(records: DataFrame) -> dict[str, DataFrame]:
@@ -231,3 +281,48 @@ def update(spark: SparkSession, folder: str, change: Callable[[dict[str, DataFra
     if broken:
         raise ValueError("invalid ledger: " + "; ".join(r["error"] for r in broken))
     return store.commit(after, folder, version)
+
+
+class OutOfSync(RuntimeError):
+    """The bibliography is not what the ledger, or an edit, has read."""
+
+
+def bibliography_hash(records: DataFrame) -> str:
+    """A hash of the records (entry_type, entry_key, fields), in whatever order: their number and two sums over parts of the
+    SHA-256 of each, a row to the driver."""
+    h = F.sha2(cn.record_json(F.col("entry_type"), F.col("entry_key"), F.col("fields")), 256)
+    part = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    row = records.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(16).alias("b")).first()
+    return f"{row['n']}:{row['a'] or 0}:{row['b'] or 0}"
+
+
+Change = Callable[[dict[str, DataFrame], DataFrame], tuple[DataFrame, dict[str, DataFrame]]]
+
+
+def commit_edit(spark: SparkSession, folder: str, change: Change, read: Callable[[], DataFrame] | None = None) -> int:
+    """Change the bibliography and its ledger together: the version that was written, with the table ``records``.
+
+    ``read`` gives the bibliography as it is (the last version's by default), ``change`` the two after the edit. Both are
+    published by one manifest, so a torn commit is never seen. An OutOfSync error, and nothing written, if the bibliography
+    has other content than the ledger knows (sync it first), if it is edited outside before the commit, or if another
+    commit came first.
+    """
+    version = store.current_version(spark, folder)
+    before = store.load(spark, folder, version) if version else empty(spark)
+    last = before.pop("records", None)
+    read = read or (lambda: last if last is not None else spark.createDataFrame([], "entry_type string, entry_key string, fields map<string,string>"))
+    records = checkpoint(read().select("entry_type", "entry_key", "fields"))
+    seen = bibliography_hash(records)
+    now = _ordinary(records).select("entry_key", cn.content_hash(F.col("entry_type"), F.col("fields")).alias("content_hash"))
+    if version and not ledger.consistency(now, before["entries"].filter(~F.col("deleted"))).isEmpty():
+        raise OutOfSync("the bibliography was edited outside; synchronise it first")
+    out, after = change(before, records)
+    broken = errors(after).limit(5).collect()
+    if broken:
+        raise ValueError("invalid ledger: " + "; ".join(r["error"] for r in broken))
+    if bibliography_hash(read()) != seen:
+        raise OutOfSync("the bibliography was edited while it was changed; retry")
+    try:
+        return store.commit(after | {"records": out}, folder, version)
+    except RuntimeError as e:
+        raise OutOfSync(str(e)) from e

@@ -63,7 +63,8 @@ def projection_hash(spark, sf_dir):
 
 
 def document_hash(spark, sf_dir):
-    b = biblio(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("seq") % 10))
+    b = biblio(spark, sf_dir)
+    b = b.withColumn("file", F.concat(F.lit("f"), F.col("seq") % (10 * (1 + b.count() // 5000))))  # files of some hundred records
     return evidence.document_hashes(b, "file", "seq")
 
 
@@ -185,7 +186,7 @@ ORACLES = {
     "canonical_hash": f"WITH {BIBLIO} SELECT seq, {_CANON} AS json, sha256({_CANON}) AS sha256 FROM biblio",
     "legacy_hash": f"WITH {BIBLIO} SELECT seq, sha256({_json('author', 'bibsource', 'doi', 'note', 'title', 'year', head='entry_type')}) AS sha256 FROM biblio",
     "projection_hash": f"WITH {BIBLIO} SELECT seq, sha256('[' || to_json(entry_type) || ',' || {_FIELDS} || ']') AS whole, sha256('[' || to_json(entry_type) || ',' || {_json('author', 'doi', 'title', 'year')} || ']') AS controlled FROM biblio",
-    "document_hash": f"""WITH {BIBLIO}, r AS (SELECT 'f' || (seq % 10) AS file, seq, '{{"entry_type":' || to_json(entry_type) || ',"entry_key":' || to_json(entry_key) || ',"fields":' || {_FIELDS} || '}}' AS j FROM biblio)
+    "document_hash": f"""WITH {BIBLIO}, r AS (SELECT 'f' || (seq % (10 * (1 + (SELECT count(*) FROM biblio) // 5000))) AS file, seq, '{{"entry_type":' || to_json(entry_type) || ',"entry_key":' || to_json(entry_key) || ',"fields":' || {_FIELDS} || '}}' AS j FROM biblio)
       SELECT file, sha256('[' || string_agg(j, ',' ORDER BY seq) || ']') AS sha256, count(*) AS n FROM r GROUP BY file""",
     "evidence_identity": """SELECT doc_id, sha256('4' || chr(0) || 'kind' || '3' || chr(0) || 'web' || '6' || chr(0) || 'target' || length('d' || doc_id) || chr(0) || 'd' || doc_id || '4' || chr(0) || 'text' || octet_length(encode(text)) || chr(0) || text) AS identity FROM documents""",
     "actor_identity": f"WITH {BIBLIO} SELECT seq, sha256(CASE WHEN seq % 2 = 0 THEN 'human' ELSE 'agent' END || chr(0) || author || chr(0) || entry_key || chr(0) || sha256({_CANON})) AS identity FROM biblio",

@@ -52,8 +52,10 @@ def status_summary(spark, sf_dir):
 
 
 def readiness(spark, sf_dir):
+    """All files, the verified records of each alone, these with an error somewhere, and no file at all."""
     s = _with_status(spark, sf_dir).withColumn("file", F.concat(F.lit("f"), F.col("seq") % 5))
-    return status.ready(status.summary(s, ["file"]), F.lit(0))
+    good, named = s.filter("status = 'verified'"), lambda name, rows, errors=0: status.ready(status.summary(rows, ["file"]), F.lit(errors)).select(F.lit(name).alias("of"), "ready")
+    return named("all", s).unionByName(named("verified", good)).unionByName(named("with errors", good, 1)).unionByName(named("none", s.limit(0)))
 
 
 def pending_paths(spark, sf_dir):
@@ -255,7 +257,7 @@ _H = "h AS (SELECT DISTINCT sha256(text) AS x FROM documents)"
 ORACLES = {
     "trust_status": f"WITH {_STATUS} SELECT entry_key, status FROM st",
     "status_summary": f"WITH {_STATUS} SELECT entry_type, {_COUNTS} FROM st GROUP BY entry_type",
-    "readiness": "SELECT false AS ready",
+    "readiness": f"WITH {_STATUS} SELECT 'all' AS of, bool_and(status = 'verified') AS ready FROM st UNION ALL SELECT 'verified', count(*) > 0 FROM st WHERE status = 'verified' UNION ALL SELECT 'with errors', false UNION ALL SELECT 'none', false",
     "pending_paths": f"WITH {_STATUS} SELECT status, {_PATH} AS path, count(*) AS n FROM st WHERE status <> 'verified' GROUP BY 1, 2",
     "next_actions": f"""WITH {_STATUS}, p AS (SELECT entry_key, {_PATH} AS path FROM st WHERE status <> 'verified')
       SELECT entry_key, 0::BIGINT AS step, CASE path WHEN 'api_verify' THEN 'verify ''my refs.bib'' --key ' || entry_key WHEN 'candidate_review' THEN 'match ''my refs.bib'' --key ' || entry_key ELSE 'review ''my refs.bib''' END AS command, path = 'api_verify' AS writes FROM p

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citegrid.functions import canonical as cn
-from citegrid.operators import lifecycle
+from citegrid.operators import lifecycle, proposals
 from citegrid.plans.views import BIBLIO, biblio
+from citegrid.sources import ledger as ledger_files
+from citegrid.storage import shared_path
 
 STAMP = 1700000000
 
@@ -65,7 +67,56 @@ def embedded_import(spark, sf_dir):
     return e.select("entry_key", "source", (F.col("integrity_hash") == F.col("content_hash")).alias("sealed"), "integrity_source")
 
 
-QUERIES = {f.__name__: f for f in (ledger_sync, ledger_status, ledger_restore, embedded_import)}
+def history_diff(spark, sf_dir):
+    """Every revision of the synchronised ledger against the bibliography of now; those of records that went have none."""
+    _, state = _synced(spark, sf_dir)
+    return lifecycle.history_diff(state, state["revisions"].select(F.substring("id", 5, 64).alias("prefix")), _edited(spark, sf_dir)).select("entry_key", "field", "old", "new", "error")
+
+
+def human_decisions(spark, sf_dir):
+    """Proposals for another year that people adopt or reject, some of them stale; what is adopted is approved by its reviewer."""
+    before = _before(spark, sf_dir)
+    state = lifecycle.sync(lifecycle.empty(spark), before, "me", STAMP)
+    changes = before.select(F.col("entry_key").alias("target"), "entry_type", F.map_concat(cn.without(before.fields, ("year",)), F.create_map(F.lit("year"), F.lit("2040"))).alias("fields"), "seq")
+    state["proposals"] = proposals.create(before, changes, "agent", "newer", 2)
+    number = F.substring("target", 2, 20).cast("long")
+    asked = state["proposals"].select("id", (number % 3 > 0).alias("adopt"), F.concat(F.lit(" r"), number % 4).alias("reviewer"))
+    now = before.select("entry_type", "entry_key", F.when(before.seq % 7 == 0, F.map_concat(cn.without(before.fields, ("year",)), F.create_map(F.lit("year"), F.lit("1")))).otherwise(before.fields).alias("fields"))
+    state = lifecycle.sync(state, now, "me", STAMP + 1) | {"proposals": state["proposals"]}
+    records, after, outcome = lifecycle.decide_proposals(state, now, asked, STAMP + 2)
+    p = after["proposals"].select("id", "target", "decided_by", F.col("decision_revision").isNotNull().alias("revised")).join(outcome, "id")
+    r = records.select("entry_key", F.col("fields")["year"].alias("year"))
+    e = after["entries"].select("entry_key", (F.col("approval.content_hash") == F.col("content_hash")).alias("approved"))
+    out = p.join(r, F.col("target") == F.col("entry_key")).join(e, "entry_key")
+    return out.select("entry_key", "outcome", "error", "decided_by", "revised", "year", F.coalesce("approved", F.lit(False)).alias("approved"))
+
+
+def joint_commit(spark, sf_dir):
+    """Two committed edits of bibliography and ledger, and what an edit outside, one in between, and a torn commit come to."""
+    folder = shared_path(spark, "joint")
+    before, edited = _before(spark, sf_dir), _edited(spark, sf_dir).select("entry_type", "entry_key", "fields")
+    to = lambda records, at: lambda state, _: (records, lifecycle.sync(state, records, "me", at))
+    outcomes = [("first", str(lifecycle.commit_edit(spark, folder, to(before.select("entry_type", "entry_key", "fields"), STAMP))))]
+
+    def refused(name, change, read=None):
+        try:
+            outcomes.append((name, str(lifecycle.commit_edit(spark, folder, change, read))))
+        except lifecycle.OutOfSync as e:
+            outcomes.append((name, str(e)))
+
+    kept = ledger_files.load(spark, folder)["records"]
+    refused("outside", to(edited, STAMP + 1), lambda: edited)
+    reads = iter([kept, edited])
+    refused("between", to(edited, STAMP + 1), lambda: next(reads))
+    edited.write.parquet(f"{folder}/data/2-torn/records")  # data without a manifest
+    refused("second", to(edited, STAMP + 1))
+    state = ledger_files.load(spark, folder)
+    heads = state["entries"].groupBy("deleted").agg(F.count(F.lit(1)).alias("n"), F.count("head").alias("revised")).select(F.when(F.col("deleted"), "deleted").otherwise("active").alias("name"), F.concat_ws(":", "n", "revised").alias("value"))
+    rows = state["records"].agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("records").alias("name"), "value")
+    return spark.createDataFrame(outcomes, "name string, value string").unionByName(heads).unionByName(rows)
+
+
+QUERIES = {f.__name__: f for f in (ledger_sync, ledger_status, ledger_restore, embedded_import, history_diff, human_decisions, joint_commit)}
 
 _H = """sha256('{"ENTRYTYPE":"' || entry_type || '","author":' || to_json(author) || CASE WHEN doi IS NULL THEN '' ELSE ',"doi":' || to_json(doi) END || CASE WHEN note IS NULL THEN '' ELSE ',"note":' || to_json(note) END || CASE WHEN title IS NULL THEN '' ELSE ',"title":' || to_json(title) END || ',"year":"' || %s || '"}')"""
 _LIFE = f"{BIBLIO}, h AS (SELECT *, {_H % 'year'} AS was, {_H % chr(10).join(['CASE WHEN seq % 4 = 1 THEN', chr(39) + '2030' + chr(39), 'ELSE year END'])} AS now FROM biblio)"
@@ -78,4 +129,12 @@ ORACLES = {
     "ledger_restore": f"""WITH {BIBLIO} SELECT entry_key, CASE WHEN seq % 4 = 1 AND seq % 10 NOT IN (3, 5) THEN '2030' ELSE year END AS year,
       (CASE WHEN seq % 10 = 3 THEN 2 WHEN seq % 4 = 1 AND seq % 10 = 5 THEN 2 WHEN seq % 4 = 1 AND seq % 10 <> 0 THEN 1 ELSE 0 END)::BIGINT AS revisions, false AS deleted FROM biblio""",
     "embedded_import": f"WITH {BIBLIO} SELECT entry_key, bibsource AS source, seq % 3 <> 2 AS sealed, coalesce(bibsource, '') AS integrity_source FROM biblio",
+    "history_diff": f"""WITH {BIBLIO} SELECT entry_key, CASE WHEN seq % 10 <> 3 THEN 'year' END AS field, CASE WHEN seq % 10 <> 3 THEN year END AS old, CASE WHEN seq % 10 <> 3 THEN '2030' END AS new, CASE WHEN seq % 10 = 3 THEN 'citation key not found' END AS error
+      FROM biblio WHERE seq % 10 = 3 OR (seq % 4 = 1 AND seq % 10 <> 0)""",
+    "human_decisions": f"""WITH {BIBLIO}, x AS (SELECT entry_key, seq, year, seq % 3 > 0 AS adopt, seq % 7 = 0 AS stale FROM biblio WHERE seq % 10 <> 0), y AS (SELECT *, CASE WHEN adopt AND stale THEN 'proposal is stale' END AS error FROM x)
+      SELECT entry_key, CASE WHEN error IS NULL THEN CASE WHEN adopt THEN 'adopted' ELSE 'rejected' END END AS outcome, error, CASE WHEN error IS NULL THEN 'r' || (seq % 4) END AS decided_by, adopt AND error IS NULL AS revised,
+      CASE WHEN adopt AND error IS NULL THEN '2040' WHEN stale THEN '1' ELSE year END AS year, adopt AND error IS NULL AS approved FROM y""",
+    "joint_commit": f"""WITH {BIBLIO}, v AS (SELECT unnest([['first', '1'], ['outside', 'the bibliography was edited outside; synchronise it first'], ['between', 'the bibliography was edited while it was changed; retry'], ['second', '2']]) AS v)
+      SELECT v[1] AS name, v[2] AS value FROM v UNION ALL SELECT 'records', CAST(count(*) AS VARCHAR) FROM biblio WHERE seq % 10 <> 3
+      UNION ALL SELECT 'active', count(*) || ':' || count(*) FILTER (seq % 4 = 1 AND seq % 10 <> 0) FROM biblio WHERE seq % 10 <> 3 UNION ALL SELECT 'deleted', count(*) || ':' || count(*) FROM biblio WHERE seq % 10 = 3""",
 }

@@ -21,24 +21,32 @@ def bibtex_scan(spark, sf_dir):
     n = F.col("p_partkey")
     text = F.concat(F.lit("@Book{p"), n, F.lit(",\n title = {{A} "), "p_name", F.lit("},\n PUBLISHER = pub # \" "), "p_brand", F.lit("\",\n month = Mar, year = "), (1990 + n % 30).cast("string"), F.lit(",\n}\n"))
     file = F.concat(F.lit("f"), n % 7)
-    macro = spark.range(7).select(F.concat(F.lit("f"), "id").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")).alias("at"), F.concat(F.lit("@string{pub = {House "), "id", F.lit("}}\n")).alias("text"))
+    macro = spark.range(7).select(F.concat(F.lit("f"), "id").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.lit(-1).cast("long").alias("row")).alias("at"), F.concat(F.lit("@string{pub = {House "), "id", F.lit("}}\n")).alias("text"))
     pieces = p.select(file.alias("file"), F.struct(F.lit(0).cast("long").alias("block"), n.alias("row")).alias("at"), text.alias("text")).unionByName(macro)
     r = bibtex.parse(pieces)
     return r.select("entry_key", "entry_type", cn.json_map(r.fields).alias("fields"))
 
 
 def bibtex_files(spark, sf_dir):
-    """Parts written as BibTeX files and read again: indented entries, two on a line, in parentheses, after free text."""
+    """Parts written as BibTeX files and read again: indented entries, two on a line, in parentheses, after free text, notes
+    with lines that begin with "@", and a macro made of another, which is defined anew at the end of each file."""
     p = table(spark, sf_dir, "part")
     n = F.col("p_partkey")
-    body = lambda key: F.concat(F.lit(key), n, F.lit(",\n title = {{A} "), "p_name", F.lit("}, PUBLISHER = pub # \" "), "p_brand", F.lit("\", month = Mar"))
+    note = F.when(n % 5 == 1, F.concat(F.lit(", note = {see\n@book{x, title = {"), "p_type", F.lit("}}\n@ home}"))).otherwise("")
+    body = lambda key: F.concat(F.lit(key), n, F.lit(",\n title = {{A} "), "p_name", F.lit("}, PUBLISHER = pub # \" "), "p_brand", F.lit("\", month = Mar"), note)
     braced = lambda key: F.concat(F.lit("@Book{"), body(key), F.lit(",\n}"))
-    text = F.when(n % 4 == 0, F.concat(F.lit("\t "), braced("p"))).when(n % 4 == 1, F.concat(braced("p"), F.lit(" "), braced("q"))).when(n % 4 == 2, F.concat(F.lit("@book("), body("p"), F.lit(")"))).otherwise(F.concat(F.lit("free (text), % with {signs\n"), braced("p"), F.lit("\n@comment{ @book{no} }")))
-    rows = p.select((n % 7).alias("file"), text.alias("value")).unionByName(spark.range(7).select(F.col("id").alias("file"), F.concat(F.lit("@string{pub = {House "), "id", F.lit("}}")).alias("value")))
+    text = F.when(n % 4 == 0, F.concat(F.lit("\t "), braced("p"))).when(n % 4 == 1, F.concat(braced("p"), F.lit(" "), braced("q"))).when(n % 4 == 2, F.concat(F.lit("@book("), body("p"), F.lit(")"))).otherwise(F.concat(F.lit("free (text), % with {signs}\n"), braced("p")))
+    files = 7 * (1 + p.count() // 20_000)
+    of = lambda k: F.concat(F.lit("House "), k)
+    rows = p.select((n % files).alias("file"), n.alias("at"), text.alias("value"))
+    for at, name, value in ((-2, "base", of(F.col("id").cast("string"))), (-1, "PUB", None), (1 << 40, "pub", F.lit("Another house"))):
+        definition = F.concat(F.lit("@string{pub = BASE # {,}}")) if value is None else F.concat(F.lit("@string{" + name + " = {"), value, F.lit("}}"))
+        rows = rows.unionByName(spark.range(files).select(F.col("id").alias("file"), F.lit(at).alias("at"), definition.alias("value")))
     path = shared_path(spark, "bibtex")
-    rows.repartition("file").write.partitionBy("file").text(path)
+    rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
     r = bibtex.checked(bibtex.read(spark, path))
-    return r.select("entry_key", "entry_type", cn.json_map(r.fields).alias("fields"))
+    house = F.regexp_replace(r.fields["publisher"], r"^House \d+,", "House,")
+    return r.select("entry_key", "entry_type", cn.json_map(pj.overlay(r.fields, F.create_map(F.lit("publisher"), house))).alias("fields"))
 
 
 def bibtex_marks(spark, sf_dir):
@@ -139,18 +147,22 @@ def markup_cleaned(spark, sf_dir):
 
 
 def bibliography_files(spark, sf_dir):
-    """A folder of files, some broken, some empty: entries and errors of each."""
+    """A folder of files, some broken, some empty: entries and errors of each. Tasks write the parts; the driver names them,
+    as many as the rows need, and makes the empty ones."""
     p = table(spark, sf_dir, "part")
     n, path = F.col("p_partkey"), shared_path(spark, "folder")
-    entry = F.concat(F.lit("@misc{p"), n, F.lit(", title = {"), "p_name", F.when(n % 5 == 2, "\n").otherwise("}}\n"))
-    # one file for each residue: written by hand, as folders of .bib files are
-    system, _ = files.spark_file(spark, path)
-    rows = p.select((n % 5).alias("f"), F.when(n % 5 == 4, "").otherwise(entry).alias("t"), n.alias("n")).filter("n <= 50").orderBy("f", "n").collect()
-    for f in range(5):
-        out = system.create(files.spark_file(spark, f"{path}/f{f}.BIB")[1], True)
-        out.write(bytearray("".join(r.t for r in rows if r.f == f).encode()))
-        out.close()
-    return files.scanned(spark, path).select(F.regexp_extract("file", r"(f\d)\.BIB$", 1).alias("file"), "entries", F.col("error").isNotNull().alias("broken"))
+    many = 5 * (1 + p.count() // 20_000)
+    entry = F.concat(F.lit("@misc{p"), n, F.lit(", title = {"), "p_name", F.when(n % many % 5 == 2, "").otherwise("}}"))
+    p.filter(n % many % 5 != 4).select((n % many).alias("f"), entry.alias("t")).repartition("f").write.partitionBy("f").text(f"{path}/parts")
+    system, folder = files.spark_file(spark, path)
+    for f in range(many):
+        to = files.spark_file(spark, f"{path}/f{f}.BIB")[1]
+        if f % 5 == 4:
+            system.create(to, True).close()
+            continue
+        for s in system.listStatus(files.spark_file(spark, f"{path}/parts/f={f}")[1]):
+            system.rename(s.getPath(), to)
+    return files.scanned(spark, path).select(F.regexp_extract("file", r"(f\d+)\.BIB$", 1).alias("file"), "entries", F.col("error").isNotNull().alias("broken"))
 
 
 def review_rows(spark, sf_dir):
@@ -171,8 +183,9 @@ QUERIES = {f.__name__: f for f in (bibtex_scan, bibtex_files, bibtex_marks, bibt
 _ENTRY = "' || chr(10) || '"
 _CLEAN = _json("author", "doi", "note", "title", "year", head="entry_type")
 _BOOK = "'book' AS entry_type, '{\"month\":\"3\",\"publisher\":' || to_json('House ' || (p_partkey % 7) || ' ' || p_brand) || ',\"title\":' || to_json('{A} ' || p_name) || '}' AS fields FROM part"
+_FILED = "'book' AS entry_type, '{\"month\":\"3\"' || CASE WHEN p_partkey % 5 = 1 THEN ',\"note\":' || to_json('see' || chr(10) || '@book{x, title = {' || p_type || '}}' || chr(10) || '@ home') ELSE '' END || ',\"publisher\":' || to_json('House, ' || p_brand) || ',\"title\":' || to_json('{A} ' || p_name) || '}' AS fields FROM part"
 ORACLES = {
-    "bibtex_files": f"SELECT 'p' || p_partkey AS entry_key, {_BOOK} UNION ALL SELECT 'q' || p_partkey, {_BOOK} WHERE p_partkey % 4 = 1",
+    "bibtex_files": f"SELECT 'p' || p_partkey AS entry_key, {_FILED} UNION ALL SELECT 'q' || p_partkey, {_FILED} WHERE p_partkey % 4 = 1",
     "bibtex_marks": """SELECT p_partkey, '% head' || chr(10) || '@book{a' || p_partkey || ',' || chr(10) || '  title = {' || p_name || '}' || CASE WHEN p_partkey % 2 = 0 THEN ',' ELSE ',' || chr(10) || '  integrity = {old}' END || chr(10) || '}' || chr(10) || chr(10)
       || CASE WHEN p_partkey % 2 = 0 THEN '@book{b' || p_partkey || ',' || chr(10) || '  year = 1999,' || chr(10) || '  integrity = {new},' || chr(10) || '}' ELSE '@misc{b' || p_partkey || ', year = 2000}' END || chr(10) || '% tail' || chr(10) AS file FROM part""",
     "bibtex_scan": "SELECT 'p' || p_partkey AS entry_key, 'book' AS entry_type, '{\"month\":\"3\",\"publisher\":' || to_json('House ' || (p_partkey % 7) || ' ' || p_brand) || ',\"title\":' || to_json('{A} ' || p_name) || ',\"year\":\"' || (1990 + p_partkey % 30) || '\"}' AS fields FROM part",
@@ -196,7 +209,7 @@ ORACLES = {
       WHEN doc_id % 3 = 0 THEN 'unsupported' WHEN doc_id % 5 = 0 THEN 'search-error' WHEN doc_id % 4 > 0 THEN 'needs-selection' ELSE 'unsupported' END AS status FROM documents""",
     "reviewed_report": """SELECT 'd' || doc_id AS entry_key, CASE WHEN doc_id % 5 = 0 THEN 'the reviewed report has no replacement' WHEN doc_id % 3 = 0 OR doc_id % 6 = 1 THEN 'the entry or what the provider returns has changed; review again' END AS error FROM documents""",
     "markup_cleaned": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN trim('A ' || p_name || ' ') WHEN 1 THEN '<b><i>' || p_name || '</b></i>' WHEN 2 THEN 'x < y & ' || p_name || '2' WHEN 3 THEN 'a <b>' || p_name WHEN 4 THEN trim(p_name) ELSE 'AT&T ' || p_name END AS text FROM part""",
-    "bibliography_files": "SELECT 'f' || (p_partkey % 5) AS file, CASE WHEN p_partkey % 5 IN (2, 4) THEN 0 ELSE count(*) END::BIGINT AS entries, p_partkey % 5 = 2 AS broken FROM part WHERE p_partkey <= 50 GROUP BY p_partkey % 5",
+    "bibliography_files": "WITH m AS (SELECT 5 * (1 + count(*) // 20000) AS many FROM part) SELECT 'f' || (p_partkey % many) AS file, CASE WHEN p_partkey % many % 5 IN (2, 4) THEN 0 ELSE count(*) END::BIGINT AS entries, p_partkey % many % 5 = 2 AS broken FROM part, m GROUP BY p_partkey % many",
     "review_rows": f"WITH {BIBLIO} SELECT entry_key, nullif(trim(title), '') AS title, author AS authors, year, CASE WHEN doi IS NOT NULL THEN 'https://doi.org/' || doi END AS url, sha256({_CLEAN}) AS content_hash FROM biblio",
     "stored_sources": f"""WITH {BIBLIO}, s AS (SELECT seq, seq % 4 = 0 AS stored, entry_key, CASE WHEN seq % 3 = 0 THEN 'crossref' ELSE 'doi' END AS asked FROM biblio)
       SELECT seq, CASE WHEN stored THEN 'doi' ELSE 'crossref' END AS provider, CASE WHEN stored THEN entry_key END AS id, asked, CASE WHEN stored AND asked = 'doi' THEN entry_key END AS asked_id FROM s""",

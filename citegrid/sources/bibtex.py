@@ -2,21 +2,25 @@
 
 Files are read as text split where a line begins with ``@``, so one large file is read by many tasks like any text. A
 small parser finds the entries of a piece, indented ones and several on a line too; text between entries is comment, and
-an ``@`` that begins no whole entry is an error. @string macros, which hold for their whole file, are joined by file. A
-value must not have a line that begins with ``@``: its entry would be cut there, which is an error too.
+an ``@`` that begins no whole entry is an error. A value with a line that begins with ``@`` is cut there: files with
+pieces whose braces do not match are put together again, piece by piece in file order, as far as an entry goes. @string
+macros hold from where they stand on, until they are defined anew, and may be made of earlier ones.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citegrid.functions.vocab import SYSTEM_TYPES
+from citegrid.storage import checkpoint
 
 #: Months as macros.
 MONTHS = {m: str(i) for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
@@ -33,6 +37,10 @@ class BibtexError(ValueError):
     pass
 
 
+class Unfinished(BibtexError):
+    """The text ends within an entry."""
+
+
 def _value(text: str, at: int) -> tuple[list[dict], int]:
     """The tokens of a value, parted by #, and where it ends."""
     tokens = []
@@ -40,7 +48,7 @@ def _value(text: str, at: int) -> tuple[list[dict], int]:
         while at < len(text) and text[at].isspace():
             at += 1
         if at >= len(text):
-            raise BibtexError("a value is missing")
+            raise Unfinished("a value is missing")
         if text[at] == "{":
             end = _closing(text, at)
             tokens.append({"text": text[at + 1 : end], "is_macro": False})
@@ -51,7 +59,7 @@ def _value(text: str, at: int) -> tuple[list[dict], int]:
                 depth += (text[end] == "{") - (text[end] == "}")
                 end += 2 if text[end] == "\\" else 1
             if end >= len(text):
-                raise BibtexError("a quoted value does not end")
+                raise Unfinished("a quoted value does not end")
             tokens.append({"text": text[at + 1 : end], "is_macro": False})
             at = end + 1
         else:
@@ -81,7 +89,7 @@ def _closing(text: str, at: int, close: str = "}") -> int:
         if close == "}" and not depth:
             return at
         at += 1
-    raise BibtexError("braces do not match")
+    raise Unfinished("braces do not match")
 
 
 def _entry(text: str, head: re.Match) -> tuple[dict, int]:
@@ -103,14 +111,18 @@ def _entry(text: str, head: re.Match) -> tuple[dict, int]:
             return {"kind": kind, "key": key, "fields": fields, "error": None}, at + 1
         n = _NAME.match(text, at)
         if not n:
-            raise BibtexError(f"a field is expected at character {at}")
+            raise (Unfinished if at >= len(text) else BibtexError)(f"a field is expected at character {at}")
         tokens, at = _value(text, n.end())
         fields.append({"name": n[1].lower(), "tokens": tokens})
 
 
-def entries_of(text: str) -> list[dict]:
-    """The entries of a text: kind, key, fields as tokens; comments and preambles are none. From the first that is broken
-    on there is only its error."""
+def _broken(error: str) -> dict:
+    return {"kind": "", "key": None, "fields": [], "error": error}
+
+
+def entries_and_rest(text: str) -> tuple[list[dict], str | None, str | None]:
+    """The entries of a text: kind, key, fields as tokens; comments and preambles are none. Then the text of the last one,
+    if it ends within it, and what is wrong there. From the first that is broken on there is only its error."""
     out, at = [], 0
     while (at := text.find("@", at)) >= 0:
         try:
@@ -118,11 +130,19 @@ def entries_of(text: str) -> list[dict]:
             if not head:
                 raise BibtexError(f"no entry begins at {text[at : at + 20]!r}")
             entry, at = _entry(text, head)
+        except Unfinished as e:
+            return out, text[at:], str(e)
         except BibtexError as e:
-            return [*out, {"kind": "", "key": None, "fields": [], "error": str(e)}]
+            return [*out, _broken(str(e))], None, None
         if entry["kind"] is not None:
             out.append(entry)
-    return out
+    return out, None, None
+
+
+def entries_of(text: str) -> list[dict]:
+    """The entries of a whole text."""
+    out, rest, error = entries_and_rest(text)
+    return out if rest is None else [*out, _broken(error)]
 
 
 @F.pandas_udf(T.ArrayType(_ENTRY))
@@ -147,9 +167,84 @@ def _entries_of_pieces(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]
 _entries, _entries_of_pieces = _entries.asNondeterministic(), _entries_of_pieces.asNondeterministic()
 
 
+_OPEN, _SHUT = r"(?<!\\)(?:\\\\)*\{", r"(?<!\\)(?:\\\\)*\}"
+
+
+def _cut(text: Column) -> Column:
+    """Whether a piece may end within an entry: its braces do not match, or an entry in parentheses does not end with one."""
+    return (F.regexp_count(text, F.lit(_OPEN)) != F.regexp_count(text, F.lit(_SHUT))) | (F.rlike(text, F.lit(r"(?s)^@?\s*[A-Za-z][\w-]*\s*\(")) & ~F.rlike(text, F.lit(r"(?s)\)\s*$")))
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, at, text) in file order -> the same, texts ending with an entry: what ends within one takes in the pieces that
+    follow until it is whole. One entry is in memory at a time; an entry that never ends takes in the rest of its file."""
+    now, at, held, depth = None, None, [], 0
+    made: list[tuple] = []
+
+    def level(text: str) -> int:
+        return sum((c[-1] == "{") - (c[-1] == "}") for c in _BRACE.findall(text) if len(c) % 2)
+
+    def flush() -> None:
+        if held:
+            made.append((now, at, "".join(held)))
+            held.clear()
+
+    for batch in batches:
+        for file, place, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if file != now:
+                flush()
+            begins = "@" if file == now else ""  # a file's first piece was not cut behind one
+            if held:
+                held.append("\n@" + text)
+            else:
+                now, at, depth = file, place, 0
+                held.append(begins + text)
+            depth += level(held[-1])
+            if depth <= 0 and entries_and_rest("".join(held))[1] is None:
+                flush()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], batch.schema.field(i).type) for i in range(3)], names=batch.schema.names)
+            made.clear()
+    flush()
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], _AT), pa.array([m[2] for m in made])], names=["file", "at", "text"])
+
+
+_BRACE = re.compile(r"\\*[{}]")
+_AT = pa.struct([("block", pa.int64()), ("row", pa.int64())])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _macro_values(definitions: pd.Series) -> pd.Series:
+    """The values of a file's macros, JSON of (name, tokens) in file order, each made of texts and of earlier ones; null with
+    an unknown one."""
+
+    def of(text: str) -> list[str | None]:
+        known, out = dict(MONTHS), []
+        for d in json.loads(text):
+            parts = [known.get(t["text"].lower()) if t["is_macro"] else t["text"] for t in d.get("tokens", [])]
+            out.append(None if None in parts else "".join(parts))
+            known[d["name"]] = out[-1]
+        return out
+
+    return pd.Series(list(map(of, definitions)), dtype=object)
+
+
+def _macros(entries: DataFrame) -> DataFrame:
+    """file -> ``macros``: of each name its values with where they are defined, in file order."""
+    each = entries.filter("e.kind = 'string'").select("file", "at", F.posexplode("e.fields").alias("i", "f"))
+    listed = each.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "i", F.col("f.name").alias("name"), F.col("f.tokens").alias("tokens")))).alias("d"))
+    values = listed.select("file", "d", _macro_values(F.to_json(F.transform("d", lambda x: F.struct(x["name"].alias("name"), x["tokens"].alias("tokens"))))).alias("v"))
+    defined = values.select("file", F.posexplode("d").alias("k", "x"), "v").select("file", F.struct(F.col("x.at").alias("at"), "k", F.get("v", F.col("k")).alias("value")).alias("x"), F.col("x.name").alias("name"))
+    names = defined.groupBy("file", "name").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return names.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "x"))).alias("macros"))
+
+
 def _resolved(macros: Column) -> Column:
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    text = lambda t: F.when(~t["is_macro"], t["text"]).otherwise(F.coalesce(F.try_element_at(macros, F.lower(t["text"])), F.try_element_at(months, F.lower(t["text"])), F.raise_error(F.concat(F.lit("unknown BibTeX macro: "), t["text"])).cast("string")))
+    own = lambda name: F.try_element_at(F.filter(F.try_element_at(macros, name), lambda x: x["at"] < F.col("at")), F.lit(-1))["value"]
+    unknown = lambda t: F.raise_error(F.concat(F.lit("unknown BibTeX macro: "), t["text"])).cast("string")
+    text = lambda t: F.when(~t["is_macro"], t["text"]).otherwise(F.coalesce(own(F.lower(t["text"])), F.try_element_at(months, F.lower(t["text"])), unknown(t)))
     return F.transform("e.fields", lambda f: F.struct(f["name"].alias("key"), F.array_join(F.transform(f["tokens"], text), "").alias("value")))
 
 
@@ -165,10 +260,8 @@ def parse(texts: DataFrame) -> DataFrame:
 def _records(parsed: DataFrame) -> DataFrame:
     e = parsed.select("file", "at", F.posexplode("es").alias("n", "e")).withColumn("at", F.struct("at.*", F.col("n").alias("entry")))
     e = e.withColumn("e", F.when(F.col("e.error").isNull(), F.col("e")).otherwise(F.raise_error(F.concat(F.lit("BibTeX entry in "), "file", F.lit(": "), "e.error")).cast(_ENTRY)))
-    text = F.array_join(F.transform("f.tokens", lambda t: t["text"]), "")
-    macros = e.filter("e.kind = 'string'").select("file", F.explode("e.fields").alias("f")).groupBy("file", F.col("f.name").alias("name")).agg(F.first(text).alias("value"))
-    macros = macros.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("macros"))
-    out = e.filter("e.kind <> 'string'").join(macros, "file", "left").withColumn("macros", F.coalesce("macros", F.create_map().cast("map<string,string>")))
+    none = F.create_map().cast("map<string,array<struct<at:struct<block:bigint,row:bigint,entry:int>,k:int,value:string>>>")
+    out = e.filter("e.kind <> 'string'").join(_macros(e), "file", "left").withColumn("macros", F.coalesce("macros", none))
     pairs = _resolved(F.col("macros"))
     last = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
     return out.select("file", "at", F.col("e.kind").alias("entry_type"), F.col("e.key").alias("entry_key"), last.alias("fields"))
@@ -176,7 +269,13 @@ def _records(parsed: DataFrame) -> DataFrame:
 
 def _parsed(spark: SparkSession, *paths: str) -> DataFrame:
     raw = spark.read.option("lineSep", "\n@").text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.col("value").alias("text"))
-    return raw.select("file", "at", _entries_of_pieces(F.col("file"), F.col("at.block"), F.col("text")).alias("es"))
+    pieces = raw.select("file", "at", _entries_of_pieces(F.col("file"), F.col("at.block"), F.col("text")).alias("es"))
+    cut = checkpoint(raw.filter(_cut(F.col("text"))).select(F.col("file").alias("_file")).distinct())
+    if cut.isEmpty():
+        return pieces
+    again = raw.join(cut, F.col("file") == F.col("_file"), "left_semi")
+    whole = again.repartition("file").sortWithinPartitions("file", "at").mapInArrow(_put_together, "file string, at struct<block:bigint,row:bigint>, text string")
+    return pieces.join(cut, F.col("file") == F.col("_file"), "left_anti").unionByName(whole.select("file", "at", _entries(F.col("text")).alias("es")))
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
@@ -233,7 +332,7 @@ def field_spans(text: str) -> dict[str, tuple[int, int, int, int]]:
         start = at
         n = _NAME.match(text, at)
         if not n:
-            raise BibtexError(f"a field is expected at character {at}")
+            raise (Unfinished if at >= len(text) else BibtexError)(f"a field is expected at character {at}")
         _, end = _value(text, n.end())
         while text[end - 1].isspace():
             end -= 1
