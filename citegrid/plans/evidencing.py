@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citegrid.functions import canonical as cn
 from citegrid.functions import projections as pj
 from citegrid.functions import webscan
+from citegrid.functions.vocab import CONTROLLED_FIELDS
 from citegrid.operators import evidence, ledger, lifecycle, proposals, reconcile, resolve
 from citegrid.plans.lifecycle import _H
 from citegrid.plans.views import BIBLIO, biblio, table
@@ -107,12 +108,40 @@ def atom_identifiers(spark, sf_dir):
     return p.select("p_partkey", F.array_join(webscan.atom_dois(feed), ",").alias("dois"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_chain, identifier_precedence, approvals_made, note_payloads, source_codec, hydrated_records, proposal_life, atom_identifiers)}
+def evidence_replay(spark, sf_dir):
+    """Receipts that hold the responses they were made of, two of three from one provider; some are tampered with."""
+    b = biblio(spark, sf_dir)
+    i, title = F.col("seq"), F.coalesce(F.trim("title"), F.lit("?"))
+    work = F.to_json(F.struct(F.struct(F.concat(F.lit("10.1000/D"), i).alias("DOI"), F.lit("journal-article").alias("type"), F.array(F.lit("T"), title).alias("title"), F.array(F.struct(F.lit("Doe").alias("family"), F.lit("J").alias("given"))).alias("author")).alias("message")))
+    value = lambda c: F.struct(c.alias("value"))
+    note = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("n"), i).alias("id"), F.struct(value(title).alias("title"), value(F.array(F.lit("Jane Doe"))).alias("authors"), value(F.lit("V 2020")).alias("venue")).alias("content"))).alias("notes")))
+    is_work = i % 3 > 0
+    rows = b.select("seq", is_work.alias("work"), F.when(is_work, work).otherwise(note).alias("body"), F.when(is_work, F.concat(F.lit("10.1000/d"), i)).otherwise(F.concat(F.lit("n"), i)).alias("id"))
+    records = providers.crossref_lookup(rows.filter("work")).select("seq", "body", "id", "record").unionByName(providers.openreview_notes(rows.filter("NOT work")).select("seq", "body", "id", "record"))
+    r = F.col("record")
+    own = cn.only(pj.fields_of_literature(r), CONTROLLED_FIELDS)
+    receipt = evidence.provider_receipt(r["provider"], F.col("id"), F.lit("u"), F.lit("application/json"), F.col("body"), pj.entry_type_of(r["record_type"]), own)
+    c = checkpoint(records.withColumn("receipt", receipt))
+    k = F.col("seq") % 8
+    more = F.create_map(
+        F.lit("response"), F.when(k == 1, F.concat(F.base64(F.encode("body", "UTF-8")), F.lit("AAAA"))).when(k % 2 == 0, F.col("body")).otherwise(F.base64(F.encode("body", "UTF-8"))),
+        F.lit("responseencoding"), F.when(k == 3, "rot13").when(k % 2 == 0, "UTF-8").otherwise("base64"),
+        F.lit("providerid"), F.when(k == 5, "nobody").otherwise(F.col("id")), F.lit("projectionsha256"), F.when(k == 7, F.repeat(F.lit("0"), 64)).otherwise(F.col("receipt.fields")["projectionsha256"]),
+    )
+    nodes = c.select("seq", F.concat(F.lit("e"), "seq").alias("entry_key"), pj.overlay(F.col("receipt.fields"), more).alias("fields"))
+    back = providers.replay(nodes.select("entry_key", "fields"))
+    return back.select(F.substring("entry_key", 2, 20).cast("long").alias("seq"), "provider", F.col("record.id").alias("id"), F.col("record.title").alias("title"), "error")
+
+
+QUERIES = {f.__name__: f for f in (evidence_replay, evidence_chain, identifier_precedence, approvals_made, note_payloads, source_codec, hydrated_records, proposal_life, atom_identifiers)}
 
 _HASH = _H % "year"
 _WITH = f"WITH {BIBLIO}, h AS (SELECT *, {_HASH} AS hash FROM biblio)"
 _BATCH = "left(sha256('7:me'), 16)"
+_REPLAY = "CASE doc_id % 8 WHEN 1 THEN 'the stored response has another hash' WHEN 3 THEN 'the response''s encoding is unknown' WHEN 5 THEN CASE WHEN doc_id % 3 > 0 THEN 'the stored response is of another record' ELSE 'the stored response holds no record' END WHEN 7 THEN 'the stored response gives other fields' END"
 ORACLES = {
+    "evidence_replay": f"""SELECT doc_id AS seq, CASE WHEN doc_id % 3 > 0 THEN 'crossref' ELSE 'openreview' END AS provider, CASE WHEN {_REPLAY} IS NULL THEN CASE WHEN doc_id % 3 > 0 THEN '10.1000/D' || doc_id ELSE 'n' || doc_id END END AS id,
+      CASE WHEN {_REPLAY} IS NULL THEN CASE WHEN doc_id % 3 > 0 THEN 'T' ELSE coalesce(trim(split_part(text, chr(10), 1)), '?') END END AS title, {_REPLAY} AS error FROM documents""",
     "evidence_chain": """SELECT doc_id AS seq, CASE doc_id % 12 WHEN 1 THEN 'fields no longer match the recorded provider projection' WHEN 2 THEN 'selection evidence not found' WHEN 3 THEN 'resolution evidence not found' WHEN 4 THEN 'search evidence not found'
       WHEN 5 THEN 'unsupported selection method' WHEN 6 THEN 'evidence not found' WHEN 7 THEN 'provider identity no longer matches the receipt' WHEN 8 THEN 'selected id is not a recorded candidate' WHEN 9 THEN 'signals do not match the identifier'
       WHEN 10 THEN 'resolved DOI does not match provider record id' END AS error FROM documents""",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.functions import canonical as cn
 from citegrid.functions import projections as pj
 from citegrid.functions.text import clamp_limit
 from citegrid.functions.vocab import SYSTEM_TYPES
@@ -48,12 +49,51 @@ def openreview_notes(responses: DataFrame, body: str = "body") -> DataFrame:
 def openreview_records(responses: DataFrame, body: str = "body") -> DataFrame:
     """(id, record) of the notes of responses: a note's embedded BibTeX counts before its own fields, with the note's URL.
 
-    Note IDs name notes: of several responses with a note one is taken.
+    Note IDs name notes: of several responses with a note that of the smallest hash is taken.
     """
-    notes = openreview_notes(responses.select(body), body).select(F.col("record.id").alias("id"), "bibtex", "record").dropDuplicates(["id"])
+    notes = openreview_notes(responses.select(body), body).groupBy(F.col("record.id").alias("id")).agg(F.min_by(F.struct("bibtex", "record"), F.sha2(body, 256)).alias("n"))
+    return _embedded(notes.select("id", F.col("id").alias("of"), "n.*")).select("id", "record")
+
+
+def _embedded(notes: DataFrame) -> DataFrame:
+    """notes (id, of: a key of its own, bibtex, record) with the record of the embedded BibTeX where there is one."""
     at = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))
-    entries = bibtex.parse(notes.filter("bibtex IS NOT NULL").select(F.col("id").alias("file"), at.alias("at"), F.col("bibtex").alias("text"))).filter(~F.col("entry_type").isin(*SYSTEM_TYPES))
-    first = entries.groupBy(F.col("file").alias("_id")).agg(F.min_by(F.struct("entry_type", "fields"), "at.entry").alias("_e"))
+    entries = bibtex.parse(notes.filter("bibtex IS NOT NULL").select(F.col("of").alias("file"), at.alias("at"), F.col("bibtex").alias("text"))).filter(~F.col("entry_type").isin(*SYSTEM_TYPES))
+    first = entries.groupBy(F.col("file").alias("_of")).agg(F.min_by(F.struct("entry_type", "fields"), "at.entry").alias("_e"))
     url = F.concat(F.lit("https://openreview.net/forum?id="), "id")
     embedded = pj.literature_of_fields(F.lit("openreview"), F.col("id"), F.col("_e.entry_type"), F.col("_e.fields")).withField("url", url)
-    return notes.join(first, F.col("id") == F.col("_id"), "left").select("id", F.when(F.col("_e").isNotNull(), embedded).otherwise(F.col("record")).alias("record"))
+    return notes.join(first, F.col("of") == F.col("_of"), "left").select("id", "of", F.when(F.col("_e").isNotNull(), embedded).otherwise(F.col("record")).alias("record"))
+
+
+#: How a receipt may hold its response.
+ENCODINGS = ("base64", "utf-8")
+
+
+def replay(receipts: DataFrame) -> DataFrame:
+    """Provider receipts (entry_key, fields) with a stored response: entry_key, provider, record (null with an error), error.
+
+    The response is decoded, must have the receipt's hash, and is projected anew by its provider's projection; the record
+    must be the receipt's and its controlled fields must hash to what the receipt recorded. Receipts without a response, and
+    other evidence, have no row. Keys are distinct.
+    """
+    f = F.col("fields")
+    held = receipts.filter((f["kind"] == "provider") & f["response"].isNotNull())
+    encoding = F.lower(F.coalesce(f["responseencoding"], F.lit("utf-8")))
+    data = F.when(encoding == "base64", F.try_to_binary(f["response"], F.lit("base64"))).when(encoding == "utf-8", F.encode(f["response"], "UTF-8"))
+    r = held.select("entry_key", "fields", F.lower(f["provider"]).alias("provider"), encoding.isin(*ENCODINGS).alias("_known"), data.alias("_data")).withColumn("body", F.try_validate_utf8(F.col("_data").cast("string")))
+    works = crossref_lookup(r.filter(F.col("provider").isin("crossref", "doi")).withColumn("body", F.when(F.col("provider") == "doi", F.concat(F.lit('{"message":'), "body", F.lit("}"))).otherwise(F.col("body"))))
+    works = works.select("entry_key", F.col("record").withField("provider", F.col("provider")).alias("record"))
+    notes = openreview_notes(r.filter("provider = 'openreview'").select("entry_key", "fields", "body")).filter(F.col("record")["id"] == F.col("fields")["providerid"])
+    notes = notes.groupBy("entry_key").agg(F.min_by(F.struct("bibtex", "record"), F.coalesce("bibtex", F.lit(""))).alias("n")).select(F.col("n.record.id").alias("id"), F.col("entry_key").alias("of"), "n.bibtex", "n.record")
+    found = works.unionByName(_embedded(notes).select(F.col("of").alias("entry_key"), "record")).withColumnsRenamed({"entry_key": "_k", "record": "_record"})
+    j = r.join(found, F.col("entry_key") == F.col("_k"), "left")
+    kind, own = pj.entry_type_of(F.col("_record")["record_type"]), pj.fields_of_literature(F.col("_record"))
+    error = (
+        F.when(~F.col("provider").isin(*PROVIDERS), "the provider is unknown").when(~F.col("_known"), "the response's encoding is unknown")
+        .when(F.col("_data").isNull() | ~F.sha2("_data", 256).eqNullSafe(f["responsesha256"]), "the stored response has another hash")
+        .when(F.col("_record").isNull(), "the stored response holds no record")
+        .when(F.lower(F.col("_record")["id"]) != F.lower(f["providerid"]), "the stored response is of another record")
+        .when(f["projectionsha256"].isNotNull() & (cn.controlled_hash(kind, own) != f["projectionsha256"]), "the stored response gives other fields")
+    )
+    j = j.withColumn("error", error)
+    return j.select("entry_key", "provider", F.when(F.col("error").isNull(), F.col("_record")).alias("record"), "error")

@@ -23,9 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that shared_path() gave, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, for tables between steps; see discard_intermediates()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Delete what stands under the paths of shared_path(). Results are lazy and read from there, so this is for the caller,
+    once the results have been written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for made in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
