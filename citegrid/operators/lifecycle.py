@@ -97,7 +97,7 @@ def edit(before: dict[str, DataFrame], records: DataFrame, operation: str, actor
 
     Of an entry whose state changes, or that goes or comes back, what it was becomes a revision, which is its new head;
     one that goes leaves a tombstone. A new entry makes no revision. IDs are the shortest prefixes, of eight digits or
-    more, that no other revision's hash begins with.
+    more, that are no ID yet, in the order of keys.
     """
     entries, fresh = before["entries"], capture(records, before["entries"])
     active = entries.filter(~F.col("deleted")).select("entry_key")
@@ -112,7 +112,7 @@ def edit(before: dict[str, DataFrame], records: DataFrame, operation: str, actor
     snapshot, state = state_json()
     made = was.select(F.col("entry_key").alias("target"), F.col("head").alias("previous"), F.lit(operation).alias("operation"), F.lit(actor).alias("actor"), F.lit(timestamp).cast("long").alias("timestamp"), snapshot.alias("snapshot"), state.alias("state"), F.col("entry_key").alias("snapshot_key"), "source", F.struct(*[n.split()[0] for n in ENTRY.split(", ")]).alias("entry"))
     made = ledger.hashed(made)
-    ids = ledger.shortest_ids(before["revisions"].select(F.col("revision_sha256").alias("sha256")).unionByName(made.select(F.col("revision_sha256").alias("sha256")))).withColumnRenamed("sha256", "_sha")
+    ids = ledger.unused_ids(before["revisions"], made.select(F.col("revision_sha256").alias("sha256"), "target"), "target").withColumnRenamed("sha256", "_sha")
     made = checkpoint(made.join(ids, F.col("revision_sha256") == F.col("_sha")).drop("_sha"))
     heads = made.select(F.col("target").alias("_t"), F.col("id").alias("_id"))
     joined = both.join(heads, F.coalesce("n.entry_key", "o.entry_key") == F.col("_t"), "left")

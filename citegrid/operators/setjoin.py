@@ -2,7 +2,8 @@
 
 Tokens are ordered by how many sets hold them, the rarest first. Two sets that are similar enough share a token among the
 first few of each (their prefixes), so sets meet on these only; where in both sets a shared token stands bounds how many
-they can share in all; and what they share within the prefixes bounds it once more, before a set is looked at as a whole.
+they can share in all; so does a bitmap of 256 bits that each set carries, as a token that only one of two sets has can
+differ in one bit at most; and what they share within the prefixes bounds it once more, before a set is looked at as a whole.
 A token that many sets have in their prefixes is split into parts: each set of one side is in one part, each of the other
 in all, so no task gets all sets of a token.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 EPS = 1e-9
 #: Sets of one token that are joined in one part, on average.
 PART_SETS = 2048
+#: 64-bit words of the bitmap of a set.
+MAP_WORDS = 4
 
 
 def _least_shared(n: Column, least: float) -> Column:
@@ -23,12 +26,19 @@ def _least_shared(n: Column, least: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(least / (2 - least) * n - EPS))
 
 
+def _bitmap(tokens: Column) -> Column:
+    """A bit for each token, by its hash, in MAP_WORDS longs."""
+    bits = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(64 * MAP_WORDS)).cast("int"))
+    word = lambda w: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda m, b: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+    return F.array(*[word(w) for w in range(MAP_WORDS)])
+
+
 def _prefixes(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(id, tokens) -> (id, n, at, token): the tokens of each prefix and their places, counted from 1."""
-    each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    known = each.join(frequency, "token", "left").select("id", "n", "token", F.coalesce("df", F.lit(0)).alias("df"))
+    """(id, tokens) -> (id, n, map, at, token): the tokens of each prefix and their places, counted from 1."""
+    each = sets.select("id", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("map"), F.explode("tokens").alias("token"))
+    known = each.join(frequency, "token", "left").select("id", "n", "map", "token", F.coalesce("df", F.lit(0)).alias("df"))
     placed = known.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    return placed.filter((F.col("at") <= F.col("n") - _least_shared(F.col("n"), least) + 1) & (F.col("df") > 0)).select("id", "n", "at", "token")
+    return placed.filter((F.col("at") <= F.col("n") - _least_shared(F.col("n"), least) + 1) & (F.col("df") > 0)).select("id", "n", "map", "at", "token")
 
 
 def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
@@ -45,14 +55,16 @@ def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFr
     b = _prefixes(held, frequency, least)
     a = b if alone else _prefixes(left, frequency, least)
     parts = b.groupBy("token").agg((1 + F.floor(F.count(F.lit(1)) / PART_SETS)).cast("int").alias("parts"))
-    b = b.join(parts, "token").select(F.col("token").alias("_t"), F.expr("pmod(xxhash64(id), parts)").cast("int").alias("_p"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"))
-    a = a.join(parts, "token").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("x"), "n", F.col("at").alias("i"))
+    b = b.join(parts, "token").select(F.col("token").alias("_t"), F.expr("pmod(xxhash64(id), parts)").cast("int").alias("_p"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("map").alias("map_y"))
+    a = a.join(parts, "token").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("x"), "n", F.col("at").alias("i"), F.col("map").alias("map_x"))
     # with n and m tokens they must share so many; as the i-th of one and the j-th of the other is shared, so many they can
     need = F.ceil(least / 2 * (F.col("n") + F.col("m")) - EPS)
     can = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     share = least / (2 - least)
     sizes = (F.col("m") >= share * F.col("n") - EPS) & (F.col("n") >= share * F.col("m") - EPS)
-    meet = (F.col("token") == F.col("_t")) & (F.col("part") == F.col("_p")) & sizes & (can >= need)
+    apart = sum((F.bit_count(F.get("map_x", F.lit(w)).bitwiseXOR(F.get("map_y", F.lit(w)))) for w in range(MAP_WORDS)), F.lit(0))
+    alike = F.col("n") + F.col("m") - apart >= 2 * need
+    meet = (F.col("token") == F.col("_t")) & (F.col("part") == F.col("_p")) & sizes & (can >= need) & alike
     if alone:
         meet = meet & (F.col("x") < F.col("y"))
     found = a.join(b, meet).groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))

@@ -9,6 +9,7 @@ from citegrid.functions import canonical as cn
 from citegrid.operators import evidence, ledger, linkage, proposals, status
 from citegrid.plans.identity import _CANON
 from citegrid.sources import bibtex
+from citegrid.storage import checkpoint
 from citegrid.plans.views import BIBLIO, TOKENS, WORDS, biblio, table
 
 
@@ -138,6 +139,13 @@ def revision_prefix(spark, sf_dir):
     return ledger.by_prefix(wanted, h.select(F.concat(F.lit("rev:"), "sha256").alias("id")))
 
 
+def unused_ids(spark, sf_dir):
+    """IDs of two digits or more for the hashes of documents in two commits, each in the order of their numbers."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws(":", "doc_id", "lang"), 256).alias("sha256"))
+    first = checkpoint(ledger.unused_ids(spark.createDataFrame([], "id string"), d.filter("doc_id % 2 = 0"), "doc_id", 2))
+    return first.unionByName(ledger.unused_ids(first, d.filter("doc_id % 2 = 1"), "doc_id", 2))
+
+
 def shortest_ids(spark, sf_dir):
     return ledger.shortest_ids(_hashes(spark, sf_dir), least=4)
 
@@ -234,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         trust_status, status_summary, readiness, pending_paths, next_actions, browser_list, evidence_trace, duplicate_keys, lock_consistency, dangling_refs, history_log, revision_counts, version_chain, restore_point,
-        revision_prefix, shortest_ids, edit_revisions, ledger_validation, match_candidates, unique_adoptable, adoption_blocker, provider_fallback, proposal_decisions,
+        revision_prefix, shortest_ids, unused_ids, edit_revisions, ledger_validation, match_candidates, unique_adoptable, adoption_blocker, provider_fallback, proposal_decisions,
     )
 }
 
@@ -274,6 +282,10 @@ ORACLES = {
     "restore_point": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-06-01') WHERE k = 1",
     "revision_prefix": f"""WITH {_H}, w AS (SELECT left(x, 10) AS p FROM h UNION SELECT left(x, 5) FROM h UNION SELECT left(x, 9) || 'zz' FROM h), g AS (SELECT p, count(x) AS n, min('rev:' || x) AS id FROM w LEFT JOIN h ON left(x, 10) = p GROUP BY p)
       SELECT p AS prefix, CASE WHEN n = 1 THEN id END AS id, CASE WHEN length(p) < 8 THEN 'prefix is too short' WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'ambiguous' END AS error FROM g""",
+    "unused_ids": """WITH RECURSIVE x AS (SELECT sha256(concat_ws(':', doc_id, lang)) AS h, row_number() OVER (ORDER BY doc_id % 2, doc_id) AS k FROM documents),
+      f AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS h, NULL::VARCHAR AS d, []::VARCHAR[] AS used UNION ALL
+        SELECT y.k, y.h, y.d, list_append(y.used, y.d) FROM (SELECT x.k, x.h, f.used, list_filter(list_transform(range(2, 65), lambda n: left(x.h, n)), lambda p: NOT list_contains(f.used, p))[1] AS d FROM f JOIN x ON x.k = f.k + 1) y)
+      SELECT h AS sha256, 'rev:' || d AS id FROM f WHERE k > 0""",
     "shortest_ids": f"""WITH {_H}, c AS (SELECT x, unnest(range(4, 65)) AS n FROM h), g AS (SELECT x, n, count(*) OVER (PARTITION BY left(x, n::INT)) AS k FROM c)
       SELECT x AS sha256, 'rev:' || left(x, min(n)::INT) AS id FROM g WHERE k = 1 GROUP BY x""",
     "edit_revisions": f"""WITH {BIBLIO}, o AS (SELECT seq, entry_key, {_CANON} AS snapshot, CASE WHEN seq % 2 = 0 THEN 'rev:' || entry_key END AS previous FROM biblio WHERE seq % 10 = 3 OR seq % 2 = 0),

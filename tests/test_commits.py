@@ -98,3 +98,24 @@ def test_what_is_broken_fails(spark, tmp_path, text):
     (tmp_path / "f.bib").write_text(text)
     with pytest.raises(PySparkException):
         bibtex.read(spark, str(tmp_path)).collect()
+
+
+def test_ids_that_are_not_used_yet(spark):
+    """Against going through the commits one hash at a time, with few digits so that many collide."""
+    import random
+
+    from citegrid.operators import ledger
+
+    rnd = random.Random(1)
+    known, used, ids = spark.createDataFrame([], "id string"), set(), {}
+    for commit in range(3):
+        new = [(k, "".join(rnd.choice("01") for _ in range(12))) for k in range(40)]
+        new = list({h: (k, h) for k, h in new if h not in ids}.values())
+        got = ledger.unused_ids(known, spark.createDataFrame(new, "k long, sha256 string"), "k", 2)
+        for _, h in sorted(new):
+            ids[h] = next(h[:n] for n in range(2, 13) if h[:n] not in used)
+            used.add(ids[h])
+        assert {r.sha256: r.id for r in got.collect()} == {h: f"rev:{ids[h]}" for _, h in new}
+        known = known.unionByName(spark.createDataFrame([(f"rev:{ids[h]}",) for _, h in new], "id string"))
+    with pytest.raises(PySparkException, match="no revision ID"):
+        ledger.unused_ids(spark.createDataFrame([("rev:ab",), ("rev:abc",)], "id string"), spark.createDataFrame([(1, "abc")], "k long, sha256 string"), "k", 2).collect()
