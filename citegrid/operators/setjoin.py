@@ -35,7 +35,8 @@ def _bitmap(tokens: Column) -> Column:
 
 def _prefixes(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
     """(id, tokens) -> (id, n, map, at, token): the tokens of each prefix and their places, counted from 1."""
-    each = sets.select("id", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("map"), F.explode("tokens").alias("token"))
+    whole = sets.select("id", "tokens", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("map"))  # once for each set
+    each = whole.select("id", "n", "map", F.explode("tokens").alias("token"))
     known = each.join(frequency, "token", "left").select("id", "n", "map", "token", F.coalesce("df", F.lit(0)).alias("df"))
     placed = known.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
     return placed.filter((F.col("at") <= F.col("n") - _least_shared(F.col("n"), least) + 1) & (F.col("df") > 0)).select("id", "n", "map", "at", "token")
