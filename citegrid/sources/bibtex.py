@@ -203,15 +203,20 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if depth <= 0 and entries_and_rest("".join(held))[1] is None:
                 flush()
         if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], batch.schema.field(i).type) for i in range(3)], names=batch.schema.names)
+            yield _pieces(made)
             made.clear()
     flush()
     if made:
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[1] for m in made], _AT), pa.array([m[2] for m in made])], names=["file", "at", "text"])
+        yield _pieces(made)
 
 
 _BRACE = re.compile(r"\\*[{}]")
-_AT = pa.struct([("block", pa.int64()), ("row", pa.int64())])
+_PIECE = pa.schema([("file", pa.string()), ("at", pa.struct([("block", pa.int64()), ("row", pa.int64())])), ("text", pa.string())])
+
+
+def _pieces(made: list[tuple]) -> pa.RecordBatch:
+    """Rows of one schema: all batches of a task must have the same."""
+    return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], _PIECE.field(i).type) for i in range(3)], schema=_PIECE)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -126,3 +126,16 @@ def test_edits_of_whole_files():
     for broken in (lambda: bibtex.replace_entry(text, "z", "@misc{z}"), lambda: bibtex.replace_entry(text, "a", "no entry"), lambda: bibtex.mark_file(text, {"z": "h"}), lambda: bibtex.edit_file(text + "@misc{a, x = 1}", {})):
         with pytest.raises(bibtex.BibtexError):
             broken()
+
+
+def test_whole_and_endless_entries_of_one_task(spark, tmp_path):
+    """More pieces than a batch has, put together again, and an entry without an end after them."""
+    cut = "".join(f"@misc{{a{i}, note = {{see\n@ home}}}}\n" for i in range(30))
+    (tmp_path / "a.bib").write_text(cut)
+    (tmp_path / "b.bib").write_text("@misc{b, title = {x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        s = {r.file.rpartition("/")[2]: (r.entries, r.error is None) for r in files.scanned(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert s == {"a.bib": (30, True), "b.bib": (0, False)}
