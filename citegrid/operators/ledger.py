@@ -106,12 +106,14 @@ def as_of(events: DataFrame, key: str, time: str, moment: Column, values: list[s
 def by_prefix(wanted: DataFrame, revisions: DataFrame) -> DataFrame:
     """(prefix) -> prefix, id, error. A prefix has eight hex digits or more and must name one revision only.
 
-    Prefixes meet IDs on their first eight digits, so no pairs are tried that cannot match.
+    A whole ID, ``rev:`` included, names its own revision even if other IDs begin with it. Prefixes meet IDs on their first
+    eight digits, so no pairs are tried that cannot match.
     """
     digits = F.regexp_replace(F.col("id"), "^rev:", "")
     r = revisions.select("id", digits.alias("d"), F.left(digits, F.lit(8)).alias("d8"))
     p = wanted.select("prefix", F.regexp_replace("prefix", "^rev:", "").alias("p")).withColumn("p8", F.left("p", F.lit(8)))
-    found = p.join(r, (F.col("p8") == F.col("d8")) & F.startswith("d", F.col("p")), "left").groupBy("prefix", "p").agg(F.count("id").alias("n"), F.min("id").alias("id"))
+    found = p.join(r, (F.col("p8") == F.col("d8")) & F.startswith("d", F.col("p")), "left").groupBy("prefix", "p").agg(F.count("id").alias("n"), F.min("id").alias("id"), F.max(F.when(F.col("id") == F.col("prefix"), F.col("id"))).alias("own"))
+    found = found.withColumns({"n": F.when(F.col("own").isNotNull(), 1).otherwise(F.col("n")), "id": F.coalesce("own", "id")})
     error = F.when(F.length("p") < 8, "prefix is too short").when(F.col("n") == 0, "not found").when(F.col("n") > 1, "ambiguous")
     return found.select("prefix", F.when(error.isNull(), F.col("id")).alias("id"), error.alias("error"))
 

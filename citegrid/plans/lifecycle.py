@@ -70,7 +70,7 @@ def embedded_import(spark, sf_dir):
 def history_diff(spark, sf_dir):
     """Every revision of the synchronised ledger against the bibliography of now; those of records that went have none."""
     _, state = _synced(spark, sf_dir)
-    return lifecycle.history_diff(state, state["revisions"].select(F.substring("id", 5, 64).alias("prefix")), _edited(spark, sf_dir)).select("entry_key", "field", "old", "new", "error")
+    return lifecycle.history_diff(state, state["revisions"].select(F.col("id").alias("prefix")), _edited(spark, sf_dir)).select("entry_key", "field", "old", "new", "error")
 
 
 def human_decisions(spark, sf_dir):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from citegrid.operators import lifecycle, proposals
+from citegrid.operators import ledger, lifecycle, proposals
 from citegrid.sources import bibtex
 from citegrid.sources import ledger as store
 
@@ -119,3 +119,20 @@ def test_ids_that_are_not_used_yet(spark):
         known = known.unionByName(spark.createDataFrame([(f"rev:{ids[h]}",) for _, h in new], "id string"))
     with pytest.raises(PySparkException, match="no revision ID"):
         ledger.unused_ids(spark.createDataFrame([("rev:ab",), ("rev:abc",)], "id string"), spark.createDataFrame([(1, "abc")], "k long, sha256 string"), "k", 2).collect()
+
+
+def test_whole_ids_that_begin_others(spark):
+    """An ID of eight digits and a longer one that begins with it: whole IDs name each, the digits alone neither."""
+    short, long = "rev:aaaaaaaa", "rev:aaaaaaaab"
+    rows = lambda *r: spark.createDataFrame([("misc", k, f) for k, f in r], NODE)
+    first = lifecycle.sync(lifecycle.empty(spark), rows(("k", {"a": "1"}), ("m", {"a": "1"})), "me", 1)
+    now = rows(("k", {"a": "2"}), ("m", {"a": "2"}))
+    state = lifecycle.sync(first, now, "me", 2)
+    named = state["revisions"].withColumn("id", F.when(F.col("target") == "k", short).otherwise(long))
+    state |= {"revisions": named, "entries": state["entries"].withColumn("head", F.when(F.col("entry_key") == "k", short).otherwise(long))}
+    wanted = named.select(F.col("id").alias("prefix"))
+    got = ledger.by_prefix(wanted.unionByName(spark.createDataFrame([("aaaaaaaa",), ("rev:aaaaaaa",)], "prefix string")), named).collect()
+    assert {(r.prefix, r.id, r.error) for r in got} == {(short, short, None), (long, long, None), ("aaaaaaaa", None, "ambiguous"), ("rev:aaaaaaa", None, "prefix is too short")}
+    assert {(r.entry_key, r.old, r.new, r.error) for r in lifecycle.history_diff(state, wanted, now).collect()} == {("k", "1", "2", None), ("m", "1", "2", None)}
+    records, _ = lifecycle.restore(state, wanted, now, "me", 3)
+    assert {(r.entry_key, r.fields["a"]) for r in records.collect()} == {("k", "1"), ("m", "1")}
