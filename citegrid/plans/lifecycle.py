@@ -50,7 +50,7 @@ def ledger_status(spark, sf_dir):
 def ledger_restore(spark, sf_dir):
     """Every revision of a key whose number ends in 3 or 5 put back: the records then, and the chain of each."""
     _, state = _synced(spark, sf_dir)
-    wanted = state["revisions"].filter("cast(substring(target, 2) as bigint) % 10 in (3, 5)").select(F.substring("id", 5, 64).alias("prefix"))
+    wanted = state["revisions"].filter("cast(substring(target, 2) as bigint) % 10 in (3, 5)").select(F.col("id").alias("prefix"))
     records, after = lifecycle.restore(state, wanted, _edited(spark, sf_dir), "me", STAMP + 2)
     depth = after["revisions"].groupBy(F.col("target").alias("entry_key")).agg(F.count(F.lit(1)).alias("revisions"))
     out = records.join(depth, "entry_key", "left").join(after["entries"].select("entry_key", "deleted"), "entry_key")
