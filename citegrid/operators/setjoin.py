@@ -1,29 +1,32 @@
 """Similarity join of token sets: all pairs with a Dice coefficient of at least some value, and no pair lost.
 
-Tokens are ordered by how many sets hold them, the rarest first. Two sets that are similar enough share a token among the
-first few of each (their prefixes), so sets meet on these only; where in both sets a shared token stands bounds how many
-they can share in all; so does a bitmap of 256 bits that each set carries, as a token that only one of two sets has can
-differ in one bit at most; and what they share within the prefixes bounds it once more, before a set is looked at as a whole.
-A token that many sets have in their prefixes is split into parts: each set of one side is in one part, each of the other
-in all, so no task gets all sets of a token.
+Tokens are ordered by how many sets hold them, the rarest first, as a table of fixed size tells it: any order serves, if it
+is the same for all sets, so tokens that share a bucket cost pairs to look at and lose none. Two sets that are similar enough
+share a token among the first few of each (their prefixes), so sets meet on these only, on a token that can be the first of
+those they share: where it stands in both bounds how many they can share in all; so does a bitmap of 512 bits that each set
+carries, as a token that only one of two sets has can differ in one bit at most; and what they share within the prefixes
+bounds it once more, before a set is looked at as a whole. A token that many sets hold is split into parts: each set of one
+side is in one part, each of the other in all, so no task gets all sets of a token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tolerance of comparisons with products of floating-point numbers, on the side that keeps pairs.
 EPS = 1e-9
-#: Sets of one token that are joined in one part, on average.
-PART_SETS = 2048
+#: Sets that hold a token for each part it is split into, as its bucket counts them; few of these have it in their prefixes.
+PART_SETS = 8192
+#: Buckets of hashes in which tokens are counted.
+BUCKETS = 1 << 17
 #: 64-bit words of the bitmap of a set.
-MAP_WORDS = 4
-
-
-def _least_shared(n: Column, least: float) -> Column:
-    """How many of its n tokens a set shares at least with any set that is similar enough, one at least."""
-    return F.greatest(F.lit(1), F.ceil(least / (2 - least) * n - EPS))
+MAP_WORDS = 8
 
 
 def _bitmap(tokens: Column) -> Column:
@@ -33,34 +36,52 @@ def _bitmap(tokens: Column) -> Column:
     return F.array(*[word(w) for w in range(MAP_WORDS)])
 
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(id, tokens) -> (id, n, map, at, token): the tokens of each prefix and their places, counted from 1."""
-    whole = sets.select("id", "tokens", F.size("tokens").alias("n"), _bitmap(F.col("tokens")).alias("map"))  # once for each set
-    each = whole.select("id", "n", "map", F.explode("tokens").alias("token"))
-    known = each.join(frequency, "token", "left").select("id", "n", "map", "token", F.coalesce("df", F.lit(0)).alias("df"))
-    placed = known.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    return placed.filter((F.col("at") <= F.col("n") - _least_shared(F.col("n"), least) + 1) & (F.col("df") > 0)).select("id", "n", "map", "at", "token")
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many tokens of all sets fall into each bucket of hashes, a table of fixed size."""
+    rows = sets.select(F.explode("tokens").alias("t")).groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[rows["b"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return counts
 
 
-def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
-    """left and right: (id, tokens: array of distinct strings), ids distinct on each side -> (x, y), each pair once.
+def _prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """(id, tokens) -> (id, n, map, at, token, df): the hashed tokens of each prefix and their places, counted from 1."""
 
-    Holds every pair of sets with a Dice coefficient of at least ``least`` (above 0), and others that the bounds can't tell
-    from such. With ``right`` None pairs are those of left with itself, x < y. Empty and null sets have no partner.
-    """
-    if not 0 < least <= 1:
-        raise ValueError("least must be above 0 and at most 1: sets that share nothing can't be joined")
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+            token, row = pc.list_flatten(batch.column(1)).to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            df = counts[token % BUCKETS]
+            order = np.lexsort((token, df, row))
+            token, df, n = token[order], df[order], sizes[row]
+            at = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row] + 1
+            kept = np.flatnonzero((at <= n - np.maximum(1, np.ceil(least / (2 - least) * n - EPS)) + 1) & (df > 0))
+            of = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(n[kept].astype(np.int32)), batch.column(2).take(of), pa.array(at[kept].astype(np.int32)), pa.array(token[kept]), pa.array(df[kept])], ["id", "n", "map", "at", "token", "df"])
+
+    hashed = sets.filter(F.size("tokens") > 0).select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"), _bitmap(F.col("tokens")).alias("map"))
+    return hashed.mapInArrow(ranked, f"id {sets.schema['id'].dataType.simpleString()}, n int, map array<bigint>, at int, token bigint, df bigint")
+
+
+def _need(least: float) -> Column:
+    """How many tokens sets of n and of m tokens share if they are similar enough."""
+    return F.ceil(least / 2 * (F.col("n") + F.col("m")) - EPS)
+
+
+def _met(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """A row for each token on which two sets meet that the bounds can't part."""
     alone = right is None
     held = left if alone else right
-    frequency = held.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    b = _prefixes(held, frequency, least)
-    a = b if alone else _prefixes(left, frequency, least)
-    parts = b.groupBy("token").agg((1 + F.floor(F.count(F.lit(1)) / PART_SETS)).cast("int").alias("parts"))
-    b = b.join(parts, "token").select(F.col("token").alias("_t"), F.expr("pmod(xxhash64(id), parts)").cast("int").alias("_p"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("map").alias("map_y"))
-    a = a.join(parts, "token").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("x"), "n", F.col("at").alias("i"), F.col("map").alias("map_x"))
-    # with n and m tokens they must share so many; as the i-th of one and the j-th of the other is shared, so many they can
-    need = F.ceil(least / 2 * (F.col("n") + F.col("m")) - EPS)
-    can = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    counts = _frequencies(held)
+    parts = (1 + F.floor(F.col("df") / PART_SETS)).cast("int")
+    b = _prefixes(held, counts, least)
+    a = b if alone else _prefixes(left, counts, least)
+    b = b.select(F.col("token").alias("_t"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("_p"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("map").alias("map_y"))
+    a = a.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("x"), "n", F.col("at").alias("i"), F.col("map").alias("map_x"))
+    # with n and m tokens they must share so many; if the i-th of one and the j-th of the other is the first they share, so
+    # many they can. Of a pair's shared tokens the first ones pass, so c counts all up to the last that did
+    need = _need(least)
+    can = 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     share = least / (2 - least)
     sizes = (F.col("m") >= share * F.col("n") - EPS) & (F.col("n") >= share * F.col("m") - EPS)
     apart = sum((F.bit_count(F.get("map_x", F.lit(w)).bitwiseXOR(F.get("map_y", F.lit(w)))) for w in range(MAP_WORDS)), F.lit(0))
@@ -68,6 +89,18 @@ def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFr
     meet = (F.col("token") == F.col("_t")) & (F.col("part") == F.col("_p")) & sizes & (can >= need) & alike
     if alone:
         meet = meet & (F.col("x") < F.col("y"))
-    found = a.join(b, meet).groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    return a.join(b, meet)
+
+
+def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """left and right: (id, tokens: array of distinct strings), ids distinct on each side -> (x, y), each pair once.
+
+    Holds every pair of sets with a Dice coefficient of at least ``least`` (above 0), and others that the bounds can't tell
+    from such. With ``right`` None pairs are those of left with itself, x < y. Empty and null sets have no partner.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1: sets that share nothing can't be joined")
+    met, need = _met(left, right, least), _need(least)
+    found = met.groupBy("x", "y", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     return found.filter(F.col("c") + rest >= need).select("x", "y")

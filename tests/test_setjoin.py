@@ -67,3 +67,18 @@ def test_search_is_that_of_all_titles(spark, k, least):
         a = set((title or "").split())
         near = sorted((-len(a & set(t.split())), i) for i, t in held if t and dice(a, set(t.split())) >= least)
         assert sorted(got.get(key, [])) == [(n, -s, i) for n, (s, i) in enumerate(near[: min(k, 20)], 1)]
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_tokens_that_share_a_bucket_lose_no_pair(spark, monkeypatch, buckets):
+    monkeypatch.setattr(setjoin, "BUCKETS", buckets)
+    x = sets(random.Random(buckets), 90)
+    got = {tuple(r) for r in setjoin.candidates(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(x)], "id long, tokens array<string>"), None, 0.6).collect()}
+    assert {(i, j) for i, a in enumerate(x) for j, b in enumerate(x) if i < j and dice(a, b) >= 0.6} <= got
+
+
+def test_sets_that_share_their_last_tokens_do_not_meet(spark):
+    """A shared token with too few behind it can't be the first of enough, however full the bitmaps."""
+    rows = [(i, [*[f"c{k}" for k in range(300)], *[f"r{i}-{k}" for k in range(300)]]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    assert setjoin._met(df, None, 0.6).count() == 0
