@@ -137,25 +137,24 @@ def unused_ids(known: DataFrame, new: DataFrame, order: str, least: int = 8) ->
     """new (sha256, order), one after the other in that order -> sha256, id: rev: and the shortest prefix of ``least`` digits
     or more that is no ID yet, neither of known (id) nor of the ones before.
 
-    Only hashes that begin with the same ``least`` digits can be in each other's way: they are gone through in order, group
-    by group, and groups are tiny. Of known IDs only those of such a group are gathered. A hash that stands more often than
-    there are prefixes left is an error.
+    A prefix goes to the first of those hashes that got none of its shorter ones, so prefixes are given length by length:
+    an aggregation each, in which no group is gathered, whatever its size. Lengths grow with the logarithm of the largest
+    group. A hash that stands more often than there are prefixes left is an error.
     """
-    group = F.left("sha256", F.lit(least)).alias("g")
-    fresh = new.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "sha256"))).alias("new"))
-    digits = known.select(F.regexp_replace("id", "^rev:", "").alias("d")).withColumn("g", F.left("d", F.lit(least)))
-    taken = digits.join(fresh.select("g"), "g", "left_semi").groupBy("g").agg(F.collect_list("d").alias("used"))
-    none = F.array().cast("array<string>")
-    row = "array<struct<sha256:string,d:string>>"
-
-    def step(state: Column, x: Column) -> Column:
-        free = F.filter(F.transform(F.sequence(F.lit(least), F.length(x["sha256"])), lambda n: F.left(x["sha256"], n)), lambda d: ~F.array_contains(state["used"], d))
-        d = F.coalesce(F.get(free, F.lit(0)), F.raise_error(F.lit("no revision ID is left for a hash")).cast("string"))
-        return F.struct(F.concat(state["used"], F.array(d)).alias("used"), F.concat(state["out"], F.array(F.struct(x["sha256"].alias("sha256"), d.alias("d")))).alias("out"))
-
-    start = F.struct(F.coalesce("used", none).alias("used"), F.array().cast(row).alias("out"))
-    found = fresh.join(taken, "g", "left").select(F.explode(F.aggregate("new", start, step, lambda s: s["out"])).alias("x"))
-    return found.select("x.sha256", F.concat(F.lit("rev:"), F.col("x.d")).alias("id"))
+    digits = known.select(F.regexp_replace("id", "^rev:", "").alias("p"))
+    rest = checkpoint(new.select("sha256", F.col(order).alias("_o"), F.monotonically_increasing_id().alias("_row")))
+    none = F.lit(None).cast("string")
+    found, n = rest.limit(0).select("sha256", none.alias("d")), least
+    while not rest.isEmpty():
+        last = F.coalesce(F.length("sha256") < n, F.lit(True))
+        rest = rest.withColumn("p", F.when(last, F.raise_error(F.lit("no revision ID is left for a hash")).cast("string")).otherwise(F.left("sha256", F.lit(n))))
+        first = rest.groupBy("p").agg(F.min(F.struct("_o", "sha256", "_row")).alias("f"))
+        first = first.join(digits.filter(F.length("p") == n), "p", "left_anti").select("p", F.col("f._row").alias("_first"))
+        first = F.broadcast(first) if n <= 3 else first  # 4096 rows at most, each for many
+        step = checkpoint(rest.join(first, "p", "left").select("sha256", "_o", "_row", F.when(F.col("_row") == F.col("_first"), F.col("p")).alias("d")))
+        found = found.unionByName(step.filter("d IS NOT NULL").select("sha256", "d"))
+        rest, n = step.filter("d IS NULL").drop("d"), n + 1
+    return found.select("sha256", F.concat(F.lit("rev:"), F.col("d")).alias("id"))
 
 
 def snapshot_hash(snapshot: Column, state: Column) -> Column:

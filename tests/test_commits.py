@@ -121,6 +121,23 @@ def test_ids_that_are_not_used_yet(spark):
         ledger.unused_ids(spark.createDataFrame([("rev:ab",), ("rev:abc",)], "id string"), spark.createDataFrame([(1, "abc")], "k long, sha256 string"), "k", 2).collect()
 
 
+def test_ids_of_one_large_group(spark):
+    """3000 hashes that begin alike, some of whose prefixes are known IDs: as one after the other, and none of it gathered."""
+    import hashlib
+
+    from citegrid.operators import ledger
+
+    new = [(k, "ab" + hashlib.sha256(str(k).encode()).hexdigest()) for k in range(3000)]
+    used = {"ab", "ab0", "abc12", new[7][1][:3]}
+    df = ledger.unused_ids(spark.createDataFrame([(f"rev:{d}",) for d in used], "id string"), spark.createDataFrame(new[::-1], "k long, sha256 string"), "k", 2)
+    expected = {}
+    for _, h in new:
+        expected[h] = next(h[:n] for n in range(2, 67) if h[:n] not in used)
+        used.add(expected[h])
+    assert {r.sha256: r.id for r in df.collect()} == {h: f"rev:{d}" for h, d in expected.items()}
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
 def test_whole_ids_that_begin_others(spark):
     """An ID of eight digits and a longer one that begins with it: whole IDs name each, the digits alone neither."""
     short, long = "rev:aaaaaaaa", "rev:aaaaaaaab"
