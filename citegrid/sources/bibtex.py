@@ -257,16 +257,23 @@ def parse(texts: DataFrame) -> DataFrame:
     """(file, at, text) -> file, at (with the entry's number in the text), entry_type, entry_key, fields: the entries of
     the texts, without macros, comments and preambles.
 
-    A broken entry or an unknown macro fails the query. Of fields named twice in an entry the last counts.
+    A broken entry or an unknown macro fails the query. Of fields named twice in an entry the last counts. Parsing takes
+    much longer than reading, so texts are dealt over all tasks first; for macros only texts that may define one are parsed.
     """
-    return _records(texts.select("file", "at", _entries(F.col("text")).alias("es")))
+    dealt = lambda t: t.repartition("file", "at").select("file", "at", _entries(F.col("text")).alias("es"))
+    return _records(dealt(texts), dealt(texts.filter(F.contains(F.lower("text"), F.lit("string")))))
 
 
-def _records(parsed: DataFrame) -> DataFrame:
-    e = parsed.select("file", "at", F.posexplode("es").alias("n", "e")).withColumn("at", F.struct("at.*", F.col("n").alias("entry")))
-    e = e.withColumn("e", F.when(F.col("e.error").isNull(), F.col("e")).otherwise(F.raise_error(F.concat(F.lit("BibTeX entry in "), "file", F.lit(": "), "e.error")).cast(_ENTRY)))
+def _records(parsed: DataFrame, defining: DataFrame | None = None) -> DataFrame:
+    """``defining``: those of parsed that may hold macros, if that is less than all."""
+
+    def each(of: DataFrame) -> DataFrame:
+        e = of.select("file", "at", F.posexplode("es").alias("n", "e")).withColumn("at", F.struct("at.*", F.col("n").alias("entry")))
+        return e.withColumn("e", F.when(F.col("e.error").isNull(), F.col("e")).otherwise(F.raise_error(F.concat(F.lit("BibTeX entry in "), "file", F.lit(": "), "e.error")).cast(_ENTRY)))
+
+    e = each(parsed)
     none = F.create_map().cast("map<string,array<struct<at:struct<block:bigint,row:bigint,entry:int>,k:int,value:string>>>")
-    out = e.filter("e.kind <> 'string'").join(_macros(e), "file", "left").withColumn("macros", F.coalesce("macros", none))
+    out = e.filter("e.kind <> 'string'").join(_macros(e if defining is None else each(defining)), "file", "left").withColumn("macros", F.coalesce("macros", none))
     pairs = _resolved(F.col("macros"))
     last = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
     return out.select("file", "at", F.col("e.kind").alias("entry_type"), F.col("e.key").alias("entry_key"), last.alias("fields"))

@@ -100,6 +100,18 @@ def test_what_is_broken_fails(spark, tmp_path, text):
         bibtex.read(spark, str(tmp_path)).collect()
 
 
+def test_texts_of_one_task_are_parsed_by_many(spark):
+    """Texts that one task reads are dealt before they are parsed; macros, spelt in any way, hold from where they stand on."""
+    texts = [("f", (0, i), f"@misc{{k{i}, a = up # {{ {i}}}}}") for i in range(2, 200)] + [("f", (0, 0), "@ \u00a0STRING(Up = {A})"), ("f", (0, 100), "@misc{k100, a = {x}} @String{UP = {B}}"), ("f", (0, 1), "@misc{k1, b = {a string}}")]
+    texts = [t for i, t in enumerate(texts) if i != 98]
+    df = spark.createDataFrame(texts, "file string, at struct<block:bigint,row:bigint>, text string").coalesce(1)
+    parsed = bibtex.parse(df)
+    got = parsed.collect()
+    fields = {r.entry_key: r.fields for r in got}
+    assert fields == {f"k{i}": {"a": f"{'A' if i < 100 else 'B'} {i}"} for i in range(2, 200) if i != 100} | {"k100": {"a": "x"}, "k1": {"b": "a string"}}
+    assert parsed._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") >= 2
+
+
 def test_ids_that_are_not_used_yet(spark):
     """Against going through the commits one hash at a time, with few digits so that many collide."""
     import random
