@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-def _no_strings() -> Column:
-    return F.array().cast("array<string>")
-
 
 def words(c: Column) -> Column:
     """Normalised words of a TeX text, in order.
@@ -19,7 +16,7 @@ def words(c: Column) -> Column:
     c = F.regexp_replace(c, r"[{}]", "")
     c = F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{N}]+", " ")
     c = F.trim(F.lower(F.translate(c, "Σ", "σ")))
-    return F.when(c == "", _no_strings()).otherwise(F.split(c, " "))
+    return F.array_remove(F.split(c, " "), "")  # of a blank text one empty word; a condition would normalise it twice
 
 
 def tokens(c: Column) -> Column:
@@ -59,8 +56,18 @@ def author_similarity(a: Column, b: Column) -> Column:
 
 def similarity(title_a: Column, author_a: Column, title_b: Column, author_b: Column) -> Column:
     """STRUCT<score, title_score, author_score>, rounded; null if any of the four is null."""
-    t, a = token_dice(tokens(title_a), tokens(title_b)), author_similarity(author_a, author_b)
-    known = title_a.isNotNull() & author_a.isNotNull() & title_b.isNotNull() & author_b.isNotNull()
+    return similarity_of_sets(compared_sets(title_a, author_a), compared_sets(title_b, author_b))
+
+
+def compared_sets(title: Column, author: Column) -> dict[str, Column]:
+    """What similarity() compares of a record. As columns of their own they are computed once, however often it is compared."""
+    return {"title": tokens(title), "surnames": author_surnames(author), "author": tokens(author)}
+
+
+def similarity_of_sets(x: dict[str, Column] | Column, y: dict[str, Column] | Column) -> Column:
+    """similarity() of two records by their compared_sets()."""
+    t, a = token_dice(x["title"], y["title"]), author_dice(x["surnames"], y["surnames"], x["author"], y["author"])
+    known = x["title"].isNotNull() & x["author"].isNotNull() & y["title"].isNotNull() & y["author"].isNotNull()
     return F.when(known, F.struct(rounded(combined(t, a)).alias("score"), rounded(t).alias("title_score"), rounded(a).alias("author_score")))
 
 

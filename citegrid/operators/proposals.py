@@ -240,9 +240,15 @@ def views(proposals: DataFrame, current: DataFrame) -> DataFrame:
     """proposals as they are shown: id, target, ``stale``, ``changes``, the score of the provider's record against the one it
     would replace, and why an agent may not adopt it (``blocker``, null: it may), from the frozen evidence alone."""
     p = listed(proposals, current)
-    score = lambda r: tx.similarity(F.col("before")["title"], F.col("before")["author"], r["title"], tx.contributors_text(r["authors"]))["score"]
-    record = F.col("provider.record")
-    p = p.withColumns({"_score": score(record), "_each": F.transform("provider.candidates", lambda c: F.struct(F.lower(c["id"]).alias("id"), score(c).alias("score")))})
+    record, sets = F.col("provider.record"), lambda r: tx.compared_sets(r["title"], tx.contributors_text(r["authors"]))
+    # the words of the record and of each candidate once, before they are compared
+    before = {f"_own_{n}": c for n, c in tx.compared_sets(F.col("before")["title"], F.col("before")["author"]).items()}
+    theirs = {f"_their_{n}": c for n, c in sets(record).items()}
+    each = F.transform("provider.candidates", lambda c: F.struct(F.lower(c["id"]).alias("id"), *[x.alias(n) for n, x in sets(c).items()]))
+    p = p.withColumns(before | theirs | {"_sets": each})
+    mine, its = ({n: F.col(f"_{of}_{n}") for n in ("title", "surnames", "author")} for of in ("own", "their"))
+    score = lambda x: tx.similarity_of_sets(mine, x)["score"]
+    p = p.withColumns({"_score": score(its), "_each": F.transform("_sets", lambda x: F.struct(x["id"].alias("id"), score(x).alias("score")))})
     good = lambda x: F.coalesce(x["score"] >= F.col("provider.threshold"), F.lit(False))
     own = lambda x: x["id"] == F.lower(record["id"])
     blocker = linkage.adoption_blocker(F.col("provider").isNotNull(), F.col("_score") >= F.col("provider.threshold"), F.exists("_each", lambda x: good(x) & own(x)), F.exists("_each", lambda x: good(x) & ~own(x)), F.col("stale"))

@@ -72,3 +72,25 @@ def test_decisions_must_name_the_revision_they_made(spark):
     assert proposals.misplaced(p, revision("k", "after_json")).count() == 1
     assert proposals.misplaced(p, revision("m", "before_json")).count() == 1
     assert proposals.misplaced(p, revision("k", "before_json").limit(0)).count() == 1
+
+
+def test_words_are_computed_once_for_all_comparisons(spark):
+    """However often a view compares a record, its text is normalised once; blank, null and odd texts score as ever."""
+    from citegrid.functions import text as tx
+    from citegrid.operators import proposals
+
+    kind = f"id string, target string, baseline_hash string, before_type string, before map<string,string>, after_type string, after map<string,string>, outcome string, provider {proposals.PROVIDER}"
+    shown = proposals.views(spark.createDataFrame([], kind), spark.createDataFrame([], "entry_key string, content_hash string")).select("score", "blocker", "adoptable")
+    # three for each of the words of a title, of an author list, and of a surname with or without a comma, on three sides
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3 * 3 * 4
+    texts = [None, "", " ", "{A} \\'e b", "A b c", "İx Σ, Y and Z"]
+    df = spark.createDataFrame([(a, b, c, d) for a in texts for b in texts[:5] for c in texts[1:] for d in texts], "a string, b string, c string, d string")
+    apart = df.select(*[F.transform(F.array(x), lambda v: v)[0].alias(x) for x in "abcd"])
+    words = lambda v: None if v is None else {r for r in v}
+    rows = apart.select("*", tx.similarity(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("s"), tx.tokens(F.col("a")).alias("x"), tx.tokens(F.col("c")).alias("y")).collect()
+    for r in rows:
+        assert (r.s is None) == (None in (r.a, r.b, r.c, r.d)) and (words(r.x) is None) == (r.a is None)
+        if r.s is not None:
+            both = len(words(r.x) & words(r.y))
+            assert r.s.title_score == (round(2 * both / (len(r.x) + len(r.y)), 4) if r.x and r.y else 0)
+            assert "" not in r.x
