@@ -5,6 +5,8 @@ JSON is compact UTF-8 with control characters escaped in lower case, keys in byt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,22 +16,29 @@ from citegrid.functions.vocab import APPROVAL_FIELDS, CONTROLLED_FIELDS, SYSTEM_
 _LETTERED = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it, in filters and inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _lower_escapes(c: Column) -> Column:
-    fixed = c
-    for code in _LETTERED:
-        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
-    return F.when(F.contains(c, F.lit("\\u00")), fixed).otherwise(c)
+    def fixed(x: Column) -> Column:
+        for code in _LETTERED:
+            x = F.regexp_replace(x, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+        return x
+
+    return once(c, lambda x: F.when(F.contains(x, F.lit("\\u00")), fixed(x)).otherwise(x))
 
 
 def json_text(c: Column) -> Column:
     """A string as a JSON string; null as null."""
-    inner = F.to_json(F.array(c))
-    return F.when(c.isNull(), F.lit("null")).otherwise(_lower_escapes(F.substring(inner, F.lit(2), F.length(inner) - 2)))
+    quoted = once(_lower_escapes(F.to_json(F.array(c))), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.when(c.isNull(), F.lit("null")).otherwise(quoted)
 
 
 def json_map(m: Column) -> Column:
     """A map of strings as a JSON object, keys in byte order."""
-    return _lower_escapes(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))))
+    return _lower_escapes(F.to_json(F.map_from_entries(F.sort_array(F.map_entries(m)))))
 
 
 #: Evidence fields whose JSON is kept as JSON in ledger files; all others are strings.
@@ -40,7 +49,7 @@ def encode_source_fields(fields: Column) -> Column:
     """Evidence fields as the JSON object of a ledger file: of NATIVE_FIELDS valid JSON as it is, all else as strings."""
     native = lambda e: F.when(e["key"].isin(*NATIVE_FIELDS), F.to_json(F.try_parse_json(e["value"])))
     one = lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.coalesce(native(e), json_text(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), one), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(F.map_entries(fields)), one), ","), F.lit("}"))
 
 
 def decode_source_fields(json: Column) -> Column:
@@ -70,10 +79,10 @@ def canonical_json(entry_type: Column, fields: Column, hidden: tuple[str, ...] =
 
     Names are written in lower case. Of names that differ in case only, the one last in byte order counts.
     """
-    named = F.array_sort(F.map_entries(without(fields, hidden)))
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: F.lower(x["key"]) == F.lower(e["key"])))
-    entries = F.concat(F.array(F.struct(F.lit("ENTRYTYPE").alias("key"), entry_type.alias("value"))), F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    return _lower_escapes(F.to_json(F.map_from_entries(F.array_sort(entries))))
+    named = F.transform(F.sort_array(F.map_entries(without(fields, hidden))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = once(named, lambda m: F.filter(m, lambda e, i: ~F.exists(F.slice(m, i + 2, F.size(m)), lambda x: x["key"] == e["key"])))
+    entries = F.concat(F.array(F.struct(F.lit("ENTRYTYPE").alias("key"), entry_type.alias("value"))), last)
+    return _lower_escapes(F.to_json(F.map_from_entries(F.sort_array(entries))))
 
 
 def content_hash(entry_type: Column, fields: Column) -> Column:
@@ -102,7 +111,7 @@ def controlled_hash(entry_type: Column, fields: Column) -> Column:
 
 def evidence_identity(fields: Column) -> Column:
     """SHA-256 over all fields but stored responses, each with its byte length."""
-    entries = F.array_sort(F.map_entries(without(fields, ("response", "responseencoding", "bibprevious"))))
+    entries = F.sort_array(F.map_entries(without(fields, ("response", "responseencoding", "bibprevious"))))
     sized = lambda c: F.concat(F.octet_length(c).cast("string"), F.char(F.lit(0)), c)
     return sha256(F.array_join(F.transform(entries, lambda e: F.concat(sized(e["key"]), sized(e["value"]))), ""))
 

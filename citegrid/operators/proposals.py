@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,16 @@ OUTCOMES = ("adopted", "rejected")
 PROVIDER = f"struct<record:{pj.LITERATURE},candidates:array<{pj.LITERATURE}>,sources:array<struct<entry_type:string,entry_key:string,fields:map<string,string>>>,threshold:double>"
 
 
+#: Each byte as a number with a comma, padded with zeros to four bytes.
+_NUMBERS = np.array([list(f"{i},".encode().ljust(4, b"\0")) for i in range(256)], np.uint8)
+
+
+def numbers(data: bytes) -> bytes:
+    """The bytes as decimal numbers with commas between."""
+    text = _NUMBERS[np.frombuffer(data, np.uint8)].ravel()
+    return text[text != 0].tobytes()[:-1]
+
+
 @F.pandas_udf(T.StringType())
 def proposal_id(body: pd.Series, provider: pd.Series) -> pd.Series:
     """proposal: and the SHA-256 of the JSON tuple ``body``; with a provider, of the tuple's bytes as numbers and the
@@ -32,7 +42,7 @@ def proposal_id(body: pd.Series, provider: pd.Series) -> pd.Series:
             return None
         data = b.encode()
         if p is not None:
-            data = f"[{json.dumps(list(data), separators=(',', ':'))},{p}]".encode()
+            data = b"[[" + numbers(data) + b"]," + p.encode() + b"]"
         return f"proposal:{hashlib.sha256(data).hexdigest()}"
 
     return pd.Series([one(b, p) for b, p in zip(body, provider)], dtype=object)
@@ -184,8 +194,9 @@ def invalid(proposals: DataFrame) -> DataFrame:
         .when(F.col("outcome").isNotNull() & (~F.col("outcome").isin(*OUTCOMES) | (F.coalesce("decided_at", F.lit(0)) == 0)), "decision")
     )
     p = p.withColumn("_rule", content).select("id", "_rule", "target", "baseline_hash", "before", "after", "after_type", "provider")
-    broken = p.filter("_rule IS NOT NULL").select("id", _text("_rule").alias("error"))
-    return broken.unionByName(_unfounded(p.filter("_rule IS NULL AND provider IS NOT NULL")))
+    error = F.when(F.col("_rule").isNotNull(), _text("_rule")).when(F.col("provider").isNotNull(), F.col("_unfounded"))
+    # a filter on what is computed here would be pushed below it and compute all of it again, several times over
+    return checkpoint(_unfounded(p).select("id", error.alias("error"))).filter("error IS NOT NULL")
 
 
 def _text(rule: str) -> Column:
@@ -193,7 +204,7 @@ def _text(rule: str) -> Column:
 
 
 def _unfounded(p: DataFrame) -> DataFrame:
-    """(id, error) of proposals whose frozen evidence does not lead to what they propose."""
+    """p with ``_unfounded``: why a proposal's frozen evidence does not lead to what it proposes, or null."""
     record, sources = F.col("provider.record"), F.col("provider.sources")
     own = pj.fields_of_literature(record)
     p = p.withColumns({"_own": own, "_projected": cn.bibliographic_fields(pj.adopted_fields(F.col("before"), own)), "_kind": pj.entry_type_of(record["record_type"])})
@@ -216,7 +227,7 @@ def _unfounded(p: DataFrame) -> DataFrame:
     same = F.zip_with("_listed", "_mine", lambda a, b: a["id"].eqNullSafe(b["id"]) & a["projection_sha256"].eqNullSafe(b["projection_sha256"]) & b["provider"].eqNullSafe(record["provider"]))
     first = lambda name: F.col("_first")[name]
     threshold = F.col("provider.threshold")
-    rule = (
+    broken = (
         F.when(threshold.isNull() | F.isnan(threshold) | ~threshold.between(0, 1), "threshold")
         .when(~F.col("after_type").eqNullSafe(F.col("_kind")) | (cn.json_map(F.col("after")) != cn.json_map(F.col("_projected"))), "projection")
         .when(F.coalesce(F.size(sources), F.lit(0)) < 1, "receipts")
@@ -225,7 +236,8 @@ def _unfounded(p: DataFrame) -> DataFrame:
         .when(~F.coalesce(F.size("_listed") == F.size("_mine"), F.lit(False)), "count")
         .when(~F.forall(same, lambda x: x), "order")
     )
-    return p.withColumn("_rule", rule).filter("_rule IS NOT NULL").select("id", F.coalesce(F.when(F.col("_rule") == "chain", F.col("_chain")), _text("_rule")).alias("error"))
+    p = p.withColumn("_broken", broken)
+    return p.withColumn("_unfounded", F.coalesce(F.when(F.col("_broken") == "chain", F.col("_chain")), _text("_broken")))
 
 
 def misplaced(proposals: DataFrame, revisions: DataFrame) -> DataFrame:

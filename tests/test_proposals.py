@@ -94,3 +94,19 @@ def test_words_are_computed_once_for_all_comparisons(spark):
             both = len(words(r.x) & words(r.y))
             assert r.s.title_score == (round(2 * both / (len(r.x) + len(r.y)), 4) if r.x and r.y else 0)
             assert "" not in r.x
+
+
+def test_a_hash_and_the_rules_are_computed_once(spark):
+    from citegrid.functions import canonical as cn
+
+    _, p = proposed(spark, [("10.1234/test", "Example work")], "10.1234/test")
+    text = F.col("id").cast("string")
+    records = spark.range(1).select(text.alias("entry_key"), text.alias("entry_type"), F.create_map(F.lit("title"), text).alias("fields"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(records.filter(cn.content_hash(F.col("entry_type"), F.col("fields")) == "x")).count("map_filter") == 1
+    assert "sha2" not in plan(proposals.invalid(p))
+
+
+@pytest.mark.parametrize("data", [b"", b"\x00", bytes(range(256))])
+def test_bytes_as_numbers(data):
+    assert b"[" + proposals.numbers(data) + b"]" == json.dumps(list(data), separators=(",", ":")).encode()
