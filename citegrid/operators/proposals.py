@@ -112,7 +112,7 @@ def create(records: DataFrame, changes: DataFrame, agent: str, reason: str, time
     and JSON of before and after. Workflow fields are no part of a proposal; a key that is not there is an error."""
     j = changes.select("target", F.col("entry_type").alias("after_type"), cn.bibliographic_fields(F.col("fields")).alias("after")).join(_current(records), F.col("target") == F.col("_k"), "left")
     j = j.withColumns({"target": _or_error(F.col("_k").isNull(), "citation key not found: ", F.col("_k")), "agent": F.lit(agent.strip()), "reason": F.lit(reason.strip()), "timestamp": F.lit(timestamp).cast("long"), "provider": F.lit(None).cast(PROVIDER)})
-    return _stored(j)
+    return checkpoint(_stored(j))  # decisions read proposals several times
 
 
 def create_provider(records: DataFrame, choices: DataFrame, searches: DataFrame, lookups: DataFrame, agent: str, reason: str, threshold: float, timestamp: int) -> DataFrame:

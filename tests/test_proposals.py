@@ -110,3 +110,9 @@ def test_a_hash_and_the_rules_are_computed_once(spark):
 @pytest.mark.parametrize("data", [b"", b"\x00", bytes(range(256))])
 def test_bytes_as_numbers(data):
     assert b"[" + proposals.numbers(data) + b"]" == json.dumps(list(data), separators=(",", ":")).encode()
+
+
+def test_new_proposals_are_written_once(spark):
+    records = spark.createDataFrame([("k", "article", {"title": "a"})], "entry_key string, entry_type string, fields map<string,string>")
+    p = proposals.create(records, records.withColumnRenamed("entry_key", "target"), "me", "r", 1)
+    assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString() and p.first().target == "k"
