@@ -202,6 +202,7 @@ def _decided(state: dict[str, DataFrame], records: DataFrame, j: DataFrame, acto
     p, right = state["proposals"], j.filter("error IS NULL")
     good = right.filter("_adopts").select(F.col("after_type").alias("entry_type"), F.col("target").alias("entry_key"), F.col("_fields").alias("fields"))
     out = records.select("entry_type", "entry_key", "fields").join(good.select("entry_key"), "entry_key", "left_anti").select("entry_type", "entry_key", "fields").unionByName(good)
+    out = checkpoint(out)
     after = edit(state, out, "proposal-adopt", actor, timestamp)
     heads = state["entries"].filter("NOT deleted").select(F.col("entry_key").alias("_e"), F.col("head").alias("_old")).join(after["entries"].filter("NOT deleted").select("entry_key", "head"), F.col("_e") == F.col("entry_key"))
     made = right.select(F.col("id").alias("_id"), F.col("target").alias("_t"), "_adopts", "_who").join(heads, F.col("_t") == F.col("_e"), "left")

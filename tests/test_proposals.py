@@ -116,3 +116,16 @@ def test_new_proposals_are_written_once(spark):
     records = spark.createDataFrame([("k", "article", {"title": "a"})], "entry_key string, entry_type string, fields map<string,string>")
     p = proposals.create(records, records.withColumnRenamed("entry_key", "target"), "me", "r", 1)
     assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString() and p.first().target == "k"
+
+
+def test_the_bibliography_after_an_adoption_is_written_once(spark):
+    from citegrid.operators import lifecycle
+
+    records = spark.createDataFrame([("k", "article", {"title": "a"}), ("l", "book", {"title": "b"})], "entry_key string, entry_type string, fields map<string,string>")
+    state = lifecycle.sync(lifecycle.empty(spark), records, "me", 1)
+    changes = records.filter("entry_key = 'k'").select(F.col("entry_key").alias("target"), "entry_type", F.create_map(F.lit("title"), F.lit("c")).alias("fields"))
+    state["proposals"] = proposals.create(records, changes, "me", "r", 2)
+    wanted = state["proposals"].select("id", F.lit(None).cast("string").alias("blocker"))
+    out, _, said = lifecycle.adopt_proposals(state, records, wanted, "agent", 3)
+    assert {r.entry_key: r.fields["title"] for r in out.collect()} == {"k": "c", "l": "b"} and said.first().outcome == "adopted"
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
