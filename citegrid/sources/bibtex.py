@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from citegrid.functions.canonical import once
 from citegrid.functions.vocab import SYSTEM_TYPES
 from citegrid.storage import checkpoint
 
@@ -275,7 +276,7 @@ def _records(parsed: DataFrame, defining: DataFrame | None = None) -> DataFrame:
     none = F.create_map().cast("map<string,array<struct<at:struct<block:bigint,row:bigint,entry:int>,k:int,value:string>>>")
     out = e.filter("e.kind <> 'string'").join(_macros(e if defining is None else each(defining)), "file", "left").withColumn("macros", F.coalesce("macros", none))
     pairs = _resolved(F.col("macros"))
-    last = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])))
+    last = F.map_from_entries(once(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))))
     return out.select("file", "at", F.col("e.kind").alias("entry_type"), F.col("e.key").alias("entry_key"), last.alias("fields"))
 
 
@@ -291,8 +292,11 @@ def _parsed(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of BibTeX files: file, at (their order in the file), entry_type, entry_key, fields."""
-    return _records(_parsed(spark, *paths))
+    """Records of BibTeX files: file, at (their order in the file), entry_type, entry_key, fields.
+
+    Files are parsed once, when this is called: macros, records and checked() read what was parsed.
+    """
+    return _records(checkpoint(_parsed(spark, *paths)))
 
 
 def scan(spark: SparkSession, *paths: str) -> DataFrame:

@@ -249,3 +249,10 @@ def test_records_without_evidence_are_dealt(spark):
     for named in (True, False):
         share = [r.p for r in got if (r.source is not None) == named]
         assert max(share.count(p) for p in set(share)) < 100
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("@string{p = {House}}\n@book{k, publisher = p, title = {T}}\n")
+    records = bibtex.read(spark, str(tmp_path / "a.bib"))
+    assert "_entries_of_pieces" not in records._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.entry_key, r.fields) for r in records.collect()] == [("k", {"publisher": "House", "title": "T"})]
