@@ -195,7 +195,7 @@ def restore(revisions: DataFrame, revision_id: Column, current: DataFrame) -> Da
 
 
 def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFrame, proposals: DataFrame | None = None, version: str = "1.1", tool_version: str = "1") -> DataFrame:
-    """All violations as a set of (error), in no order. Each rule is a query of its own; entries need entry_key, deleted,
+    """All violations as a set of (error), in no order; entries need entry_key, deleted,
     content_hash, snapshot_key, snapshot_hash, source, integrity_hash, integrity_source, approval (struct or null), head;
     revisions id, target, previous, operation, actor, timestamp, snapshot and state (JSON), snapshot_sha256,
     revision_sha256, snapshot_key, source; proposals what a ledger keeps of them (proposals.STORED).
@@ -211,26 +211,38 @@ def validation_errors(entries: DataFrame, revisions: DataFrame, sources: DataFra
     full = revision_hash(*[F.col(n) for n in ("target", "previous", "operation", "actor", "timestamp", "snapshot", "state", "snapshot_sha256")])
     digits = F.substring(F.col("id"), 5, 64)
     named = F.coalesce(F.startswith("id", F.lit("rev:")) & (F.length(digits) >= 8) & F.startswith(full, digits), F.lit(False))
+    # rules on one row are one pass over the rows, those on a row and the revision it names one over both
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    each = lambda df, *broken: df.select(F.explode(F.array(*[F.when(c, F.struct(text(*parts).alias("error"))) for c, *parts in broken])).alias("x")).filter("x IS NOT NULL").select("x.error")
+    c, revision, some = F.expr, ("revision ", F.col("id")), a.isNotNull()
     rules = [
         say(dangling(e, "source", sources, "entry_key"), key, " references missing source ", F.col("source")),
         say(e.groupBy("entry_key").agg(F.count_distinct("deleted").alias("n")).filter("n > 1"), key, " is both active and deleted"),
-        say(heads.filter("rid IS NULL"), key, " references missing revision ", F.col("head")),
-        say(heads.filter("target <> entry_key"), key, " head belongs to another target"),
+        each(heads, (c("rid IS NULL"), key, " references missing revision ", F.col("head")), (c("target <> entry_key"), key, " head belongs to another target")),
         say(e.join(cyclic(revisions), F.col("head") == F.col("id"), "left_semi"), key, " has a history cycle"),
-        say(e.filter(bad_sha("content_hash")), key, " has invalid contentHash"),
-        say(e.filter("snapshot_key IS NOT NULL AND (snapshot_key <> entry_key OR NOT snapshot_hash <=> content_hash)"), key, " snapshot hash does not match"),
-        say(e.filter(F.col("integrity_hash").isNotNull() & bad_sha("integrity_hash")), key, " has invalid integrity contentHash"),
-        say(e.filter("integrity_hash IS NOT NULL AND NOT source <=> integrity_source"), key, " integrity source does not match"),
-        say(e.filter(a.isNotNull() & ((a["kind"] != "human") | (a["method"] != "browser-review"))), key, " has invalid approval type"),
-        say(e.filter(a.isNotNull() & ((a["target"] != F.col("entry_key")) | ~F.coalesce(tx.is_sha256(a["content_hash"]), F.lit(False)))), key, " has invalid approval target or contentHash"),
-        say(e.filter(a.isNotNull() & ((a["timestamp"] == 0) | (F.trim(a["batch_id"]) == ""))), key, " has incomplete approval evidence"),
-        say(e.filter(a.isNotNull() & (a["id"] != own)), key, " has invalid approval id"),
-        say(revisions.filter("snapshot_key <> target"), "revision ", F.col("id"), " snapshot belongs to another target"),
-        say(dangling(revisions, "source", sources, "entry_key"), "revision ", F.col("id"), " references missing source ", F.col("source")),
-        say(revisions.filter(~F.col("snapshot_sha256").eqNullSafe(snapshot_hash(F.col("snapshot"), F.col("state")))), "revision ", F.col("id"), " snapshot hash does not match"),
-        say(revisions.filter(~F.col("revision_sha256").eqNullSafe(full) | ~named), "revision ", F.col("id"), " hash does not match"),
-        say(parents.filter("p.id IS NULL"), "revision ", F.col("r.id"), " references missing ", F.col("r.previous")),
-        say(parents.filter("p.target <> r.target"), "revision ", F.col("r.id"), " links to another target through ", F.col("r.previous")),
+        each(
+            e,
+            (bad_sha("content_hash"), key, " has invalid contentHash"),
+            (c("snapshot_key IS NOT NULL AND (snapshot_key <> entry_key OR NOT snapshot_hash <=> content_hash)"), key, " snapshot hash does not match"),
+            (F.col("integrity_hash").isNotNull() & bad_sha("integrity_hash"), key, " has invalid integrity contentHash"),
+            (c("integrity_hash IS NOT NULL AND NOT source <=> integrity_source"), key, " integrity source does not match"),
+            (some & ((a["kind"] != "human") | (a["method"] != "browser-review")), key, " has invalid approval type"),
+            (some & ((a["target"] != F.col("entry_key")) | ~F.coalesce(tx.is_sha256(a["content_hash"]), F.lit(False))), key, " has invalid approval target or contentHash"),
+            (some & ((a["timestamp"] == 0) | (F.trim(a["batch_id"]) == "")), key, " has incomplete approval evidence"),
+            (some & (a["id"] != own), key, " has invalid approval id"),
+        ),
+        say(dangling(revisions, "source", sources, "entry_key"), *revision, " references missing source ", F.col("source")),
+        each(
+            revisions,
+            (c("snapshot_key <> target"), *revision, " snapshot belongs to another target"),
+            (~F.col("snapshot_sha256").eqNullSafe(snapshot_hash(F.col("snapshot"), F.col("state"))), *revision, " snapshot hash does not match"),
+            (~F.col("revision_sha256").eqNullSafe(full) | ~named, *revision, " hash does not match"),
+        ),
+        each(
+            parents,
+            (c("p.id IS NULL"), "revision ", F.col("r.id"), " references missing ", F.col("r.previous")),
+            (c("p.target <> r.target"), "revision ", F.col("r.id"), " links to another target through ", F.col("r.previous")),
+        ),
     ]
     if proposals is not None:
         rules.append(say(pr.invalid(proposals), "proposal ", F.col("id"), ": ", F.col("error")))

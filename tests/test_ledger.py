@@ -62,6 +62,26 @@ def test_updates_are_checked_and_committed_once(spark, records, tmp_path):
     assert store.current_version(spark, folder) == 2
 
 
+def test_rules_of_one_row_are_one_pass(spark, records, tmp_path):
+    """An entry and a revision that break several rules are told of each, and the tables are not read once for each rule."""
+    first = lifecycle.sync(lifecycle.empty(spark), records, "me", 1)
+    state = lifecycle.sync(first, records.withColumn("fields", F.map_from_arrays(F.array(F.lit("title")), F.array(F.lit("another")))), "me", 2)
+    e = state["entries"].withColumns({"content_hash": F.lit("x"), "integrity_hash": F.lit("y"), "integrity_source": F.lit("z"), "head": F.lit("rev:none")})
+    r = state["revisions"].withColumns({"snapshot_key": F.lit("other"), "snapshot_sha256": F.lit("0"), "previous": F.lit("rev:gone")})
+    for name, df in (("entries", e), ("revisions", r)):
+        df.write.parquet(str(tmp_path / name))
+    broken = {"entries": spark.read.parquet(str(tmp_path / "entries")), "revisions": spark.read.parquet(str(tmp_path / "revisions")), "sources": state["sources"]}
+    found = lifecycle.errors(broken)
+    key, rev = e.first()["entry_key"], r.first()["id"]
+    told = {x.error for x in found.collect()}
+    of_entry = ("references missing revision rev:none", "has invalid contentHash", "snapshot hash does not match", "has invalid integrity contentHash", "integrity source does not match")
+    assert {f"entry {key} {x}" for x in of_entry} == {x for x in told if x.startswith(f"entry {key} ")}
+    of_revision = ("snapshot belongs to another target", "snapshot hash does not match", "hash does not match", "references missing rev:gone")
+    assert {f"revision {rev} {x}" for x in of_revision} == {x for x in told if x.startswith(f"revision {rev} ")}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= 10
+
+
 def test_seals_and_approvals_of_captured_entries(spark, records):
     content = cn.content_hash(F.col("entry_type"), F.col("fields"))
     more = F.when(F.col("entry_key") == "k0", F.create_map(F.lit("integrity"), content, F.lit("bibsource"), F.lit("s"))).when(F.col("entry_key") == "k1", F.create_map(F.lit("integrity"), F.lit("other"))).otherwise(F.create_map().cast("map<string,string>"))
