@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import text as tx
 from citegrid.operators import setjoin
-from citegrid.storage import checkpoint
+from citegrid.storage import settled
 
 MATCH_SCORE = 0.9
 #: The title similarity that makes a candidate: low enough for every score that adoption asks for.
@@ -30,25 +30,23 @@ def search(records: DataFrame, provider: DataFrame, k: int = 5, least: float = L
     long groups.
     """
     k = min(max(k, 1), 20)
-    # titles are taken apart once; what follows reads the words several times
-    asked = checkpoint(records.select("entry_key", tx.tokens(F.col("title")).alias("tt")).withColumn("rc", F.xxhash64("tt")))
-    held = checkpoint(provider.select("id", tx.tokens(F.col("title")).alias("pt")).withColumn("pc", F.xxhash64("pt")))
-    wanted = asked.filter(F.size("tt") > 0).groupBy("rc").agg(F.first("tt").alias("tt"))
-    held = held.filter(F.size("pt") > 0)
-    first = Window.partitionBy("pc").orderBy("id")
-    ids = held.select("pc", "id").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).groupBy("pc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    known = held.groupBy("pc").agg(F.first("pt").alias("pt"))
-    pairs = setjoin.candidates(wanted.select(F.col("rc").alias("id"), F.col("tt").alias("tokens")), known.select(F.col("pc").alias("id"), F.col("pt").alias("tokens")), least)
-    both = pairs.join(wanted, F.col("x") == F.col("rc")).join(known, F.col("y") == F.col("pc")).filter(tx.token_dice(F.col("tt"), F.col("pt")) >= least - setjoin.EPS)
-    shared = both.select("rc", "pc", F.size(F.array_intersect("tt", "pt")).cast("long").alias("shared")).join(ids, "pc").select("rc", "shared", F.explode("ids").alias("id"))
-    best = Window.partitionBy("rc").orderBy(F.desc("shared"), "id")
-    top = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return asked.select("entry_key", "rc").join(top, "rc").select("entry_key", "id", "shared", "rank")
+    # titles are taken apart once; what follows reads their words, as hashes, several times
+    hashed = lambda df, key: df.select(key, tx.tokens(F.col("title")).alias("_t")).filter(F.size("_t") > 0).select(key, F.xxhash64("_t").alias("set"), F.transform("_t", lambda t: F.xxhash64(t)).alias("tokens"))
+    asked, held = settled(hashed(records, "entry_key"), "asked"), settled(hashed(provider, "id"), "held")
+    first = Window.partitionBy("set").orderBy("id")
+    keys = held.select("set", "id").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= k).groupBy("set").agg(F.array_sort(F.collect_list("id")).alias("keys"))
+    sets = lambda df: df.groupBy("set").agg(F.first("tokens").alias("tokens"))
+    wanted, known = settled(sets(asked).withColumnRenamed("set", "id"), "wanted"), settled(sets(held).join(keys, "set").withColumnRenamed("set", "id"), "known")
+    top = setjoin.best(wanted, known, least, k)
+    return asked.select("entry_key", F.col("set").alias("x")).join(top, "x").select("entry_key", F.col("key").alias("id"), F.col("shared").cast("long").alias("shared"), "rank")
 
 
 def scored(candidates: DataFrame, records: DataFrame, provider: DataFrame) -> DataFrame:
-    """Candidates with their similarity (score, title_score, author_score, rounded; null if it can't be told)."""
-    parts = lambda df, key, p: df.select(key, *[c.alias(p + n) for n, c in (("t", tx.tokens(F.col("title"))), ("n", tx.author_surnames(F.col("author"))), ("a", tx.tokens(F.col("author"))))])
+    """Candidates with their similarity (score, title_score, author_score, rounded; null if it can't be told).
+
+    Words travel as 64-bit hashes."""
+    short = lambda words: F.transform(words, lambda t: F.xxhash64(t))
+    parts = lambda df, key, p: df.select(key, *[short(c).alias(p + n) for n, c in (("t", tx.tokens(F.col("title"))), ("n", tx.author_surnames(F.col("author"))), ("a", tx.tokens(F.col("author"))))])
     j = candidates.join(parts(records, "entry_key", "_r"), "entry_key").join(parts(provider, "id", "_p"), "id")
     title, author = tx.token_dice(F.col("_rt"), F.col("_pt")), tx.author_dice(F.col("_rn"), F.col("_pn"), F.col("_ra"), F.col("_pa"))
     known = F.col("_rt").isNotNull() & F.col("_ra").isNotNull() & F.col("_pt").isNotNull() & F.col("_pa").isNotNull()

@@ -82,3 +82,57 @@ def test_sets_that_share_their_last_tokens_do_not_meet(spark):
     rows = [(i, [*[f"c{k}" for k in range(300)], *[f"r{i}-{k}" for k in range(300)]]) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, tokens array<string>")
     assert setjoin._met(df, None, 0.6).count() == 0
+
+
+@pytest.mark.parametrize("rows", [7, 10000])
+def test_pairs_of_large_sets_and_of_small_batches(spark, monkeypatch, rows):
+    """Neither the larger bitmap nor sets of a token that come in several batches lose a pair."""
+    monkeypatch.setattr(setjoin, "WIDE_FROM", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        x = sets(random.Random(rows), 120, 20, 60)
+        frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(x)], "id long, tokens array<string>")
+        got = {tuple(r) for r in setjoin.candidates(frame, None, 0.5).collect()}
+        both = {tuple(r) for r in setjoin.candidates(frame, frame, 0.5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    true = {(i, j) for i, a in enumerate(x) for j, b in enumerate(x) if dice(a, b) >= 0.5}
+    assert true <= both and {(i, j) for i, j in true if i < j} <= got
+
+
+def test_large_sets_that_share_a_third_do_not_meet(spark):
+    """512 bits are too full to part sets of 150 tokens."""
+    rows = [(i, [*[f"c{k}" for k in range(50)], *[f"r{(i * 37 + k * 11) % 3000}-{k}" for k in range(100)]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    assert setjoin._met(df, None, 0.5).count() == 0
+
+
+def family(n):
+    """A title with copies, near copies of it (with other words, or some left out), and titles without a relative."""
+    rnd = random.Random(n)
+    words = [f"w{i}" for i in range(60)]
+    titles = [" ".join(words)] * 4
+    for i in range(n):
+        kept = words[: rnd.choice([60, 60, 60, 40])]
+        for k in range(rnd.randint(1, 4)):
+            kept[rnd.randrange(len(kept))] = f"x{i}k{k}" if rnd.random() < 0.8 else f"y{rnd.randint(1, 3)}"
+        titles.append(" ".join(kept))
+    return titles + [f"alone{i} a{i} b{i}" for i in range(20)]
+
+
+def test_near_copies_are_searched_without_all_their_pairs(spark, monkeypatch):
+    """The best of a group of near copies are found, and it does not take all pairs of the group."""
+    titles = family(200)
+    looked = []
+    close = setjoin._close
+    monkeypatch.setattr(setjoin, "_close", lambda *a: looked.append(close(*a)) or looked[-1])
+    r = spark.createDataFrame([(f"k{i}", t, "A") for i, t in enumerate(titles)], "entry_key string, title string, author string")
+    p = spark.createDataFrame([(f"p{i:03}", t, "A") for i, t in enumerate(titles)], "id string, title string, author string")
+    got = {(x.entry_key, x["rank"], x.shared, x.id) for x in linkage.search(r, p, 3).collect()}
+    true = set()
+    for i, t in enumerate(titles):
+        a = set(t.split())
+        near = sorted((-len(a & set(u.split())), f"p{j:03}") for j, u in enumerate(titles) if dice(a, set(u.split())) >= 0.5)
+        true |= {(f"k{i}", n, -s, j) for n, (s, j) in enumerate(near[:3], 1)}
+    assert got == true
+    assert looked[0].count() < 200 * 20  # of some 40,000
