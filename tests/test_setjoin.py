@@ -136,3 +136,12 @@ def test_near_copies_are_searched_without_all_their_pairs(spark, monkeypatch):
         true |= {(f"k{i}", n, -s, j) for n, (s, j) in enumerate(near[:3], 1)}
     assert got == true
     assert looked[0].count() < 200 * 20  # of some 40,000
+
+
+def test_settled_steps_are_read_from_their_table(spark):
+    from citegrid.storage import settled
+
+    df = spark.range(50).selectExpr("id % 3 AS g").groupBy("g").count()
+    out = settled(df, "step")
+    assert sorted(map(tuple, out.collect())) == [(0, 17), (1, 17), (2, 16)]
+    assert "Exchange" not in out._jdf.queryExecution().toString()
